@@ -147,7 +147,7 @@ def union(spans: np.ndarray) -> np.ndarray:
 def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The bytes of the slices, one after another."""
     size = end - start
-    at_ = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size)
+    at_ = np.repeat(start - (np.cumsum(size) - size), size)
     return data[at_ + np.arange(len(at_))]
 
 
