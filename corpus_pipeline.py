@@ -1,12 +1,62 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: quality, near copies, repeated passages, benchmark leaks, mix.
 
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents;
+the last adds the mix. A driver writes each result as Parquet and reads it as
+the next stage's docs; run() does the same in the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cargolens.llm import decontaminate, jaccard_join, mixing, quality_crf, shared, suffix_dedup
+from cargolens.llm.passages import NULL_ID
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    """All stages, one after another."""
+def pid():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier does not reject."""
+    kept = quality_crf.rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("keep").select("pid").distinct()
+    return docs.withColumn("pid", pid()).join(kept, "pid", "left_semi").select(COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id; repeated rows stay one."""
+    kept = jaccard_join.groups(docs).filter("pid = component_id").select("pid").distinct()
+    return docs.withColumn("pid", pid()).join(kept, "pid", "left_semi").dropDuplicates(["pid"]).select(COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand elsewhere; a text that loses all of itself stays as an empty one."""
+    cut = suffix_dedup.dedup(docs).filter("n_removed > 0").select("pid", "kept").dropDuplicates(["pid"])
+    text = F.coalesce("kept", "text")
+    return docs.withColumn("pid", pid()).join(cut, "pid", "left").withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(COLUMNS)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found, _ = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.withColumn("pid", pid()).join(found.select("pid").distinct(), "pid", "left_anti").select(COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its block, slot and place in the mix."""
+    return mixing.mixed(docs, {"src0": 2.0}).select(*COLUMNS, "block_no", "slot", "place")
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", passages), ("benchmark decontamination", benchmark_leaks), ("mixing sources", mix)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each reading what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = shared.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
