@@ -102,6 +102,8 @@ def earlier_windows(window: int):
     """An index for passages.shards: windows that a smaller document has too."""
 
     def index(meta, data, offsets):
+        if not len(meta):
+            return (np.zeros(0, np.int64),) * 3
         gap = np.full(len(meta), 10, np.uint8)  # contexts stay apart
         spaced = np.insert(data, offsets[1:], gap)
         starts, ends, first = at.words(spaced, offsets + np.arange(len(offsets)))
@@ -155,11 +157,11 @@ def dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
                     at_ = e
                 kept += words[at_:]
                 whole = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole))
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode()))
             cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["pid", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["pid", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return spans.mapInArrow(cut, "pid long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return spans.mapInArrow(cut, "pid long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def digest_query(spark, sf_dir: str) -> DataFrame:

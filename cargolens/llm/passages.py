@@ -35,7 +35,7 @@ NULL_ID = -(1 << 63)
 ANCHOR = np.dtype([("h", "<u8"), ("d", "<i8"), ("p", "<i4")])
 MARK = np.dtype([("d", "<i8"), ("p", "<i4")])
 SPAN = np.dtype([("d", "<i8"), ("s", "<i4"), ("e", "<i4")])
-CONTEXT = np.dtype([("d", "<i8"), ("s", "<i4"), ("n", "<i4"), ("dup", "<i4")])
+CONTEXT = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<i4"), ("u", "<i4"), ("n", "<i4"), ("dup", "<i4")])
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The bytes of the slices, one after another."""
     size = end - start
     at_ = np.repeat(start - (np.cumsum(size) - size), size)
-    return data[at_ + np.arange(len(at_))]
+    return data[at_ + np.arange(len(at_))] if len(at_) else data[:0]
 
 
 def contexts(spec: Spec, n_buckets: int) -> Callable:
@@ -193,7 +193,7 @@ def contexts(spec: Spec, n_buckets: int) -> Callable:
             spans = union(spans)
             kept = order[ship]
             meta = np.empty(len(kept), CONTEXT)
-            meta["d"], meta["s"], meta["n"], meta["dup"] = d[kept], s[kept], (hi - lo)[kept], dup[ship]
+            meta["a"], meta["c"], meta["d"], meta["s"], meta["u"], meta["n"], meta["dup"] = anchor[kept], same[kept], d[kept], s[kept], (e - s)[kept], (hi - lo)[kept], dup[ship]
             bucket = (anchor[kept] % np.uint64(n_buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
@@ -204,7 +204,11 @@ def contexts(spec: Spec, n_buckets: int) -> Callable:
 
 
 def shards(index: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], spec: Spec) -> Callable:
-    """index(contexts, bytes, offsets of contexts) gives repeated windows: context, first and end unit in it."""
+    """index(contexts, bytes, offsets of contexts) gives repeated windows: context, first and end unit in it.
+
+    Equal contexts are answered at once and stand in the index once; contexts
+    of an anchor that has nothing else to compare do not enter it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         meta, bodies = [], []
@@ -215,9 +219,33 @@ def shards(index: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarra
         spans = joined(table.column("spans"), SPAN)
         if meta:
             meta, data = np.concatenate(meta), np.frombuffer(b"".join(bodies), np.uint8)
-            which, s, e = index(meta, data, np.r_[0, np.cumsum(meta["n"], dtype=np.int64)])
-            more = np.empty(len(which), SPAN)
-            more["d"], more["s"], more["e"] = meta["d"][which], meta["s"][which] + s, meta["s"][which] + e
+            end = np.cumsum(meta["n"], dtype=np.int64)
+            order = np.lexsort((meta["s"], meta["d"], meta["c"], meta["a"]))
+            meta, end = meta[order], end[order]
+            head = np.flatnonzero(np.r_[True, (meta["c"][1:] != meta["c"][:-1]) | (meta["a"][1:] != meta["a"][:-1])])
+            size = np.diff(np.r_[head, len(meta)])
+            if spec.earlier_only:
+                direct, live = meta["d"] > np.repeat(meta["d"][head], size), np.ones(len(head), bool)
+            else:
+                many = (size > 1) | (meta["dup"][head] > 0)
+                direct, live = np.repeat(many, size) & (meta["dup"] == 0), ~many
+            reps = meta[head]
+            reps["dup"] = ~live
+            group = np.cumsum(np.r_[0, reps["a"][1:] != reps["a"][:-1]])
+            use = ((np.bincount(group) > 1) & (np.bincount(group, live) > 0))[group]
+            reps, rep_end, first = reps[use], end[head][use], head[use]
+            which, s, e = index(reps, gather(data, rep_end - reps["n"], rep_end), np.r_[0, np.cumsum(reps["n"], dtype=np.int64)])
+            if spec.earlier_only:  # the same document may hold the context again
+                alike = np.r_[head[1:], len(meta)][use] - first
+                times = alike[which]
+                at_ = np.repeat(first[which] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+                s, e = np.repeat(s, times), np.repeat(e, times)
+                s, e, at_ = s[~direct[at_]], e[~direct[at_]], at_[~direct[at_]]
+            else:
+                at_ = first[which]
+            more = np.empty(len(at_) + int(direct.sum()), SPAN)
+            hit = meta[np.r_[at_, np.flatnonzero(direct)]]
+            more["d"], more["s"], more["e"] = hit["d"], hit["s"] + np.r_[s, np.zeros(int(direct.sum()), np.int64)], hit["s"] + np.r_[e, hit["u"][len(at_) :]]
             spans = np.concatenate([spans, more])
         spans = union(spans)
         return pa.table({"pid": spans["d"].copy(), "s": spans["s"].copy(), "e": spans["e"].copy()})
