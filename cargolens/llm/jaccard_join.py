@@ -10,7 +10,9 @@ one of the first |x| - ceil(3|x|/4) + 1 shingles of each. A document is
 replicated to those regions alone.
 
 Regions join recursively, with documents as pivots. A region's leader is
-measured against its members; members within the radius of it are one ball,
+measured against its members, and members against a few neighbours in key
+order, which connects families whose members are loosely alike at a cost in
+proportion to their size; members within the radius of it are one ball,
 linked through the leader. Pairs inside a ball need no measure; a member x and
 an outer y are compared only if |d(x, leader) - d(y, leader)| is within the
 radius and they are not yet connected; the outer rest is joined among itself,
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,8 @@ from cargolens.llm import arrowtext as at
 from cargolens.llm import shared
 from cargolens.llm.passages import NULL_ID, keyed, packed
 
-WORDS, COUNTERS, FILTER_BITS, SMALL = 5, 1 << 18, 1 << 23, 4
+WORDS, COUNTERS, FILTER_BITS, SMALL = 5, 1 << 22, 1 << 23, 4
+CHAIN, PARTNERS = (1, 2, 3, 5, 8, 13), 12
 WINDOW = np.dtype([("s", "<u4"), ("k", "<i8"), ("n", "<u4"), ("q", "u1")])
 MEMBER = np.dtype([("r", "<u8"), ("leader", "<i8"), ("k", "<i8"), ("n", "<i4"), ("p", "<i4")])
 
@@ -54,7 +58,7 @@ def shingles(data, offsets, rarity=None):
     h = at.slice_hash(at.prefix_sums(at.word_hashes(data, starts, ends, lower=True)), s, s + np.minimum(WORDS, m[row]))
     h >>= np.uint64(6)
     if rarity is not None:
-        h |= rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        h |= rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
@@ -63,7 +67,8 @@ def shingles(data, offsets, rarity=None):
 
 
 def class_keys(h, bounds):
-    """One key for each distinct set; 0 for the empty set."""
+    """One key for each distinct set, whatever the rarity; 0 for the empty set."""
+    h = h & np.uint64((1 << 58) - 1)
     sums = np.r_[np.uint64(0), np.cumsum(at.mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
     n = np.diff(bounds)
     key = at.mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ (n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))).view(np.int64)
@@ -71,17 +76,20 @@ def class_keys(h, bounds):
 
 
 def rarity_classes(texts: DataFrame) -> np.ndarray:
-    """For each counter its class, in the top 6 bits: how far above the mean its shingles occur."""
+    """For each counter its class, below 64: how far above the mean its shingles occur."""
 
     def slots(batch):
         for *_, data, offsets in at.chunks(*at.buffers(batch.column(1))):
             h, _ = shingles(data, offsets)
             yield (h & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-    counts = shared.tally(texts, slots, COUNTERS).astype(np.float64)
-    z = (counts - counts.mean()) / max(np.sqrt(counts.mean()), 1.0)
-    level = np.where(z > 4, np.minimum(63, 1 + np.floor(2 * np.log2(np.maximum(z, 4) / 4))), 0)
-    return level.astype(np.uint64) << np.uint64(58)
+    counts = shared.tally(texts, slots, COUNTERS)
+    mean = counts.mean(dtype=np.float64)
+    out = np.zeros(COUNTERS, np.uint8)
+    for part, to in zip(np.split(counts, 64), np.split(out, 64), strict=True):
+        z = (part - mean) / max(np.sqrt(mean), 1.0)
+        to[:] = np.where(z > 2, np.minimum(63, 1 + np.floor(2 * np.log2(np.maximum(z, 2) / 2))), 0)
+    return out
 
 
 def replicate(rarity, n_buckets: int):
@@ -119,16 +127,20 @@ def close_sizes(n, m, p, q):
 
 
 def regions(table: pa.Table) -> pa.Table:
-    """A bucket's regions: all plausible pairs of small ones; of larger ones the pairs with the leader, and the members."""
+    """A bucket's regions: all plausible pairs of small ones; of larger ones the pairs with the leader, and the members.
+
+    A region is split where the next larger set is too large to be linked to
+    any smaller one.
+    """
     bucket = table.column("bucket")[0].as_py()
     a = np.frombuffer(b"".join(table.column("windows").to_pylist()), WINDOW)
-    a = a[np.lexsort((a["k"], a["s"]))]
+    a = a[np.lexsort((a["k"], a["n"], a["s"]))]
     a = a[np.r_[True, (a["s"][1:] != a["s"][:-1]) | (a["k"][1:] != a["k"][:-1])][: len(a)]]
-    head = np.flatnonzero(np.r_[True, a["s"][1:] != a["s"][:-1]][: len(a)])
-    size = np.diff(np.r_[head, len(a)])
     n = a["n"].astype(np.int64)
+    head = np.flatnonzero(np.r_[True, (a["s"][1:] != a["s"][:-1]) | (4 * n[:-1] < 3 * n[1:])][: len(a)])
+    size = np.diff(np.r_[head, len(a)])
     p = a["q"].astype(np.int64) * window_size(n) // 256
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, SMALL):
         for k in range(step, SMALL):
             i = head[(size <= SMALL) & (size > k)] + k
@@ -136,14 +148,29 @@ def regions(table: pa.Table) -> pa.Table:
             ok = close_sizes(n[i], n[j], p[i], p[j])
             left.append(a["k"][j[ok]])
             right.append(a["k"][i[ok]])
+    large = np.flatnonzero(size > SMALL)
     many = np.repeat(size > SMALL, size)
-    lead = np.repeat(head, size)
-    star = np.flatnonzero(many & (lead != np.arange(len(a))))
-    left.append(a["k"][lead[star]])
-    right.append(a["k"][star])
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    if len(large):
+        # the leader is the member of the least key, so that regions of one family share it
+        rest = np.flatnonzero(many)
+        group = np.repeat(np.arange(len(large)), size[large])
+        by = np.lexsort((a["k"][rest], group))
+        lead_of = rest[by[np.r_[0, np.cumsum(size[large])[:-1]]]]
+        lead = lead_of[group]
+        ok = (lead != rest) & close_sizes(n[lead], n[rest], p[lead], p[rest])
+        left.append(a["k"][lead[ok]])
+        right.append(a["k"][rest[ok]])
+        by = rest[by]  # members by key: neighbours are the same in most regions of a family
+        for step in CHAIN:
+            i, j = by[step:], by[:-step]
+            ok = (group[step:] == group[:-step]) & close_sizes(n[i], n[j], p[i], p[j])
+            left.append(a["k"][i[ok]])
+            right.append(a["k"][j[ok]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0)
     m = np.empty(int(many.sum()), MEMBER)
-    m["r"], m["leader"], m["k"], m["n"], m["p"] = a["s"][many], a["k"][lead[many]], a["k"][many], n[many], p[many]
+    if len(m):
+        m["r"], m["leader"], m["k"], m["n"], m["p"] = (a["s"][rest].astype(np.uint64) << np.uint64(20)) + group.astype(np.uint64), a["k"][lead], a["k"][rest], n[rest], p[rest]
     return pa.table({"bucket": pa.array([bucket], pa.int32()), "pairs": pa.array([pairs.astype("<i8").tobytes()], pa.binary()), "members": pa.array([m.tobytes()], pa.binary())})
 
 
@@ -162,23 +189,21 @@ def unpack_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.record_batch({"bucket": pa.array(np.full(len(m), bucket, np.int32)), **{c: m[c].astype(np.int64) for c in ("r", "leader", "k", "n", "p")}})
 
 
-def sets_of(rarity, wanted):
-    """(k, set) of the batch's distinct sets that the filter lets through."""
+def texts_of(wanted):
+    """(k, compressed text) of the batch's distinct sets that the filter lets through; a text is smaller than its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             have = np.zeros(0, np.int64)
             for *_, data, offsets in at.chunks(*at.buffers(batch.column(1))):
-                h, bounds = shingles(data, offsets, rarity.value)
-                key = class_keys(h, bounds)
+                key = class_keys(*shingles(data, offsets))
                 _, once = np.unique(key, return_index=True)
                 bit = key[once].view(np.uint64) % np.uint64(FILTER_BITS)
                 ok = (wanted.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
                 once = np.sort(once[(ok == 1) & (key[once] != 0) & ~np.isin(key[once], have)])
                 have = np.r_[have, key[once]]
-                n = np.diff(bounds)[once]
-                take = np.repeat(bounds[:-1][once] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                yield pa.record_batch([pa.array(key[once]), at.per_row(h[take], n)], names=["k", "set"])
+                yield pa.record_batch([pa.array(key[once]), pa.array([squeeze.compress(data[offsets[i] : offsets[i + 1]].tobytes()) for i in once], pa.binary())], names=["k", "text"])
 
     return run
 
@@ -186,40 +211,53 @@ def sets_of(rarity, wanted):
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Common and all shingles of each pair."""
     for batch in batches:
-        inter, union = [], []
-        for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at_ = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = int((x[at_] == y).sum())
-            inter.append(both)
-            union.append(len(x) + len(y) - both)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "inter", "all"])
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            texts = [zstandard.decompress(x) for two in zip(*(part.column(i).to_pylist() for i in (2, 3)), strict=True) for x in two]
+            h, bounds = shingles(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64))
+            sizes = np.diff(bounds)
+            pair = np.repeat(np.arange(len(texts)) // 2, sizes)
+            order = np.lexsort((h, pair))
+            h, pair = h[order], pair[order]
+            both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(sizes[::2] + sizes[1::2] - both, pa.int64())], names=["a", "b", "inter", "all"])
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return pairs.join(sets.selectExpr("k b", "set sb"), "b").join(sets.selectExpr("k a", "set sa"), "a").select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long, inter long, `all` long")
+    return pairs.join(sets.selectExpr("k b", "text sb"), "b").join(sets.selectExpr("k a", "text sa"), "a").select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long, inter long, `all` long")
 
 
-def boundary(table: pa.Table) -> pa.Table:
-    """Pairs of a region that may still link components: outside the leader's ball, or across its rim."""
-    t = {c: table.column(c).to_numpy() for c in ("r", "k", "n", "p", "root", "inter", "all")}
-    order = np.lexsort((t["k"], t["r"]))
-    t = {c: x[order] for c, x in t.items()}
-    d = 1 - t["inter"] / t["all"]
-    ball = 4 * t["inter"] >= 3 * t["all"]
-    cut = np.r_[np.flatnonzero(np.r_[True, t["r"][1:] != t["r"][:-1]][: len(d)]), len(d)]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, e in zip(cut[:-1], cut[1:], strict=True):
-        if (t["root"][s:e] == t["root"][s]).all():
-            continue
-        inner, outer = s + np.flatnonzero(ball[s:e]), s + np.flatnonzero(~ball[s:e])
-        for i, y in enumerate(outer):
-            others = np.r_[inner[np.abs(d[inner] - d[y]) <= 0.25 + 1e-9], outer[i + 1 :]]
-            others = others[(t["root"][others] != t["root"][y]) & close_sizes(t["n"][others], t["n"][y], t["p"][others], t["p"][y])]
-            left.append(np.minimum(t["k"][others], t["k"][y]))
-            right.append(np.maximum(t["k"][others], t["k"][y]))
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-    return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+def boundary(most: int | None):
+    """Pairs of a region that may still link components: outside the leader's ball, or across its rim.
+
+    Members that the bounds had kept from being measured against the leader
+    have inter -1 and no known distance, so no triangle rules them out. With
+    `most`, a member proposes no more than that many partners in a region: a
+    step that connects families before the last, unbounded one.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        t = {c: table.column(c).to_numpy() for c in ("r", "k", "n", "p", "root", "inter", "all")}
+        order = np.lexsort((t["k"], t["r"]))
+        t = {c: x[order] for c, x in t.items()}
+        d = 1 - t["inter"] / t["all"]
+        ball = 4 * t["inter"] >= 3 * t["all"]
+        cut = np.r_[np.flatnonzero(np.r_[True, t["r"][1:] != t["r"][:-1]][: len(d)]), len(d)]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            if (t["root"][s:e] == t["root"][s]).all():
+                continue
+            inner, outer = s + np.flatnonzero(ball[s:e]), s + np.flatnonzero(~ball[s:e])
+            for i, y in enumerate(outer):
+                others = np.r_[inner[np.abs(d[inner] - d[y]) <= 0.25 + 1e-9] if t["inter"][y] >= 0 else inner, outer[i + 1 :]]
+                others = others[(t["root"][others] != t["root"][y]) & close_sizes(t["n"][others], t["n"][y], t["p"][others], t["p"][y])]
+                others = others[:most]
+                left.append(np.minimum(t["k"][others], t["k"][y]))
+                right.append(np.maximum(t["k"][others], t["k"][y]))
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+
+    return run
 
 
 def groups(docs: DataFrame, per_partition: int = 4) -> DataFrame:
@@ -250,20 +288,23 @@ def groups(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     pairs = shared.cut(found.select("pairs").mapInArrow(unpack_pairs, "a long, b long").distinct())
     members = found.select("bucket", "members").mapInArrow(unpack_members, "bucket int, r long, leader long, k long, n long, p long")
 
-    def bits(batch):
+    def slots(batch):
         yield (batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
 
-    wanted = sc.broadcast(np.packbits(shared.tally(pairs.select(F.explode(F.array("a", "b")).alias("k")), bits, FILTER_BITS) > 0, bitorder="little"))
-    sets = shared.table(texts.mapInArrow(sets_of(rarity, wanted), "k long, set binary").groupBy("k").agg(F.first("set").alias("set")))
+    wanted = sc.broadcast(shared.tally(pairs.select(F.explode(F.array("a", "b")).alias("k")).unionByName(members.select("k")), slots, FILTER_BITS, bits=True))
+    sets = shared.table(texts.mapInArrow(texts_of(wanted), "k long, text binary").groupBy("k").agg(F.first("text").alias("text")))
     first = shared.cut(measured(pairs, sets))
-    links = first.filter("4 * inter >= 3 * `all`").select("a", "b")
-    roots = shared.components(links)
-    known = members.join(first.selectExpr("a leader", "b k", "inter", "`all`"), ["leader", "k"], "left").join(roots.selectExpr("node k", "root"), "k", "left")
-    known = known.select("bucket", "r", "k", "n", "p", F.coalesce("root", "k").alias("root"), F.coalesce("inter", "n").alias("inter"), F.coalesce("all", "n").alias("all"))
-    rest = known.groupBy("bucket").applyInArrow(boundary, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = shared.cut(measured(rest, sets).filter("4 * inter >= 3 * `all`").select("a", "b"))
-    if not more.isEmpty():
-        roots = shared.components(roots.selectExpr("node a", "root b").unionByName(more))
+    roots, tested = shared.components(first.filter("4 * inter >= 3 * `all`").select("a", "b")), pairs
+    lead = members.withColumns({"a": F.least("leader", "k"), "b": F.greatest("leader", "k")}).join(first, ["a", "b"], "left")
+    self_ = F.col("k") == F.col("leader")
+    lead = shared.table(lead.select("bucket", "r", "k", "n", "p", F.when(self_, 1).otherwise(F.coalesce("inter", F.lit(-1))).cast("long").alias("inter"), F.when(self_, 1).otherwise(F.coalesce("all", F.lit(1))).cast("long").alias("all")))
+    for most in (PARTNERS, None):
+        known = lead.join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        rest = shared.cut(known.groupBy("bucket").applyInArrow(boundary(most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+        more = shared.cut(measured(rest, sets).filter("4 * inter >= 3 * `all`").select("a", "b"))
+        tested = tested.unionByName(rest)
+        if not more.isEmpty():
+            roots = shared.components(roots.selectExpr("node a", "root b").unionByName(more))
     docs_ = shared.table(texts.mapInArrow(classes, "pid long, k long, n_shingles long"))
     least = docs_.filter("k <> 0").groupBy("k").agg(F.min("pid").alias("least")).join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     component = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k", "component_id")

@@ -39,8 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tally(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int) -> np.ndarray:
-    """How often slots(batch) names each of `size` slots, over all of df: size is fixed, whatever the input."""
+def tally(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int, bits: bool = False) -> np.ndarray:
+    """How often slots(batch) names each of `size` slots (at most 2**32 - 1), over all of df; or, as packed bits, whether.
+
+    size is fixed, whatever the input; the driver holds that many counters or bits.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
@@ -54,11 +57,13 @@ def tally(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]]
         total = np.zeros(size // BLOCKS, np.uint64)
         for b in t.column("counts").to_pylist():
             total += np.frombuffer(zstandard.decompress(b), np.uint32)
-        return pa.table({"block": [t.column("block")[0].as_py()], "counts": [total.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
+        total = np.packbits(total > 0, bitorder="little") if bits else np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+        return pa.table({"block": [t.column("block")[0].as_py()], "counts": [zstandard.compress(total.tobytes(), 1)]}, schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
 
-    out = np.zeros(size, np.uint64)
+    out = np.zeros(size // 8 if bits else size, np.uint8 if bits else np.uint32)
+    each = len(out) // BLOCKS
     for r in df.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[r.block * (size // BLOCKS) : (r.block + 1) * (size // BLOCKS)] = np.frombuffer(bytes(r.counts), np.uint64)
+        out[r.block * each : (r.block + 1) * each] = np.frombuffer(zstandard.decompress(bytes(r.counts)), out.dtype)
     return out
 
 

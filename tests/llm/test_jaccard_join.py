@@ -52,6 +52,19 @@ def test_planted_groups(spark):
     assert collected(jaccard_join.groups(frame(spark, rows).repartition(4))) == brute(rows)
 
 
+def test_loose_family_beside_a_passage(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    base, rows = [word() for _ in range(150)], []
+    for k in range(150):  # about as alike as the bound: some pairs link, most don't
+        w = list(base)
+        for _ in range(r.randint(2, 9)):
+            w[r.randrange(150)] = word()
+        rows.append((k, " ".join(w[r.randint(0, 20) :])))
+    rows += [(1000 + k, " ".join(base[:40] + [word() for _ in range(r.randint(5, 60))])) for k in range(80)]
+    assert collected(jaccard_join.groups(frame(spark, rows).repartition(3))) == brute(rows)
+
+
 def test_test_table(spark, sf_dir):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.digest_query(spark, sf_dir).collect()}
