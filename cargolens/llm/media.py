@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm import shared
 from cargolens.llm.passages import NULL_ID, keyed
 
 UNIT, WIDTH = 576, 24
@@ -176,7 +175,7 @@ def document_media(docs: DataFrame) -> DataFrame:
     A null text is empty (one unit of padding). Rows that share a doc_id keep a
     row each; equal texts share one medium. Other columns are not read.
     """
-    base = shared.table(keyed(docs).mapInArrow(stored, "pid long, n_bytes long, digest string, data binary"))
+    base = keyed(docs).mapInArrow(stored, "pid long, n_bytes long, digest string, data binary")  # encoded twice: cheaper than keeping media on disk
     media = base.filter("data is not null").select("digest", "data").groupBy("digest").agg(F.first("data").alias("data")).mapInArrow(features, "digest string, " + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     page = F.concat(F.lit("<article><p>Document "), F.col("pid"), F.lit('</p><figure><img src="sha256:'), F.col("digest"), F.lit('" alt=""><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure><p>End</p></article>"))
     found = resolve(interleaved(base.select(F.col("pid").alias("key"), page.alias("html"))), media)
