@@ -146,7 +146,9 @@ def squeezed(p: np.ndarray) -> np.ndarray:
 def fit(texts: list[bytes], labels: list[int], steps: int = STEPS, ridge: float = 1e-3) -> Model:
     """Weights of greatest conditional likelihood, by Adam over all training documents at once."""
     offsets = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-    x, length, first = line_features(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    parts = [line_features(d, o) for *_, d, o in at.chunks(np.frombuffer(b"".join(texts), np.uint8), offsets)]  # a chunk at a time keeps the driver small
+    x, length = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    first = np.r_[0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))]
     mean, scale = x.mean(0), x.std(0) + 1e-6
     mean[-1], scale[-1] = 0.0, 1.0
     model = Model(mean, scale, np.zeros(x.shape[1]), np.zeros((2, 2)))
