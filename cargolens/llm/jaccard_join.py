@@ -38,6 +38,7 @@ from cargolens.llm import shared
 from cargolens.llm.passages import NULL_ID, keyed, packed
 
 WORDS, COUNTERS, FILTER_BITS, SMALL = 5, 1 << 22, 1 << 23, 4
+AT_ONCE = 300_000  # windows held before they are sent on
 CHAIN, PARTNERS = (1, 2, 3, 5, 8, 13), 12
 WINDOW = np.dtype([("s", "<u4"), ("k", "<i8"), ("n", "<u4"), ("q", "u1")])
 MEMBER = np.dtype([("r", "<u8"), ("leader", "<i8"), ("k", "<i8"), ("n", "<i4"), ("p", "<i4")])
@@ -96,6 +97,11 @@ def replicate(rarity, n_buckets: int):
     """Each distinct set of a batch goes to its window of regions."""
     schema = pa.schema([("bucket", pa.int32()), ("windows", pa.binary())])
 
+    def flush(parts: list) -> pa.RecordBatch:
+        bucket, out = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rows = packed(bucket, out, n_buckets)
+        return pa.record_batch([pa.array(rows, pa.int32()), pa.array(rows.values(), pa.binary())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, have = [], np.zeros(0, np.int64)
@@ -113,10 +119,11 @@ def replicate(rarity, n_buckets: int):
                 out = np.empty(len(of), WINDOW)
                 out["s"], out["k"], out["n"], out["q"] = g >> np.uint64(32), key[once[of]], n[of], pos * 256 // w[of]
                 parts.append(((g % np.uint64(n_buckets)).astype(np.int32), out))
+                if sum(len(x) for _, x in parts) > AT_ONCE:
+                    yield flush(parts)
+                    parts = []
             if parts:
-                bucket, out = (np.concatenate(x) for x in zip(*parts, strict=True))
-                rows = packed(bucket, out, n_buckets)
-                yield pa.record_batch([pa.array(rows, pa.int32()), pa.array(rows.values(), pa.binary())], schema=schema)
+                yield flush(parts)
 
     return run
 

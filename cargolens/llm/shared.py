@@ -54,17 +54,21 @@ def tally(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]]
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint8 if bits else np.uint32)
         for batch in batches:
             for x in slots(batch):
-                total += np.bincount(x, minlength=size).astype(np.uint32)
+                if bits:
+                    total[x] = 1
+                else:
+                    at, n = np.unique(x, return_counts=True)
+                    total[at] += n.astype(np.uint32)
         parts = [(i, zstandard.compress(p.tobytes(), 1)) for i, p in enumerate(np.split(total, BLOCKS)) if p.any()]
         yield pa.record_batch([pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["block", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(size // BLOCKS, np.uint64)
         for b in t.column("counts").to_pylist():
-            total += np.frombuffer(zstandard.decompress(b), np.uint32)
+            total += np.frombuffer(zstandard.decompress(b), np.uint8 if bits else np.uint32)
         total = np.packbits(total > 0, bitorder="little") if bits else np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
         return pa.table({"block": [t.column("block")[0].as_py()], "counts": [zstandard.compress(total.tobytes(), 1)]}, schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
 
