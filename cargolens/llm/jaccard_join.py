@@ -306,6 +306,7 @@ def groups(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     self_ = F.col("k") == F.col("leader")
     lead = shared.table(lead.select("bucket", "r", "k", "n", "p", F.when(self_, 1).otherwise(F.coalesce("inter", F.lit(-1))).cast("long").alias("inter"), F.when(self_, 1).otherwise(F.coalesce("all", F.lit(1))).cast("long").alias("all")))
     shared.discard(found)
+    shared.release(spark)
     for most in (PARTNERS, None):
         known = lead.join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
         rest = shared.cut(known.groupBy("bucket").applyInArrow(boundary(most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
@@ -313,6 +314,7 @@ def groups(docs: DataFrame, per_partition: int = 4) -> DataFrame:
         tested = tested.unionByName(rest)
         if not more.isEmpty():
             roots = shared.components(roots.selectExpr("node a", "root b").unionByName(more))
+        shared.release(spark)
     shared.discard(sets)
     shared.discard(lead)
     docs_ = shared.table(texts.mapInArrow(classes, "pid long, k long, n_shingles long"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCKS = 64
+LEAST_TASKS, EDGES_A_TASK = 8, 200_000  # how a round's edges are dealt to files: never more tasks than shuffle partitions
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the cleaner delete shuffle files of plans that a cut has ended; it waits for the driver's collector."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def tally(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int, bits: bool = False) -> np.ndarray:
     """How often slots(batch) names each of `size` slots (at most 2**32 - 1), over all of df; or, as packed bits, whether.
 
@@ -85,16 +91,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps; each is joins and minima over
     edges, so a hub is split like any skewed key. Stops when nothing moves.
     """
+    def state_of(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+
     cur = cut(edges.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
-    seen = None
+    seen = state_of(cur)
     for _ in range(most_rounds):
         both = cur.unionByName(cur.selectExpr("b a", "a b"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(low, "a").filter("b > a").selectExpr("b a", "m b").unionByName(low.filter("m < a").selectExpr("a", "m b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        cur = cut(large.join(low, "a").filter("b > m").selectExpr("b a", "m b").unionByName(low.selectExpr("a", "m b")).distinct())
-        state = tuple(cur.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        small = large.join(low, "a").filter("b > m").selectExpr("b a", "m b").unionByName(low.selectExpr("a", "m b")).distinct()
+        cur = cut(small.coalesce(max(LEAST_TASKS, seen[0] // EDGES_A_TASK)))
+        state = state_of(cur)
         if state == seen:
             return cur.selectExpr("a node", "b root").unionByName(cur.selectExpr("b node", "b root").distinct())
         seen = state
+        release(edges.sparkSession)
     raise RuntimeError("components did not settle")
