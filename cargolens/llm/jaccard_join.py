@@ -278,7 +278,7 @@ def groups(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     n_buckets = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(docs)
+    texts, most = keyed(docs), shared.tasks(docs)
     rarity = sc.broadcast(rarity_classes(texts))
 
     def classes(batches):
@@ -291,33 +291,33 @@ def groups(docs: DataFrame, per_partition: int = 4) -> DataFrame:
             if keys:
                 yield pa.record_batch([batch.column(0), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["pid", "k", "n_shingles"])
 
-    found = shared.table(texts.mapInArrow(replicate(rarity, n_buckets), "bucket int, windows binary").groupBy("bucket").applyInArrow(regions, "bucket int, pairs binary, members binary"))
-    pairs = shared.cut(found.select("pairs").mapInArrow(unpack_pairs, "a long, b long").distinct())
+    found = shared.table(texts.mapInArrow(replicate(rarity, n_buckets), "bucket int, windows binary").groupBy("bucket").applyInArrow(regions, "bucket int, pairs binary, members binary"), most)
+    pairs = shared.cut(found.select("pairs").mapInArrow(unpack_pairs, "a long, b long").distinct(), most)
     members = found.select("bucket", "members").mapInArrow(unpack_members, "bucket int, r long, leader long, k long, n long, p long")
 
     def slots(batch):
         yield (batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
 
     wanted = sc.broadcast(shared.tally(pairs.select(F.explode(F.array("a", "b")).alias("k")).unionByName(members.select("k")), slots, FILTER_BITS, bits=True))
-    sets = shared.table(texts.mapInArrow(texts_of(wanted), "k long, text binary").groupBy("k").agg(F.first("text").alias("text")))
-    first = shared.cut(measured(pairs, sets))
-    roots, tested = shared.components(first.filter("4 * inter >= 3 * `all`").select("a", "b")), pairs
+    sets = shared.table(texts.mapInArrow(texts_of(wanted), "k long, text binary").groupBy("k").agg(F.first("text").alias("text")), most)
+    first = shared.cut(measured(pairs, sets), most)
+    roots, tested = shared.components(first.filter("4 * inter >= 3 * `all`").select("a", "b"), most), pairs
     lead = members.withColumns({"a": F.least("leader", "k"), "b": F.greatest("leader", "k")}).join(first, ["a", "b"], "left")
     self_ = F.col("k") == F.col("leader")
-    lead = shared.table(lead.select("bucket", "r", "k", "n", "p", F.when(self_, 1).otherwise(F.coalesce("inter", F.lit(-1))).cast("long").alias("inter"), F.when(self_, 1).otherwise(F.coalesce("all", F.lit(1))).cast("long").alias("all")))
+    lead = shared.table(lead.select("bucket", "r", "k", "n", "p", F.when(self_, 1).otherwise(F.coalesce("inter", F.lit(-1))).cast("long").alias("inter"), F.when(self_, 1).otherwise(F.coalesce("all", F.lit(1))).cast("long").alias("all")), most)
     shared.discard(found)
     shared.release(spark)
-    for most in (PARTNERS, None):
+    for partners in (PARTNERS, None):
         known = lead.join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-        rest = shared.cut(known.groupBy("bucket").applyInArrow(boundary(most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
-        more = shared.cut(measured(rest, sets).filter("4 * inter >= 3 * `all`").select("a", "b"))
+        rest = shared.cut(known.groupBy("bucket").applyInArrow(boundary(partners), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), most)
+        more = shared.cut(measured(rest, sets).filter("4 * inter >= 3 * `all`").select("a", "b"), most)
         tested = tested.unionByName(rest)
         if not more.isEmpty():
-            roots = shared.components(roots.selectExpr("node a", "root b").unionByName(more))
+            roots = shared.components(roots.selectExpr("node a", "root b").unionByName(more), most)
         shared.release(spark)
     shared.discard(sets)
     shared.discard(lead)
-    docs_ = shared.table(texts.mapInArrow(classes, "pid long, k long, n_shingles long"))
+    docs_ = shared.table(texts.mapInArrow(classes, "pid long, k long, n_shingles long"), most)
     least = docs_.filter("k <> 0").groupBy("k").agg(F.min("pid").alias("least")).join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     component = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k", "component_id")
     return docs_.join(component, "k", "left").select("pid", "n_shingles", F.coalesce("component_id", "pid").alias("component_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 BLOCKS = 64
 LEAST_TASKS, EDGES_A_TASK = 8, 200_000  # how a round's edges are dealt to files: never more tasks than shuffle partitions
+BYTES_A_TASK = 4 << 20  # of stored input; what a task that writes a table has at least
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def table(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends here."""
+def tasks(docs: DataFrame) -> int:
+    """How many tasks write a table derived from docs: it grows with the stored input, and files stay few on small ones."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(LEAST_TASKS, min(size // BYTES_A_TASK, 1 << 30))
+
+
+def fewer(df: DataFrame, most: int | None) -> DataFrame:
+    """df in at most so many partitions; partitions are joined, never split or shuffled."""
+    return df if most is None else df.coalesce(most)
+
+
+def table(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df written to the shared folder, in at most so many files, and read back: its lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    fewer(df, most).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -42,10 +54,10 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df after a checkpoint in the shared folder."""
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df after a checkpoint in the shared folder, in at most so many files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return fewer(df, most).checkpoint()
 
 
 def release(spark: SparkSession) -> None:
@@ -85,7 +97,7 @@ def tally(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]]
     return out
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b), root being the least node it reaches.
 
     Alternating large-star and small-star steps; each is joins and minima over
@@ -94,7 +106,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def state_of(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
-    cur = cut(edges.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
+    cur = cut(edges.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), most)
     seen = state_of(cur)
     for _ in range(most_rounds):
         both = cur.unionByName(cur.selectExpr("b a", "a b"))
