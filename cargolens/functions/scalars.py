@@ -64,3 +64,9 @@ def interaction(vectors: Column, dim: int) -> Column:
 def code_vector(code: Column, dim: int) -> Column:
     """A fixed, reproducible vector for a code: for scores whose weights are given, not trained."""
     return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda k: ((code * 31 + k * 17) % 23 - 11) / 23.0)
+
+
+def pattern_key(pattern: str) -> Column:
+    """One key for a map of domains to entities, whatever the order of its entries."""
+    entries = F.array_sort(F.transform(F.map_entries(pattern), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return F.md5(F.array_join(entries, ","))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,42 @@ def nearest(similarity: DataFrame, k: int) -> DataFrame:
     return similarity.filter("src <> dst").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def median_similarity(parts: list[DataFrame]) -> DataFrame:
+    """(src, dst, s): the median of an odd number of similarities; a pair that one lacks counts 0 there."""
+    tall = reduce(DataFrame.unionByName, parts)
+    s = tall.groupBy("src", "dst").agg(F.sort_array(F.collect_list("s")).alias("v"))  # one value a part
+    padded = F.concat(F.array_repeat(F.lit(0.0), F.lit(len(parts)) - F.size("v")), "v")
+    return s.select("src", "dst", F.element_at(padded, len(parts) // 2 + 1).alias("s"))
+
+
+def relations(paths: DataFrame) -> DataFrame:
+    """(dom_a, dom_b): the distinct pairs of domains that stand side by side in a path."""
+    pairs = paths.select(F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path") - 1).alias("b"))).alias("p"))
+    return pairs.select(F.least("p.a", "p.b").alias("dom_a"), F.greatest("p.a", "p.b").alias("dom_b")).distinct()
+
+
+def sim_rank(m: DataFrame, rounds: int, decay: float = 0.8) -> DataFrame:
+    """(src, dst, s) of the left side of a bipartite graph; each round goes right to left and back from what is known."""
+    left = m.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    right = left.selectExpr("b a", "a b")
+
+    def step(known: DataFrame | None, e: DataFrame) -> DataFrame:
+        # similarity of e's a from that of its b; pairs not known are 0, each b is 1 to itself
+        n = e.groupBy("a").agg(F.count("*").alias("n"))
+        x, y = e.join(n, "a").selectExpr("a src", "b p", "n nx"), e.join(n, "a").selectExpr("a dst", "b q", "n ny")
+        if known is None:
+            both = x.join(y.withColumnRenamed("q", "p"), "p").withColumn("s", F.lit(1.0))
+        else:
+            both = x.join(known.selectExpr("src p", "dst q", "s"), "p").join(y, "q")
+        sums = both.groupBy("src", "dst").agg(F.sum("s").alias("t"), F.first(F.col("nx") * F.col("ny")).alias("n"))
+        return sums.select("src", "dst", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(decay * F.col("t") / F.col("n")).alias("s"))
+
+    known = None
+    for _ in range(rounds):
+        known = step(step(known, right), left)
+    return known
+
+
 def smoothed_transitions(edges: DataFrame, a: str, b: str, power: float = 0.75) -> DataFrame:
     """Transition chances by counts over the greatest count, raised to a power and made to sum to 1."""
     m = hop(edges, a, b)

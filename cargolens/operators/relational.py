@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from functools import reduce
 from itertools import combinations
 
@@ -68,7 +69,17 @@ def hash_sample(df: DataFrame, n: int, seed: int, id_: str = "rec_id") -> DataFr
 
 def hash_fraction(df: DataFrame, per_cent: int, seed: int, id_: str = "rec_id") -> DataFrame:
     """About this per cent of the rows, without any shuffle."""
-    return df.filter(F.conv(F.substring(hash_order(seed, id_), 1, 6), 16, 10).cast("long") % 100 < per_cent)
+    return df.filter(hash_below(per_cent, seed, id_))
+
+
+def hash_below(per_cent: int, seed: int, id_: str = "rec_id") -> Column:
+    return F.conv(F.substring(hash_order(seed, id_), 1, 6), 16, 10).cast("long") % 100 < per_cent
+
+
+def mixture(df: DataFrame, flag: str, sizes: dict[int, int], seed: int, id_: str = "rec_id") -> DataFrame:
+    """As many rows of each class as `sizes` says, or all it has; the choice is by hash."""
+    parts = [hash_sample(df.filter(F.col(flag) == v), n, seed, id_) for v, n in sizes.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def co_occurrence(df: DataFrame, domains: list[str] = DOMAINS) -> DataFrame:

@@ -498,6 +498,8 @@ def _(spark, d):
 
 FLAGSHIP = "h07_path_similarity"
 
+from cargolens.plans import extended  # noqa: E402, F401  it registers its queries
+
 
 def queries() -> dict:
     return dict(QUERIES)
