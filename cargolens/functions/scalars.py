@@ -70,3 +70,11 @@ def pattern_key(pattern: str) -> Column:
     """One key for a map of domains to entities, whatever the order of its entries."""
     entries = F.array_sort(F.transform(F.map_entries(pattern), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return F.md5(F.array_join(entries, ","))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))

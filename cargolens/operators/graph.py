@@ -60,6 +60,17 @@ def median_similarity(parts: list[DataFrame]) -> DataFrame:
     return s.select("src", "dst", F.element_at(padded, len(parts) // 2 + 1).alias("s"))
 
 
+def adjusted_vectors(vectors: DataFrame, edges: DataFrame) -> DataFrame:
+    """(domain, value, k, x): half an entity's vector, half the sum of its neighbours' by squared share of its edges to their domain."""
+    tall = vectors.select("domain", "value", F.posexplode("vec").alias("k", "x")).withColumn("k", F.col("k") + 1)
+    both = both_ways(edges)
+    total = both.groupBy("src_dom", "src", "dst_dom").agg(F.sum("cnt").alias("t"))
+    share = both.join(total, ["src_dom", "src", "dst_dom"]).withColumn("q", F.pow(F.col("cnt") / F.col("t"), F.lit(2)))
+    near = share.join(tall.selectExpr("domain dst_dom", "value dst", "k", "x"), ["dst_dom", "dst"])
+    near = near.groupBy(F.col("src_dom").alias("domain"), F.col("src").alias("value"), "k").agg(F.sum(F.col("q") * F.col("x")).alias("a"))
+    return tall.join(near, ["domain", "value", "k"], "left").select("domain", "value", "k", (0.5 * (F.col("x") + F.coalesce("a", F.lit(0.0)))).alias("x"))
+
+
 def relations(paths: DataFrame) -> DataFrame:
     """(dom_a, dom_b): the distinct pairs of domains that stand side by side in a path."""
     pairs = paths.select(F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path") - 1).alias("b"))).alias("p"))

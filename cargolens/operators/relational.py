@@ -109,6 +109,12 @@ def spurious_removed(test: DataFrame, edges: DataFrame, domains: list[str]) -> D
     return test.join(odd, "rec_id", "left_anti")
 
 
+def pair_counts(df: DataFrame, edges: DataFrame, domains: list[str]) -> DataFrame:
+    """(rec_id, dom_a, dom_b, cnt): how often each pair of a record's entities occurs among the edges, 0 if never."""
+    pairs = df.select("rec_id", F.explode(F.array(*(F.struct(F.lit(a).alias("dom_a"), F.lit(b).alias("dom_b"), F.col(a).alias("e_a"), F.col(b).alias("e_b")) for a, b in combinations(sorted(domains), 2)))).alias("p")).select("rec_id", "p.*")
+    return pairs.join(edges, ["dom_a", "dom_b", "e_a", "e_b"], "left").select("rec_id", "dom_a", "dom_b", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
 def negatives(df: DataFrame, codes: DataFrame, domain: str, k: int, seed: int) -> DataFrame:
     """k copies of each record with one domain replaced by a hashed choice; copies equal to a record are dropped."""
     own = codes.filter(F.col("domain") == domain).select(F.col("value").alias("_value"), F.col("entity_id").alias("_pick"))

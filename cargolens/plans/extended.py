@@ -9,7 +9,7 @@ from cargolens.functions import scalars as S
 from cargolens.operators import graph as G
 from cargolens.operators import learning as L
 from cargolens.operators import relational as R
-from cargolens.plans.catalog import CFG, COMMUTING, DICT, LONG, ROUTES, SCORED, SERIAL, hop_sql, query, routes, scored, table, test, train
+from cargolens.plans.catalog import CFG, COMMUTING, DICT, LONG, ROUTES, SCORED, SERIAL, edges_sql, hop_sql, query, routes, scored, table, test, train
 from cargolens.sources.records import META_PATHS
 
 PATH, PAIR = ["origin", "hscode"], ["hscode", "origin"]
@@ -160,6 +160,63 @@ def _(spark, d):
     return G.sim_rank(G.hop(R.co_occurrence(train(spark, d), PAIR), "origin", "hscode"), 1).select("src", "dst", F.round("s", 6).alias("s"))
 
 
+# scalars, pairs and vectors
+
+
+@query("b20_math", "plain", sql="SELECT event_id, round(ln(abs(v) + 1), 6) a, round(tanh(v / 100), 6) b, round(1 / (1 + exp(-v / 100)), 6) c, ceil(v)::BIGINT d, round(least(greatest(v, 10), 90), 6) e FROM (SELECT event_id, \"value\"::DOUBLE v FROM events)")
+def _(spark, d):
+    v = F.col("value").cast("double")
+    cols = [F.round(F.log(F.abs(v) + 1), 6).alias("a"), F.round(F.tanh(v / 100), 6).alias("b"), F.round(S.sigmoid(v / 100), 6).alias("c"), F.ceil(v).cast("long").alias("d"), F.round(S.clamp(v, 10, 90), 6).alias("e")]
+    return table(spark, d, "events").select("event_id", *cols)
+
+
+@query("d08_greatest_count", edges_sql("train", ["carrier", "hscode", "origin"]), sql="SELECT dom_a, dom_b, max(cnt) + 1 top FROM edges GROUP BY 1, 2")
+def _(spark, d):
+    return R.co_occurrence(train(spark, d), ["carrier", "hscode", "origin"]).groupBy("dom_a", "dom_b").agg((F.max("cnt") + 1).alias("top"))
+
+
+@query("c09_pair_probe", edges_sql("train", ["consignee", "hscode", "shipper"]), sql="SELECT t.rec_id, p.a dom_a, p.b dom_b, coalesce(e.cnt, 0) cnt FROM test t CROSS JOIN (VALUES ('consignee', 'hscode'), ('consignee', 'shipper'), ('hscode', 'shipper')) p(a, b) LEFT JOIN edges e ON e.dom_a = p.a AND e.dom_b = p.b AND e.e_a = CASE p.a WHEN 'consignee' THEN t.consignee ELSE t.hscode END AND e.e_b = CASE p.b WHEN 'hscode' THEN t.hscode ELSE t.shipper END")
+def _(spark, d):
+    domains = ["consignee", "hscode", "shipper"]
+    return R.pair_counts(test(spark, d), R.co_occurrence(train(spark, d), domains), domains)
+
+
+@query("g08_column_negatives")
+def _(spark, d):
+    df = train(spark, d)
+    codes = R.dictionary(df, ["carrier", "hscode", "origin"])
+    parts = [R.negatives(df, codes, c, 3, CFG.seed).withColumn("replaced", F.lit(c)) for c in ("carrier", "hscode", "origin")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+AGREE = "SELECT a.vec_id va, b.vec_id vb, a.label la, b.label lb, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+
+
+def agreement(spark, d):
+    """Each vector beside the one with the next id: cosine, and both labels."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("vb"), F.col("embedding").alias("f"), F.col("label").alias("lb"))
+    dot = lambda x, y: S.dot(F.col(x), F.col(y))
+    return e.join(nxt, "vec_id").select(F.col("vec_id").alias("va"), "vb", F.col("label").alias("la"), "lb", (dot("embedding", "f") / F.sqrt(dot("embedding", "embedding")) / F.sqrt(dot("f", "f"))).alias("c"))
+
+
+@query("i14_agreement", "plain", sql=f"SELECT va, vb, round(1 / (1 + exp(-c)), 6) g FROM ({AGREE})")
+def _(spark, d):
+    return agreement(spark, d).select("va", "vb", F.round(S.sigmoid(F.col("c")), 6).alias("g"))
+
+
+@query("i15_agreement_loss", "plain", sql=f"SELECT round(avg(pow(la - lb, 2) / (1 + exp(-c))), 6) loss FROM ({AGREE})")
+def _(spark, d):
+    return agreement(spark, d).agg(F.round(F.avg(F.pow(F.col("la") - F.col("lb"), F.lit(2)) * S.sigmoid(F.col("c"))), 6).alias("loss"))
+
+
+@query("i22_adjusted_vectors", LONG, DICT, edges_sql("train", ["hscode", "origin"]), "v AS (SELECT \"domain\", \"value\", k, (((entity_id * 31 + k * 17) % 23 - 11) / 23.0)::DOUBLE x FROM dict CROSS JOIN generate_series(1, 4) g(k) WHERE \"domain\" IN ('hscode', 'origin'))", "b AS (SELECT dom_a d1, e_a e1, dom_b d2, e_b e2, cnt FROM edges UNION ALL SELECT dom_b, e_b, dom_a, e_a, cnt FROM edges)", "w AS (SELECT *, pow(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY d1, e1, d2), 2) q FROM b)", sql="SELECT v.\"domain\", v.\"value\", v.k, round(0.5 * (v.x + coalesce(a.x, 0)), 6) x FROM v LEFT JOIN (SELECT d1, e1, k, sum(q * x) x FROM w JOIN v ON v.\"domain\" = d2 AND v.\"value\" = e2 GROUP BY 1, 2, 3) a ON d1 = v.\"domain\" AND e1 = v.\"value\" AND a.k = v.k")
+def _(spark, d):
+    df = train(spark, d)
+    codes = R.dictionary(df, PAIR).select("domain", "value", S.code_vector(F.col("entity_id"), 4).alias("vec"))
+    return G.adjusted_vectors(codes, R.co_occurrence(df, PAIR)).select("domain", "value", F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"))
+
+
 # models: rows only
 
 
