@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cargolens.functions import scalars as S
 from cargolens.operators import graph as G
 from cargolens.operators import learning as L
+from cargolens.operators import measures as M
 from cargolens.operators import relational as R
 from cargolens.plans.catalog import CFG, COMMUTING, DICT, LONG, ROUTES, SCORED, SERIAL, edges_sql, hop_sql, query, routes, scored, table, test, train
 from cargolens.sources.records import META_PATHS
@@ -244,3 +245,16 @@ def _(spark, d):
 @query("i12_link_relabelling")
 def _(spark, d):
     return L.relabelled_by_links(revealed(spark, d), R.co_occurrence(train(spark, d), PAIR), PATH, TREES, rounds=4).select("rec_id", "known", "y")
+
+
+@query("i13_supervised_metrics")
+def _(spark, d):
+    df = revealed(spark, d)
+    guess = L.margins(L.forest(df, TREES), df.filter("y = 0"), TREES)
+    return M.metrics(guess.select((F.col("margin") > 0).cast("int").alias("p"), (F.col("truth") == 1).cast("int").alias("t")), "p", "t")
+
+
+@query("i16_self_training")
+def _(spark, d):
+    df = revealed(spark, d).drop("truth", "score")
+    return L.self_trained(df, TREES, rounds=2, least_margin=0.1).select("rec_id", "known", "y")

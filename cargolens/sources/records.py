@@ -39,7 +39,7 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
     """Meta-paths, a line each: domains separated by commas."""
-    return spark.read.text(path).filter("trim(value) <> ''").select(F.transform(F.split("value", ","), F.trim).alias("path"))
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("path"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
