@@ -1,29 +1,39 @@
 """Mixing sources to target weights by a Pfair schedule.
 
 Block i of a source of weight w is released at floor((i - 1) / w) and due at
-ceil(i / w); of the released blocks, the one due first takes the slot. With
-weights of parts of a period the schedule repeats, so only one period is laid
-out (whose length is a parameter) and every block's slot follows by arithmetic.
-When a source has run out, the others go on with their weights in proportion:
-a new phase. Within a phase no source is a block or more away from its share.
+ceil(i / w); of the released blocks, the one due first takes the slot. Weights
+are exact fractions. A schedule repeats after as many slots as their common
+denominator, so one such period is laid out, or the whole phase where that is
+shorter, and every block's slot follows by arithmetic. When a source has run
+out, the others go on with their weights in proportion: a new phase. Within a
+phase no source is a block or more away from its share.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK, PERIOD, RANK_BUCKETS = 64, 2520, 64
+BLOCK, RANK_BUCKETS = 64, 64
 
 
-def parts_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as whole parts of the period, one at least, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w).limit_denominator(10**9) * period / Fraction(total).limit_denominator(10**9) for s, w in weights.items()}
+def parts_of(weights: dict[str, float], period: int | None = None) -> dict[str, int]:
+    """Weights as whole parts of their common denominator, exactly; a float is the decimal number that it prints as.
+
+    A period that a caller gives rounds them: one part at least, by largest remainders.
+    """
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    total = sum(exact.values())
+    if period is None:
+        shares = {s: w / total for s, w in exact.items()}
+        size = math.lcm(*(w.denominator for w in shares.values()))
+        return {s: int(w * size) for s, w in shares.items()}
+    exact = {s: w * period / total for s, w in exact.items()}
     parts = {s: max(1, int(x)) for s, x in exact.items()}
     order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
     k = 0
@@ -36,8 +46,8 @@ def parts_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return parts
 
 
-def one_period(parts: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in a period of sum(parts) slots, by earliest deadline."""
+def one_period(parts: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """The slots of each source's blocks in a period of sum(parts) slots, by earliest deadline; it ends sooner if a source's last block of left is placed."""
     period = sum(parts.values())
     release = lambda s, i: i * period // parts[s]
     due = lambda s, i: -(-(i + 1) * period // parts[s])
@@ -45,7 +55,8 @@ def one_period(parts: dict[str, int]) -> dict[str, list[int]]:
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     slots: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(period):
+    slot = 0
+    while slot < period:
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (due(s, i), s, i))
@@ -53,22 +64,31 @@ def one_period(parts: dict[str, int]) -> dict[str, list[int]]:
         if slot >= deadline:
             raise RuntimeError("a deadline was missed")
         slots[s].append(slot)
+        if left is not None and i + 1 == left[s]:
+            break
         if i + 1 < parts[s]:
             heapq.heappush(waiting, (release(s, i + 1), s, i + 1))
+        slot += 1
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """Per phase its first slot, and for each source parts, slots of a period, first and end block."""
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[dict]:
+    """Per phase its first slot, and for each source parts, slots of a period, first and end block.
+
+    A source of weight 0 waits until those with a weight have run out.
+    """
     left, done, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    if not all(0 <= weights[s] < math.inf for s in left):
+        raise ValueError("weights are finite and not negative")
     while left:
-        parts = parts_of({s: weights[s] for s in left}, max(period, len(left)))
-        slots, size = one_period(parts), sum(parts.values())
-        ends = {s: (left[s] - 1) // parts[s] * size + slots[s][(left[s] - 1) % parts[s]] + 1 for s in left}
+        live = {s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1)
+        slots = one_period(parts_of(live, period and max(period, len(live))), left)
+        parts, size = {s: len(x) for s, x in slots.items()}, sum(map(len, slots.values()))
+        ends = {s: (left[s] - 1) // parts[s] * size + slots[s][(left[s] - 1) % parts[s]] + 1 for s in live if parts[s]}
         length = min(ends.values())  # the phase ends with the first source's last block
         whole, rest = divmod(length, size)
-        taken = {s: whole * parts[s] + sum(x < rest for x in slots[s]) for s in left}
-        out += [{"source": s, "phase_start": start, "parts": parts[s], "size": size, "slots": slots[s], "from": done[s], "to": done[s] + taken[s]} for s in left if taken[s]]
+        taken = {s: whole * parts[s] + sum(x < rest for x in slots[s]) for s in live}
+        out += [{"source": s, "phase_start": start, "parts": parts[s], "size": size, "slots": slots[s], "from": done[s], "to": done[s] + taken[s]} for s in live if taken[s]]
         for s, n in taken.items():
             done[s] += n
             left[s] -= n
@@ -76,7 +96,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
     return out
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, buckets: int = RANK_BUCKETS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, buckets: int = RANK_BUCKETS) -> DataFrame:
     """docs with src, block_no, slot and place (the order of the mix, from 0).
 
     Every row is kept: sources that outlast others go on alone. A null source is
@@ -95,7 +115,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     if not totals:
         return base.withColumns({"src": F.lit(None).cast("string"), "block_no": F.lit(0).cast("long"), "slot": F.lit(0).cast("long"), "place": F.lit(0).cast("long")}).limit(0)
     plan = phases({s: -(-n // block) for s, n in totals.items()}, {s: (weights or {}).get(s, 1.0) for s in totals}, period)
-    schema = "src string, phase_start long, parts long, size long, slots array<int>, `from` long, to long"
+    schema = "src string, phase_start long, parts long, size long, slots array<long>, `from` long, to long"
     schedule = spark.createDataFrame([(p["source"], p["phase_start"], p["parts"], p["size"], p["slots"], p["from"], p["to"]) for p in plan], schema).groupBy("src").agg(F.collect_list(F.struct("phase_start", "parts", "size", "slots", "from", "to")).alias("_phases"))
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("src", "_b", "_before")
     rank = F.row_number().over(Window.partitionBy("src", "_b").orderBy("_h", "_id")) - 1

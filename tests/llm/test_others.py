@@ -139,6 +139,34 @@ def test_period_meets_deadlines():
         assert sorted(x for v in slots.values() for x in v) == list(range(97))
 
 
+@pytest.mark.parametrize("weights", [{str(k): 1.0 for k in range(11)}, {"0": 2.0} | {str(k): 1.0 for k in range(1, 18)}, {"a": 0.7, "b": 0.29999, "c": 0.00001}, {"a": 1 / 3, "b": 0.123456789, "c": 2}])
+def test_mix_follows_target_weights_over_many_periods(weights):
+    from fractions import Fraction
+
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    blocks = {s: 1 + int(60_000 * w / sum(exact.values())) for s, w in exact.items()}
+    plan = mixing.phases(blocks, weights)
+    at = {}
+    for p in plan:
+        for k in range(p["to"] - p["from"]):
+            at[p["phase_start"] + k // p["parts"] * p["size"] + p["slots"][k % p["parts"]]] = p["source"]
+    assert sorted(at) == list(range(sum(blocks.values())))
+    end = min((p["phase_start"] for p in plan if p["phase_start"]), default=len(at))
+    share, n = {s: w / sum(exact.values()) for s, w in exact.items()}, dict.fromkeys(weights, 0)
+    assert end > 20_000
+    for slot in range(end):
+        n[at[slot]] += 1
+        assert slot % 97 and slot < end - 1 or all(abs(n[s] - share[s] * (slot + 1)) < 1 for s in n)
+
+
+def test_mix_of_many_sources_keeps_double_weight():
+    weights = {"0": 2.0} | {str(k): 1.0 for k in range(1, 2600)}
+    plan = mixing.phases({s: 4 if s == "0" else 2 for s in weights}, weights)
+    assert {p["source"]: p["to"] - p["from"] for p in plan if p["phase_start"] == 0}["0"] >= 3
+    late = mixing.phases({"a": 2, "b": 2, "c": 1}, {"a": 0, "b": 1, "c": 1})
+    assert min(p["phase_start"] for p in late if p["source"] == "a") == 3
+
+
 def test_quality_on_held_out_documents(spark, sf_dir):
     bigger = sf_dir.replace("sf0.001", "sf0.1")
     got = {r.doc_id: r for r in quality_crf.digest_query(spark, bigger).collect()}
