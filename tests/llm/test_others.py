@@ -215,3 +215,55 @@ def test_license_scan_equals_every_line(spark, sf_dir):
                 want.add((i, k, found["template"], found["saved_bytes"], found["lacking"], found["added"]))
     got = {(r.pid, r.line_no, r.template, r.saved_bytes, r.lacking, r.added) for r in license_scan.scan(frame(spark, rows)).filter("confirmed").collect()}
     assert got == want and len(want) >= 5
+
+
+def licence_rows(spark, texts, templates=None):
+    return {(r.pid, r.line_no, r.template, r.lacking, r.added, r.block.count("\n")) for r in license_scan.scan(frame(spark, list(enumerate(texts))), templates).filter("confirmed").collect()}
+
+
+def test_license_blocks_join_lines_and_follow_templates(spark):
+    import textwrap
+
+    full, filler = license_scan.TEMPLATES, "some plain words that are prose " * 9
+    wrap = lambda t, lead="": "\n".join(lead + x for x in textwrap.wrap(" ".join(t.split()), 70))
+    mit, apache = wrap(full["MIT#text"], "# "), wrap(full["Apache-2.0-notice#text"])
+    texts = [
+        f"{filler}\n{mit}\n{filler}",
+        full["BSD-2-Clause#text"],
+        f'{filler} Licensed under the Apache License, Version 2.0 (the "License"); {filler}',
+        "This work is licensed\nunder the GNU General Public\nLicense, version 3.",
+        apache,
+        full["GPL-3.0-only#text"],
+    ]
+    n = mit.count("\n")
+    got = licence_rows(spark, texts)
+    assert (0, 1, "MIT#text", 0, 0, n) in got and len([g for g in got if g[0] == 0]) == 1
+    assert {g[2:5] for g in got if g[0] == 1} == {("BSD-2-Clause#text", 0, 0)}
+    assert {g[1:] for g in got if g[0] == 2} == {(0, "Apache-2.0", 0, 0, 0)}
+    assert {g[1:] for g in got if g[0] == 3} == {(0, "GPL-3.0-only", 0, 0, 2)}
+    assert (4, 0, "Apache-2.0-notice#text", 0, 0, apache.count("\n")) in got
+    assert any(g[0] == 5 and g[2:5] == ("GPL-3.0-only#text", 0, 0) for g in got)
+    own = {"own": "Anyone may paint this fence on any Tuesday of the year."}
+    assert licence_rows(spark, ["a\nAnyone may paint this\nfence on any Tuesday of the year", "Anyone may paint this fence on any Tuesday of the year"], own) == {(0, 1, "own", 0, 0, 1), (1, 0, "own", 0, 0, 0)}
+
+
+def test_license_costs_equal_brute_force():
+    import functools
+
+    import numpy as np
+
+    def plain(t, w):
+        @functools.cache
+        def d(i, j):
+            if i == 0 or j == 0:
+                return i + j, i
+            a, b = d(i - 1, j), d(i, j - 1)
+            return min((a[0] + 1, a[1] + 1), (b[0] + 1, b[1]), *([d(i - 1, j - 1)] if t[i - 1] == w[j - 1] else []))
+
+        return d(len(t), len(w))
+
+    r = random.Random(5)
+    for _ in range(60):
+        t, w = ([r.randint(0, 3) for _ in range(r.randint(1, 8))] for _ in range(2))
+        want = min(plain(t, w[a:b]) for a in range(len(w) + 1) for b in range(a, len(w) + 1))
+        assert divmod(int(license_scan.costs(np.array(t), np.array(w)).min()), license_scan.ADD) == want
