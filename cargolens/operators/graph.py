@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.operators.relational import both_ways
+from cargolens.plans.durable import cut
 
 
 def hop(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -77,8 +78,12 @@ def relations(paths: DataFrame) -> DataFrame:
     return pairs.select(F.least("p.a", "p.b").alias("dom_a"), F.greatest("p.a", "p.b").alias("dom_b")).distinct()
 
 
-def sim_rank(m: DataFrame, rounds: int, decay: float = 0.8) -> DataFrame:
-    """(src, dst, s) of the left side of a bipartite graph; each round goes right to left and back from what is known."""
+def sim_rank(m: DataFrame, rounds: int | None, decay: float = 0.8, tolerance: float = 1e-4) -> DataFrame:
+    """(src, dst, s) of the left side of a bipartite graph; each round goes right to left and back from what is known.
+
+    Without rounds it goes on until no similarity moves by more than the
+    tolerance times one plus itself; it shrinks each round, so that comes.
+    """
     left = m.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     right = left.selectExpr("b a", "a b")
 
@@ -93,9 +98,16 @@ def sim_rank(m: DataFrame, rounds: int, decay: float = 0.8) -> DataFrame:
         sums = both.groupBy("src", "dst").agg(F.sum("s").alias("t"), F.first(F.col("nx") * F.col("ny")).alias("n"))
         return sums.select("src", "dst", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(decay * F.col("t") / F.col("n")).alias("s"))
 
-    known = None
-    for _ in range(rounds):
-        known = step(step(known, right), left)
+    known, done = None, 0
+    while done != rounds:
+        last, known, done = known, step(step(known, right), left), done + 1
+        if rounds is None:
+            known = cut(known)
+            if last is not None:
+                before = last.withColumnRenamed("s", "was")
+                moved = known.join(before, ["src", "dst"], "left").filter(F.abs(F.col("s") - F.coalesce("was", F.lit(0.0))) > tolerance * (1 + F.coalesce("was", F.lit(0.0))))
+                if moved.isEmpty():
+                    break
     return known
 
 

@@ -161,6 +161,11 @@ def _(spark, d):
     return G.sim_rank(G.hop(R.co_occurrence(train(spark, d), PAIR), "origin", "hscode"), 1).select("src", "dst", F.round("s", 6).alias("s"))
 
 
+@query("h14_sim_rank_converged")
+def _(spark, d):
+    return G.sim_rank(G.hop(R.co_occurrence(train(spark, d), PAIR), "origin", "hscode"), None).select("src", "dst", F.round("s", 6).alias("s"))
+
+
 # scalars, pairs and vectors
 
 
@@ -239,12 +244,12 @@ def _(spark, d):
 
 @query("i11_neighbour_relabelling")
 def _(spark, d):
-    return L.relabelled_by_neighbours(revealed(spark, d), similarity(spark, d), "origin", TREES, rounds=6).select("rec_id", "known", "y")
+    return L.relabelled_by_neighbours(revealed(spark, d), similarity(spark, d), "origin", TREES).select("rec_id", "known", "y")
 
 
 @query("i12_link_relabelling")
 def _(spark, d):
-    return L.relabelled_by_links(revealed(spark, d), R.co_occurrence(train(spark, d), PAIR), PATH, TREES, rounds=4).select("rec_id", "known", "y")
+    return L.relabelled_by_links(revealed(spark, d), R.co_occurrence(train(spark, d), PAIR), PATH, TREES).select("rec_id", "known", "y")
 
 
 @query("i13_supervised_metrics")
@@ -257,4 +262,4 @@ def _(spark, d):
 @query("i16_self_training")
 def _(spark, d):
     df = revealed(spark, d).drop("truth", "score")
-    return L.self_trained(df, TREES, rounds=2, least_margin=0.1).select("rec_id", "known", "y")
+    return L.self_trained(df, TREES, least_margin=0.1).select("rec_id", "known", "y")

@@ -64,3 +64,40 @@ def test_median_and_mixture(spark, toy):
     parts.append(spark.createDataFrame([("a", "c", 0.5)], "src string, dst string, s double"))
     assert {(r.dst, r.s) for r in G.median_similarity(parts).collect()} == {("b", 0.2), ("c", 0.0)}
     assert R.mixture(toy, "y", {1: 1, 0: 5}, 7).groupBy("y").agg(F.count("*").alias("n")).orderBy("y").collect() == [(0, 2), (1, 1)]
+
+
+def test_sim_rank_converges(spark):
+    chain = [("a", "p"), ("b", "p"), ("b", "q"), ("c", "q"), ("c", "r"), ("d", "r")]
+    s = {(r.src, r.dst): r.s for r in G.sim_rank(spark.createDataFrame([(a, b, 1.0) for a, b in chain], "src string, dst string, w double"), None).collect()}
+    near = {n: sorted({y for x, y in [*chain, *((b, a) for a, b in chain)] if x == n}) for e in chain for n in e}
+    want = {(x, y): float(x == y) for x in near for y in near}
+    for _ in range(200):
+        want = {(x, y): 1.0 if x == y else 0.8 * sum(want[p, q] for p in near[x] for q in near[y]) / len(near[x]) / len(near[y]) for x, y in want}
+    assert ("a", "d") in s and all(s[x, y] == pytest.approx(want[x, y], abs=1e-3) for x in "abcd" for y in "abcd")
+
+
+def test_queries_run_to_the_reference_limits(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from cargolens.plans import catalog
+
+    asked = {}
+    for name in ("relabelled_by_neighbours", "relabelled_by_links", "self_trained"):
+        def spy(*args, _name=name, _like=inspect.signature(getattr(L, name)), **kw):
+            call = _like.bind(*args, **kw)
+            call.apply_defaults()
+            asked[_name] = call.arguments["rounds"]
+            return args[0].withColumn("known", F.col("y"))
+
+        monkeypatch.setattr(L, name, spy)
+    for name in ("i11_neighbour_relabelling", "i12_link_relabelling", "i16_self_training"):
+        catalog.queries()[name](spark, sf_dir)
+    assert asked == {"relabelled_by_neighbours": 25, "relabelled_by_links": 10, "self_trained": 10}
+
+
+def test_links_go_on_until_no_label_is_unknown_or_moves(toy, monkeypatch):
+    bounds = []
+    clamped = L.clamped
+    monkeypatch.setattr(L, "clamped", lambda value, bound: bounds.append(bound) or clamped(value, bound))
+    L.relabelled_by_links(toy, edges(toy), ["S", "H"], ["H", "P"], rounds=2)
+    assert len(bounds) > 6 and bounds[-2:] == [0.05, 0.05]
