@@ -1,8 +1,10 @@
 """Vectorised text primitives over Arrow string buffers.
 
 A batch of texts is one UTF-8 byte buffer with row offsets, so tokenising and
-hashing are a few numpy passes over the bytes and no Python string is made.
-All hashes are 64-bit polynomial hashes mod 2**64, finalised by a mixer.
+hashing are a few numpy passes over the bytes. Hashes of bytes are polynomials
+mod 2**64, finalised by a mixer: quick, but texts can be made that collide, so
+they choose anchors and candidates, and whoever cuts or links compares bytes.
+Hashes of words are made from distinct words by a hash without such structure.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _RADIX = 0x9E3779B97F4A7C15 | 1
@@ -95,9 +98,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A hash for each word, after A-Z became a-z if lower."""
-    return slice_hash(prefix_sums(_LOWER[data] if lower else data), starts, ends)
+def rough_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash for each word, after A-Z became a-z: good for counting features, not for equality."""
+    return slice_hash(prefix_sums(_LOWER[data]), starts, ends)
+
+
+def coded_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """A code for each word of the rows, each row's first word (len rows + 1), and the distinct words by code.
+
+    Words are compared as bytes, after A-Z became a-z if lower; codes hold for these rows alone.
+    """
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    whole = pc.greater(pc.binary_length(parts.values), 0)
+    known = parts.values.filter(whole).dictionary_encode()
+    first = np.r_[0, np.cumsum(whole.to_numpy(zero_copy_only=False))][parts.offsets.to_numpy()]
+    return known.indices.to_numpy().astype(np.int64), first, known.dictionary
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and each row's first word."""
+    codes, first, known = coded_words(data, offsets, lower)
+    seen = np.fromiter(map(xxhash.xxh3_64_intdigest, known.cast(pa.large_binary()).to_pylist()), np.uint64, len(known))
+    return seen[codes], first
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:

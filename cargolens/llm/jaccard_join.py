@@ -9,15 +9,18 @@ a document within the radius could be nearest to: two sets within 0.25 share
 one of the first |x| - ceil(3|x|/4) + 1 shingles of each. A document is
 replicated to those regions alone.
 
-Regions join recursively, with documents as pivots. A region's leader is
-measured against its members, and members against a few neighbours in key
-order, which connects families whose members are loosely alike at a cost in
-proportion to their size; members within the radius of it are one ball,
-linked through the leader. Pairs inside a ball need no measure; a member x and
-an outer y are compared only if |d(x, leader) - d(y, leader)| is within the
-radius and they are not yet connected; the outer rest is joined among itself,
-with size and position bounds. No link between components is lost, but pairs
-that are connected already are not all listed.
+Members of one region that its bounds leave are joined recursively, with
+documents as pivots: the member of the least key leads, and as the regions of
+a family mostly have the same leader, a family is one group, whose texts come
+once. A group that is too large for one task is split at random, with its
+leader in each part. In a part the leader's ball (distance within the radius)
+is connected; a member outside it is the next pivot, and meets those alone
+whose distances to the pivots so far differ by no more than the radius and
+that it isn't connected with. What stays outside the leader's component then
+visits the other parts: residents are dealt to rings by distance to the
+leader, and a visitor is replicated to its own ring and its neighbours, the
+triangle's window. Everything is compared by words, not by hashes. No link
+between components is lost; pairs that are connected already aren't listed.
 
 Rarity comes from a fixed number of counters over all documents' shingles and
 sets only the order; any order gives the same result.
@@ -25,6 +28,7 @@ sets only the order; any order gives the same result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +39,13 @@ from pyspark.sql import functions as F
 
 from cargolens.llm import arrowtext as at
 from cargolens.llm import shared
-from cargolens.llm.passages import NULL_ID, keyed, packed
+from cargolens.llm.passages import packed
 
-WORDS, COUNTERS, FILTER_BITS, SMALL = 5, 1 << 22, 1 << 23, 4
+WORDS, COUNTERS, RADIUS = 5, 1 << 22, 0.25
 AT_ONCE = 300_000  # windows held before they are sent on
-CHAIN, PARTNERS = (1, 2, 3, 5, 8, 13), 12
+PART_SHINGLES, LEAST_SHINGLES, PIVOTS = 1 << 18, 64, 8  # of a part; what a member counts at least; pivots whose distances are kept
 WINDOW = np.dtype([("s", "<u4"), ("k", "<i8"), ("n", "<u4"), ("q", "u1")])
-MEMBER = np.dtype([("r", "<u8"), ("leader", "<i8"), ("k", "<i8"), ("n", "<i4"), ("p", "<i4")])
+MEMBER = np.dtype([("leader", "<i8"), ("k", "<i8"), ("n", "<i4")])
 
 
 def window_size(n):
@@ -49,14 +53,19 @@ def window_size(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-def shingles(data, offsets, rarity=None):
-    """Distinct shingle ids of each row in rarity order, and the rows' bounds among them."""
-    starts, ends, first = at.words(data, offsets)
+def counts_of(first):
+    """How many shingles with repeats rows of so many words have."""
     m = np.diff(first)
-    count = np.where(m >= WORDS, m - WORDS + 1, (m > 0).astype(np.int64))
+    return m, np.where(m >= WORDS, m - WORDS + 1, (m > 0).astype(np.int64))
+
+
+def shingles(data, offsets, rarity=None):
+    """Distinct shingle hashes of each row in rarity order, and the rows' bounds among them."""
+    hashes, first = at.word_hashes(data, offsets, lower=True)
+    m, count = counts_of(first)
     row = np.repeat(np.arange(len(m)), count)
     s = np.arange(len(row)) - np.repeat((np.cumsum(count) - count), count) + first[row]
-    h = at.slice_hash(at.prefix_sums(at.word_hashes(data, starts, ends, lower=True)), s, s + np.minimum(WORDS, m[row]))
+    h = at.slice_hash(at.prefix_sums(hashes), s, s + np.minimum(WORDS, m[row]))
     h >>= np.uint64(6)
     if rarity is not None:
         h |= rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
@@ -67,13 +76,16 @@ def shingles(data, offsets, rarity=None):
     return h, np.searchsorted(row, np.arange(len(m) + 1))
 
 
-def class_keys(h, bounds):
-    """One key for each distinct set, whatever the rarity; 0 for the empty set."""
-    h = h & np.uint64((1 << 58) - 1)
-    sums = np.r_[np.uint64(0), np.cumsum(at.mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
-    n = np.diff(bounds)
-    key = at.mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ (n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))).view(np.int64)
-    return np.where(n > 0, np.where(key == 0, 1, key), 0)
+def keys_of(data, offsets, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a digest of each row's lowered words; the first is the class, and 0 for a row without words."""
+    raw, out = data.tobytes(), np.zeros((len(offsets) - 1, 2), np.int64)
+    salt = seed.to_bytes(8, "little")
+    for i in range(len(out)):
+        words = raw[int(offsets[i]) : int(offsets[i + 1])].lower().split()
+        if words:
+            out[i] = np.frombuffer(hashlib.blake2b(b" ".join(words), digest_size=16, salt=salt).digest(), "<i8")
+            out[i, 0] = out[i, 0] or 1
+    return out[:, 0], out[:, 1]
 
 
 def rarity_classes(texts: DataFrame) -> np.ndarray:
@@ -93,8 +105,29 @@ def rarity_classes(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def replicate(rarity, n_buckets: int):
-    """Each distinct set of a batch goes to its window of regions."""
+def classes(seed: int):
+    """(pid, k, check, n_shingles, text): class and set size of every row; the compressed text of the batch's first of a class."""
+    schema = pa.schema([("pid", pa.int64()), ("k", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("text", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            have: set[int] = set()
+            for row, end, data, offsets in at.chunks(*at.buffers(batch.column(1))):
+                k, check = keys_of(data, offsets, seed)
+                _, bounds = exact_sets(data, offsets)
+                texts = [None] * len(k)
+                for i, x in enumerate(k.tolist()):
+                    if x and x not in have:
+                        have.add(x)
+                        texts[i] = squeeze.compress(data[offsets[i] : offsets[i + 1]].tobytes())
+                yield pa.record_batch([batch.column(0).slice(row, end - row), pa.array(k), pa.array(check), pa.array(np.diff(bounds), pa.int64()), pa.array(texts, pa.binary())], schema=schema)
+
+    return run
+
+
+def replicate(rarity, n_buckets: int, seed: int):
+    """Each class of a batch goes to its window of regions."""
     schema = pa.schema([("bucket", pa.int32()), ("windows", pa.binary())])
 
     def flush(parts: list) -> pa.RecordBatch:
@@ -106,8 +139,8 @@ def replicate(rarity, n_buckets: int):
         for batch in batches:
             parts, have = [], np.zeros(0, np.int64)
             for *_, data, offsets in at.chunks(*at.buffers(batch.column(1))):
+                key, _ = keys_of(data, offsets, seed)
                 h, bounds = shingles(data, offsets, rarity.value)
-                key = class_keys(h, bounds)
                 _, once = np.unique(key, return_index=True)
                 once = once[(key[once] != 0) & ~np.isin(key[once], have)]
                 have = np.r_[have, key[once]]
@@ -134,199 +167,239 @@ def close_sizes(n, m, p, q):
 
 
 def regions(table: pa.Table) -> pa.Table:
-    """A bucket's regions: all plausible pairs of small ones; of larger ones the pairs with the leader, and the members.
+    """A bucket's regions as (leader, member) rows, without members that fit no other by size and place.
 
     A region is split where the next larger set is too large to be linked to
-    any smaller one.
+    any smaller one. The leader is the member of the least key.
     """
     bucket = table.column("bucket")[0].as_py()
     a = np.frombuffer(b"".join(table.column("windows").to_pylist()), WINDOW)
     a = a[np.lexsort((a["k"], a["n"], a["s"]))]
     a = a[np.r_[True, (a["s"][1:] != a["s"][:-1]) | (a["k"][1:] != a["k"][:-1])][: len(a)]]
-    n = a["n"].astype(np.int64)
-    head = np.flatnonzero(np.r_[True, (a["s"][1:] != a["s"][:-1]) | (4 * n[:-1] < 3 * n[1:])][: len(a)])
-    size = np.diff(np.r_[head, len(a)])
-    p = a["q"].astype(np.int64) * window_size(n) // 256
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for step in range(1, SMALL):
-        for k in range(step, SMALL):
-            i = head[(size <= SMALL) & (size > k)] + k
-            j = i - step
-            ok = close_sizes(n[i], n[j], p[i], p[j])
-            left.append(a["k"][j[ok]])
-            right.append(a["k"][i[ok]])
-    large = np.flatnonzero(size > SMALL)
-    many = np.repeat(size > SMALL, size)
-    if len(large):
-        # the leader is the member of the least key, so that regions of one family share it
-        rest = np.flatnonzero(many)
-        group = np.repeat(np.arange(len(large)), size[large])
-        by = np.lexsort((a["k"][rest], group))
-        lead_of = rest[by[np.r_[0, np.cumsum(size[large])[:-1]]]]
-        lead = lead_of[group]
-        ok = (lead != rest) & close_sizes(n[lead], n[rest], p[lead], p[rest])
-        left.append(a["k"][lead[ok]])
-        right.append(a["k"][rest[ok]])
-        by = rest[by]  # members by key: neighbours are the same in most regions of a family
-        for step in CHAIN:
-            i, j = by[step:], by[:-step]
-            ok = (group[step:] == group[:-step]) & close_sizes(n[i], n[j], p[i], p[j])
-            left.append(a["k"][i[ok]])
-            right.append(a["k"][j[ok]])
-    left, right = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0)
-    m = np.empty(int(many.sum()), MEMBER)
-    if len(m):
-        m["r"], m["leader"], m["k"], m["n"], m["p"] = (a["s"][rest].astype(np.uint64) << np.uint64(20)) + group.astype(np.uint64), a["k"][lead], a["k"][rest], n[rest], p[rest]
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "pairs": pa.array([pairs.astype("<i8").tobytes()], pa.binary()), "members": pa.array([m.tobytes()], pa.binary())})
-
-
-def unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in batch.column(0).to_pylist():
-            p = np.frombuffer(b, "<i8").reshape(-1, 2)
-            yield pa.record_batch({"a": p[:, 0].copy(), "b": p[:, 1].copy()})
+
+    def split(a):
+        n = a["n"].astype(np.int64)
+        head = np.flatnonzero(np.r_[True, (a["s"][1:] != a["s"][:-1]) | (4 * n[:-1] < 3 * n[1:])][: len(a)])
+        return n, head, np.diff(np.r_[head, len(a)])
+
+    n, head, size = split(a)
+    several = np.repeat(size > 1, size)
+    a = a[several]
+    n, head, size = split(a)
+    if len(a):
+        p = a["q"].astype(np.int64) * window_size(n) // 256
+        index, first = np.arange(len(a)), np.repeat(head, size)
+        least = np.where(index == first, n[np.minimum(first + 1, len(a) - 1)], n[first])  # the smallest other set
+        least = np.maximum(least, (3 * n + 3) // 4)
+        keep = n - p >= (3 * (n + least) + 6) // 7
+        two = np.flatnonzero(size == 2)
+        fits = close_sizes(n[head[two]], n[head[two] + 1], p[head[two]], p[head[two] + 1])
+        keep[head[two]] &= fits
+        keep[head[two] + 1] &= fits
+        group = np.repeat(np.arange(len(head)), size)[keep]
+        a = a[keep]
+        enough = (np.bincount(group, minlength=1) > 1)[group]
+        a, group = a[enough], group[enough]
+    out = np.empty(len(a), MEMBER)
+    if len(a):
+        by = np.lexsort((a["k"], group))
+        start = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+        out["leader"] = np.repeat(a["k"][by][start], np.diff(np.r_[start, len(a)]))
+        out["k"], out["n"] = a["k"], a["n"]
+        out = np.unique(out)
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "members": pa.array([out.tobytes()], pa.binary())})
 
 
 def unpack_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for bucket, b in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+        for b in batch.column(0).to_pylist():
             m = np.frombuffer(b, MEMBER)
             if len(m):
-                yield pa.record_batch({"bucket": pa.array(np.full(len(m), bucket, np.int32)), **{c: m[c].astype(np.int64) for c in ("r", "leader", "k", "n", "p")}})
-
+                yield pa.record_batch({c: m[c].astype(np.int64) for c in MEMBER.names})
 
-def texts_of(wanted):
-    """(k, compressed text) of the batch's distinct sets that the filter lets through; a text is smaller than its set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            have = np.zeros(0, np.int64)
-            for *_, data, offsets in at.chunks(*at.buffers(batch.column(1))):
-                key = class_keys(*shingles(data, offsets))
-                _, once = np.unique(key, return_index=True)
-                bit = key[once].view(np.uint64) % np.uint64(FILTER_BITS)
-                ok = (wanted.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                once = np.sort(once[(ok == 1) & (key[once] != 0) & ~np.isin(key[once], have)])
-                have = np.r_[have, key[once]]
-                yield pa.record_batch([pa.array(key[once]), pa.array([squeeze.compress(data[offsets[i] : offsets[i + 1]].tobytes()) for i in once], pa.binary())], names=["k", "text"])
-
-    return run
 
-
-def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Common and all shingles of each pair."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            texts = [zstandard.decompress(x) for two in zip(*(part.column(i).to_pylist() for i in (2, 3)), strict=True) for x in two]
-            h, bounds = shingles(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64))
-            sizes = np.diff(bounds)
-            pair = np.repeat(np.arange(len(texts)) // 2, sizes)
-            order = np.lexsort((h, pair))
-            h, pair = h[order], pair[order]
-            both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(sizes[::2] + sizes[1::2] - both, pa.int64())], names=["a", "b", "inter", "all"])
-
-
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return pairs.join(sets.selectExpr("k b", "text sb"), "b").join(sets.selectExpr("k a", "text sa"), "a").select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long, inter long, `all` long")
-
-
-def boundary(most: int | None):
-    """Pairs of a region that may still link components: outside the leader's ball, or across its rim.
-
-    Members that the bounds had kept from being measured against the leader
-    have inter -1 and no known distance, so no triangle rules them out. With
-    `most`, a member proposes no more than that many partners in a region: a
-    step that connects families before the last, unbounded one.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        t = {c: table.column(c).to_numpy() for c in ("r", "k", "n", "p", "root", "inter", "all")}
-        order = np.lexsort((t["k"], t["r"]))
-        t = {c: x[order] for c, x in t.items()}
-        d = 1 - t["inter"] / t["all"]
-        ball = 4 * t["inter"] >= 3 * t["all"]
-        cut = np.r_[np.flatnonzero(np.r_[True, t["r"][1:] != t["r"][:-1]][: len(d)]), len(d)]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            if (t["root"][s:e] == t["root"][s]).all():
-                continue
-            inner, outer = s + np.flatnonzero(ball[s:e]), s + np.flatnonzero(~ball[s:e])
-            for i, y in enumerate(outer):
-                others = np.r_[inner[np.abs(d[inner] - d[y]) <= 0.25 + 1e-9] if t["inter"][y] >= 0 else inner, outer[i + 1 :]]
-                others = others[(t["root"][others] != t["root"][y]) & close_sizes(t["n"][others], t["n"][y], t["p"][others], t["p"][y])]
-                others = others[:most]
-                left.append(np.minimum(t["k"][others], t["k"][y]))
-                right.append(np.maximum(t["k"][others], t["k"][y]))
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
-
-    return run
-
-
-def groups(docs: DataFrame, per_partition: int = 4) -> DataFrame:
-    """pid, n_shingles and component_id of every document.
+def exact_sets(data, offsets) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each row as numbers that stand for their words, without hashing, and the rows' bounds."""
+    w, first, _ = at.coded_words(data, offsets, lower=True)
+    m, count = counts_of(first)
+    row = np.repeat(np.arange(len(m)), count)
+    s = np.arange(len(row)) - np.repeat((np.cumsum(count) - count), count) + first[row]
+    long = m[row] >= WORDS
+    ids, code, span, top = np.empty(len(row), np.int64), w, 1, 0
+    while span < WORDS and len(code) >= WORDS:  # code: for each place the `span` words from there on
+        step = min(span, WORDS - span)
+        kinds, code = np.unique(code[: len(code) - step] * (int(code.max()) + 1) + code[step:], return_inverse=True)
+        span, top = span + step, len(kinds)
+    if long.any():
+        ids[long] = code[s[long]]
+    seen: dict[tuple, int] = {}
+    for i in np.flatnonzero(~long):  # texts of fewer words: one shingle
+        ids[i] = top + seen.setdefault(tuple(w[s[i] : s[i] + m[row[i]]].tolist()), len(seen))
+    order = np.lexsort((ids, row))
+    ids, row = ids[order], row[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])][: len(ids)]
+    ids, row = ids[new], row[new]
+    return ids, np.searchsorted(row, np.arange(len(m) + 1))
+
+
+class Sets:
+    """Shingle sets of a bucket's texts, and what they have in common."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.cumsum([0, *(len(t) for t in texts)]).astype(np.int64)
+        self.ids, self.bounds = exact_sets(np.frombuffer(b"".join(texts), np.uint8), sizes)
+        self.size = np.diff(self.bounds)
+        self.mark = np.zeros(int(self.ids.max(initial=-1)) + 1, bool)
+
+    def gathered(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these sets, one set after another, and where each begins; sets aren't empty."""
+        n = self.size[which]
+        start = np.cumsum(n) - n
+        return self.ids[np.arange(int(n.sum())) + np.repeat(self.bounds[which] - start, n)], start
+
+    def common(self, one: int, gathered: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """How many shingles a set shares with each of the gathered."""
+        own = self.ids[self.bounds[one] : self.bounds[one + 1]]
+        self.mark[own] = True
+        out = np.add.reduceat(self.mark[gathered[0]], gathered[1], dtype=np.int64)
+        self.mark[own] = False
+        return out
+
+
+def linked(sets: Sets, which: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of these sets the index of one that it is connected with, and its common and joint shingles with which[lead]."""
+    n, gathered = sets.size[which], sets.gathered(which)
+    inter = sets.common(which[lead], gathered)
+    all_ = n + n[lead] - inter
+    ball = 4 * inter >= 3 * all_
+    root = np.where(ball, lead, np.arange(len(which)))
+    far = [1 - inter / all_]
+    for y in np.flatnonzero(~ball):
+        meets = (root != root[y]) & (4 * np.minimum(n, n[y]) >= 3 * np.maximum(n, n[y]))
+        for d in far:
+            meets &= np.abs(d - d[y]) <= RADIUS + 1e-9
+        if not meets.any():
+            continue
+        both = sets.common(which[y], gathered)
+        hit = meets & (4 * both >= 3 * (n + n[y] - both))
+        if hit.any():
+            names = np.unique(np.r_[root[hit], root[y]])
+            root[np.isin(root, names)] = lead if root[lead] in names else names[0]
+        if len(far) < PIVOTS:
+            far.append(1 - both / (n + n[y] - both))
+    return root, inter, all_
+
+
+LINKS = "l long, k long, n long, parts int, root long, inter long, `all` long"
+
+
+def join_parts(table: pa.Table) -> pa.Table:
+    """Joins each part of a bucket: (l, k, n, parts, root, common and joint shingles with the leader)."""
+    l, k, part, n, parts = (table.column(c).to_numpy() for c in ("l", "k", "part", "n", "parts"))
+    keys, first, where = np.unique(k, return_index=True, return_inverse=True)
+    texts = table.column("text").take(pa.array(first)).to_pylist()
+    sets = Sets([zstandard.decompress(t) for t in texts])
+    order = np.lexsort((k, part, l))
+    edge = np.flatnonzero(np.r_[True, (l[order][1:] != l[order][:-1]) | (part[order][1:] != part[order][:-1])])
+    root, inter, all_ = (np.empty(len(k), np.int64) for _ in range(3))
+    for of in np.split(order, edge[1:]):
+        r, inter[of], all_[of] = linked(sets, where[of], int(np.flatnonzero(k[of] == l[of])[0]))
+        root[of] = k[of][r]
+    return pa.table({"l": l, "k": k, "n": n, "parts": parts, "root": root, "inter": inter, "all": all_})
+
+
+def join_visitors(table: pa.Table) -> pa.Table:
+    """Edges between the visitors of a ring's part and its residents: at most one that each new connection needs."""
+    group, k, root, visits = (table.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "k", "root", "visits"))
+    keys, first, where = np.unique(k, return_index=True, return_inverse=True)
+    sets = Sets([zstandard.decompress(t) for t in table.column("text").take(pa.array(first)).to_pylist()])
+    order = np.lexsort((k, group))
+    a, b = [], []
+    for of in np.split(order, np.flatnonzero(group[order][1:] != group[order][:-1]) + 1):
+        here, guests = of[~visits[of]], of[visits[of]]
+        if not len(here) or not len(guests):
+            continue
+        gathered, n, name = sets.gathered(where[here]), sets.size[where[here]], root[here].copy()
+        label = dict(zip(k[guests].tolist(), root[guests].tolist(), strict=True))
+        for y, key in zip(where[guests].tolist(), k[guests].tolist(), strict=True):
+            both = sets.common(y, gathered)
+            hit = (4 * both >= 3 * (n + sets.size[y] - both)) & (name != label[key])
+            for old in np.unique(name[hit]):
+                a.append(key)
+                b.append(int(k[here[np.flatnonzero(hit & (name == old))[0]]]))
+            names = np.unique(name[hit])
+            name[np.isin(name, names)] = label[key]
+            gone = set(names.tolist())
+            label = {g: label[key] if x in gone else x for g, x in label.items()} if gone else label
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def dealt(df: DataFrame, n_buckets: int, *by: str) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(n_buckets)).cast("int"))
+
+
+def edges_of(families: DataFrame, sets: DataFrame, n_buckets: int, part_shingles: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links that connect whatever the links of all families connect; and the table that they are read from."""
+    weight = F.greatest("n", F.lit(LEAST_SHINGLES))
+    sizes = families.groupBy("l").agg(F.ceil(F.sum(weight) / part_shingles).cast("int").alias("parts"))
+    rows = families.join(sizes, "l").withColumn("part", F.when(F.col("k") == F.col("l"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))))
+    rows = rows.select("l", "k", "n", "parts", F.explode("part").alias("part")).join(sets, "k")
+    found = shared.table(dealt(rows, n_buckets, "l", "part").groupBy("bucket").applyInArrow(join_parts, LINKS), most)
+    edges = found.filter("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b"))
+    split = found.filter("parts > 1")
+    if split.isEmpty():
+        return edges, found
+    # the recursion: rings around the leader, visitors from outside its component
+    split = split.withColumn("ring", F.least(F.lit(3), F.floor(4 * (F.col("all") - F.col("inter")) / F.col("all"))).cast("int"))
+    here = split.filter("k <> l")
+    guests = here.filter("root <> l")
+    rings = here.groupBy("l", "ring").agg(F.ceil(F.sum(weight) / part_shingles).cast("int").alias("salts"))
+    blocks = guests.groupBy("l").agg(F.ceil(F.sum(weight) / part_shingles).cast("int").alias("blocks"))
+    plan = rings.join(blocks, "l")
+    at_home = here.join(plan, ["l", "ring"]).select("l", "ring", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "k", "root", F.lit(False).alias("visits"))
+    near = F.explode(F.sequence(F.greatest(F.col("ring") - 1, F.lit(0)), F.least(F.col("ring") + 1, F.lit(3)))).alias("ring")
+    visiting = guests.select("l", "k", "root", near).join(plan, ["l", "ring"]).select("l", "ring", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), "k", "root", F.lit(True).alias("visits"))
+    rows = at_home.unionByName(visiting).withColumn("grp", F.xxhash64("l", "ring", "salt", "block")).select("grp", "k", "root", "visits").join(sets, "k")
+    more = dealt(rows, n_buckets, "grp").groupBy("bucket").applyInArrow(join_visitors, "a long, b long")
+    return edges.unionByName(more), found
+
+
+def groups(docs: DataFrame, per_partition: int = 4, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """pid, n_shingles and component_id of every row of docs.
 
     Words are split at ASCII white space after A-Z became a-z. A null or empty
-    text has no shingle and stands alone. Rows that share a doc_id are linked
-    only by their texts but share the id; a null doc_id is the least long.
-    Equal sets are one class, so copies cost one row a class and batch. Other
-    columns are not read.
+    text has no shingle and stands alone. Each row is linked by its own text,
+    also where rows share a doc_id; component_id is the least doc_id that a row
+    reaches, and null where no row that it reaches has one. Rows of equal words
+    are one class, so copies cost one row a class and batch. Other columns are
+    not read.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     n_buckets = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts, most = keyed(docs), shared.tasks(docs)
+    texts, most = docs.select(F.col("doc_id").cast("long").alias("pid"), F.col("text").cast("string").alias("text")), shared.tasks(docs)
+    for seed in range(8):
+        known = shared.table(texts.mapInArrow(classes(seed), "pid long, k long, check long, n_shingles long, text binary"), most)
+        # a class is 64 bits of a digest; should two classes ever meet there, the other 64 bits tell
+        if known.groupBy("k").agg((F.min("check") != F.max("check")).alias("mixed")).filter("mixed").isEmpty():
+            break
+        shared.discard(known)
+    else:
+        raise RuntimeError("class keys collide under every seed")
     rarity = sc.broadcast(rarity_classes(texts))
-
-    def classes(batches):
-        for batch in batches:
-            keys, sizes = [], []
-            for *_, data, offsets in at.chunks(*at.buffers(batch.column(1))):
-                h, bounds = shingles(data, offsets, rarity.value)
-                keys.append(class_keys(h, bounds))
-                sizes.append(np.diff(bounds))
-            if keys:
-                yield pa.record_batch([batch.column(0), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["pid", "k", "n_shingles"])
-
-    found = shared.table(texts.mapInArrow(replicate(rarity, n_buckets), "bucket int, windows binary").groupBy("bucket").applyInArrow(regions, "bucket int, pairs binary, members binary"), most)
-    pairs = shared.cut(found.select("pairs").mapInArrow(unpack_pairs, "a long, b long").distinct(), most)
-    shared.release(spark)
-    members = found.select("bucket", "members").mapInArrow(unpack_members, "bucket int, r long, leader long, k long, n long, p long")
-
-    def slots(batch):
-        yield (batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-    wanted = sc.broadcast(shared.tally(pairs.select(F.explode(F.array("a", "b")).alias("k")).unionByName(members.select("k")), slots, FILTER_BITS, bits=True))
-    sets = shared.table(texts.mapInArrow(texts_of(wanted), "k long, text binary").groupBy("k").agg(F.first("text").alias("text")), most)
-    shared.release(spark)
-    first = shared.cut(measured(pairs, sets), most)
+    packed_ = texts.mapInArrow(replicate(rarity, n_buckets, seed), "bucket int, windows binary").groupBy("bucket").applyInArrow(regions, "bucket int, members binary")
+    families = shared.table(packed_.select("members").mapInArrow(unpack_members, "leader long, k long, n long").distinct().withColumnRenamed("leader", "l"), most)
     shared.release(spark)
-    roots, tested = shared.components(first.filter("4 * inter >= 3 * `all`").select("a", "b"), most), pairs
-    lead = members.withColumns({"a": F.least("leader", "k"), "b": F.greatest("leader", "k")}).join(first, ["a", "b"], "left")
-    self_ = F.col("k") == F.col("leader")
-    lead = shared.table(lead.select("bucket", "r", "k", "n", "p", F.when(self_, 1).otherwise(F.coalesce("inter", F.lit(-1))).cast("long").alias("inter"), F.when(self_, 1).otherwise(F.coalesce("all", F.lit(1))).cast("long").alias("all")), most)
+    sets = known.filter("text is not null").select("k", "text").join(families.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    edges, found = edges_of(families, sets, n_buckets, part_shingles, most)
+    roots = shared.components(edges, most)
+    shared.discard(families)
     shared.discard(found)
     shared.release(spark)
-    for partners in (PARTNERS, None):
-        known = lead.join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-        rest = shared.cut(known.groupBy("bucket").applyInArrow(boundary(partners), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), most)
-        more = shared.cut(measured(rest, sets).filter("4 * inter >= 3 * `all`").select("a", "b"), most)
-        tested = tested.unionByName(rest)
-        if not more.isEmpty():
-            roots = shared.components(roots.selectExpr("node a", "root b").unionByName(more), most)
-        shared.release(spark)
-    shared.discard(sets)
-    shared.discard(lead)
-    docs_ = shared.table(texts.mapInArrow(classes, "pid long, k long, n_shingles long"), most)
-    least = docs_.filter("k <> 0").groupBy("k").agg(F.min("pid").alias("least")).join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    least = known.filter("k <> 0").groupBy("k").agg(F.min("pid").alias("least")).join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     component = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k", "component_id")
-    return docs_.join(component, "k", "left").select("pid", "n_shingles", F.coalesce("component_id", "pid").alias("component_id"))
+    return known.select("pid", "k", "n_shingles").join(component, "k", "left").select("pid", "n_shingles", F.coalesce("component_id", "pid").alias("component_id"))
 
 
 def digest_query(spark, sf_dir: str) -> DataFrame:
     """op2: one row a document with its component."""
-    unkey = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias("doc_id" if c == "pid" else c)
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(unkey("pid"), "n_shingles", unkey("component_id"))
+    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("pid", "doc_id")

@@ -59,7 +59,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     common = (data == 44) | (data == 46)
     w_start, w_end, w_first = at.words(data, bounds)
     words = np.diff(w_first).astype(np.float64)
-    hashes = at.word_hashes(data, w_start, w_end, lower=True)
+    hashes = at.rough_hashes(data, w_start, w_end)
     w_line = np.repeat(np.arange(len(starts)), np.diff(w_first))
     w_sums = at.prefix_sums(hashes)
     i = np.arange(max(len(hashes) - 2, 0))

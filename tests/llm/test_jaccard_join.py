@@ -74,3 +74,39 @@ def test_test_table(spark, sf_dir):
 def test_empty_table(spark):
     assert jaccard_join.groups(frame(spark, [])).count() == 0
     assert [tuple(x) for x in jaccard_join.groups(frame(spark, [(3, None)])).collect()] == [(3, 0, 3)]
+
+
+def test_large_family_in_parts(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    base, rows = [word() for _ in range(100)], []
+    for k in range(120):
+        w = list(base)
+        for _ in range(r.randint(1, 7)):
+            w[r.randrange(100)] = word()
+        rows.append((k, " ".join(w[r.randint(0, 12) :])))
+    for k in range(60):  # one step further from the family each
+        base[r.randrange(100)] = word()
+        rows.append((500 + k, " ".join(base)))
+    want = brute(rows)
+    for part in (200, 900, 5000):
+        assert collected(jaccard_join.groups(frame(spark, rows).repartition(3), part_shingles=part)) == want
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    a, b = thue_morse(2048)
+    rows = [(1, " ".join([a] * 3)), (2, " ".join([b] * 3)), (3, " ".join([a, "x"] * 5)), (4, " ".join([b, "x"] * 5))]
+    assert collected(jaccard_join.groups(frame(spark, rows))) == brute(rows)
+
+
+def test_null_and_shared_ids_are_linked_by_their_own_texts(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "q r s t u v"), (7, "A b c d e f"), (9, "q r s t u v"), (None, "z")]
+    got = sorted((tuple(x) for x in jaccard_join.groups(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 2, 7), (None, 2, 7), (7, 2, 7), (7, 2, 7), (9, 2, 7), (None, 1, None)], key=str)
