@@ -43,6 +43,7 @@ from cargolens.llm.passages import packed
 
 WORDS, COUNTERS, RADIUS = 5, 1 << 22, 0.25
 AT_ONCE = 300_000  # windows held before they are sent on
+BROADCAST_KEYS = 1 << 20  # at most so many class keys of 8 bytes go to every executor; beyond that the join shuffles
 PART_SHINGLES, LEAST_SHINGLES, PIVOTS = 1 << 18, 64, 8  # of a part; what a member counts at least; pivots whose distances are kept
 WINDOW = np.dtype([("s", "<u4"), ("k", "<i8"), ("n", "<u4"), ("q", "u1")])
 MEMBER = np.dtype([("leader", "<i8"), ("k", "<i8"), ("n", "<i4")])
@@ -389,14 +390,18 @@ def groups(docs: DataFrame, per_partition: int = 4, part_shingles: int = PART_SH
     packed_ = texts.mapInArrow(replicate(rarity, n_buckets, seed), "bucket int, windows binary").groupBy("bucket").applyInArrow(regions, "bucket int, members binary")
     families = shared.table(packed_.select("members").mapInArrow(unpack_members, "leader long, k long, n long").distinct().withColumnRenamed("leader", "l"), most)
     shared.release(spark)
-    sets = known.filter("text is not null").select("k", "text").join(families.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    members = shared.table(families.select("k").distinct(), most)
+    if members.count() <= BROADCAST_KEYS:
+        members = F.broadcast(members)
+    sets = known.filter("text is not null").select("k", "text").join(members, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
     edges, found = edges_of(families, sets, n_buckets, part_shingles, most)
     roots = shared.components(edges, most)
     shared.discard(families)
     shared.discard(found)
     shared.release(spark)
     least = known.filter("k <> 0").groupBy("k").agg(F.min("pid").alias("least")).join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    component = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k", "component_id")
+    lowest = shared.table(least.groupBy("root").agg(F.min("least").alias("component_id")), most)  # a table of its own, so that a join can split a large component
+    component = least.join(lowest, "root").select("k", "component_id")
     return known.select("pid", "k", "n_shingles").join(component, "k", "left").select("pid", "n_shingles", F.coalesce("component_id", "pid").alias("component_id"))
 
 
