@@ -116,11 +116,15 @@ def coded_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     return known.indices.to_numpy().astype(np.int64), first, known.dictionary
 
 
+def hashes_of(known: pa.Array) -> np.ndarray:
+    """A hash of each distinct word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, known.cast(pa.large_binary()).to_pylist()), np.uint64, len(known))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and each row's first word."""
     codes, first, known = coded_words(data, offsets, lower)
-    seen = np.fromiter(map(xxhash.xxh3_64_intdigest, known.cast(pa.large_binary()).to_pylist()), np.uint64, len(known))
-    return seen[codes], first
+    return hashes_of(known)[codes], first
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:

@@ -19,7 +19,9 @@ whose distances to the pivots so far differ by no more than the radius and
 that it isn't connected with. What stays outside the leader's component then
 visits the other parts: residents are dealt to rings by distance to the
 leader, and a visitor is replicated to its own ring and its neighbours, the
-triangle's window. Everything is compared by words, not by hashes. No link
+triangle's window. Before texts are sent, members that can't be linked to any
+other of a family go, by sets of bits made from the shingles' hashes, which only
+ever overstate what two sets share. Everything is compared by words, not by hashes. No link
 between components is lost; pairs that are connected already aren't listed.
 
 Rarity comes from a fixed number of counters over all documents' shingles and
@@ -43,8 +45,8 @@ from cargolens.llm.passages import packed
 
 WORDS, COUNTERS, RADIUS = 5, 1 << 22, 0.25
 AT_ONCE = 300_000  # windows held before they are sent on
-BROADCAST_KEYS = 1 << 20  # at most so many class keys of 8 bytes go to every executor; beyond that the join shuffles
-PART_SHINGLES, LEAST_SHINGLES, PIVOTS = 1 << 18, 64, 8  # of a part; what a member counts at least; pivots whose distances are kept
+BROADCAST_KEYS = 1 << 18  # at most so many class keys of 8 bytes go to every executor; beyond that the join shuffles
+PART_SHINGLES, LEAST_SHINGLES, PIVOTS, PRUNED = 1 << 18, 64, 8, 512  # of a part; what a member counts at least; pivots whose distances are kept; members of a family whose bits are compared
 WINDOW = np.dtype([("s", "<u4"), ("k", "<i8"), ("n", "<u4"), ("q", "u1")])
 MEMBER = np.dtype([("leader", "<i8"), ("k", "<i8"), ("n", "<i4")])
 
@@ -60,21 +62,54 @@ def counts_of(first):
     return m, np.where(m >= WORDS, m - WORDS + 1, (m > 0).astype(np.int64))
 
 
-def shingles(data, offsets, rarity=None):
-    """Distinct shingle hashes of each row in rarity order, and the rows' bounds among them."""
-    hashes, first = at.word_hashes(data, offsets, lower=True)
+def exact_sets(data, offsets, hashed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct shingles of each row as numbers that stand for their words, without hashing, the rows' bounds, and hashes if wanted."""
+    w, first, known = at.coded_words(data, offsets, lower=True)
     m, count = counts_of(first)
     row = np.repeat(np.arange(len(m)), count)
     s = np.arange(len(row)) - np.repeat((np.cumsum(count) - count), count) + first[row]
-    h = at.slice_hash(at.prefix_sums(hashes), s, s + np.minimum(WORDS, m[row]))
-    h >>= np.uint64(6)
-    if rarity is not None:
-        h |= rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
-    h, row = h[new], row[new]
-    return h, np.searchsorted(row, np.arange(len(m) + 1))
+    long = m[row] >= WORDS
+    ids, code, span, top = np.empty(len(row), np.int64), w, 1, 0
+    while span < WORDS and len(code) >= WORDS:  # code: for each place the `span` words from there on
+        step = min(span, WORDS - span)
+        kinds, code = np.unique(code[: len(code) - step] * (int(code.max()) + 1) + code[step:], return_inverse=True)
+        span, top = span + step, len(kinds)
+    if long.any():
+        ids[long] = code[s[long]]
+    seen: dict[tuple, int] = {}
+    for i in np.flatnonzero(~long):  # texts of fewer words: one shingle
+        ids[i] = top + seen.setdefault(tuple(w[s[i] : s[i] + m[row[i]]].tolist()), len(seen))
+    order = np.argsort((row << 32) | ids)
+    ids, row, s = ids[order], row[order], s[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])][: len(ids)]
+    ids, row, s = ids[new], row[new], s[new]
+    h = at.slice_hash(at.prefix_sums(at.hashes_of(known)[w]), s, s + np.minimum(WORDS, m[row])) if hashed else None
+    return ids, np.searchsorted(row, np.arange(len(m) + 1)), h
+
+
+def shingles(data, offsets, rarity):
+    """44-bit hashes of the distinct shingles of each row in rarity order, and the rows' bounds among them.
+
+    The rows are a chunk's, so 20 bits number those that aren't empty.
+    """
+    _, bounds, h = exact_sets(data, offsets, hashed=True)
+    n = np.diff(bounds)
+    n = n[n > 0]
+    classed = rarity[(h >> np.uint64(6) & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(38)
+    h = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(44) | classed | h >> np.uint64(26))
+    return h & np.uint64((1 << 44) - 1), bounds
+
+
+def bit_sets(h: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """For each row a set of bits, a power of two of them and at least twice as many as shingles; None for a row without any."""
+    n = np.diff(bounds)
+    size = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64), 0)
+    base = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(n)), n)
+    on = np.zeros(int(size.sum()), bool)
+    on[base[row] + (at.mix(h) & (size[row] - 1).astype(np.uint64)).astype(np.int64)] = True
+    raw = np.packbits(on, bitorder="little").tobytes()
+    return [raw[b // 8 : (b + k) // 8] if k else None for b, k in zip(base.tolist(), size.tolist(), strict=True)]
 
 
 def keys_of(data, offsets, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +129,8 @@ def rarity_classes(texts: DataFrame) -> np.ndarray:
 
     def slots(batch):
         for *_, data, offsets in at.chunks(*at.buffers(batch.column(1))):
-            h, _ = shingles(data, offsets)
-            yield (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+            *_, h = exact_sets(data, offsets, hashed=True)
+            yield (h >> np.uint64(6) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
     counts = shared.tally(texts, slots, COUNTERS)
     mean = counts.mean(dtype=np.float64)
@@ -107,8 +142,8 @@ def rarity_classes(texts: DataFrame) -> np.ndarray:
 
 
 def classes(seed: int):
-    """(pid, k, check, n_shingles, text): class and set size of every row; the compressed text of the batch's first of a class."""
-    schema = pa.schema([("pid", pa.int64()), ("k", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("text", pa.binary())])
+    """(pid, k, check, n_shingles, text, bits): class and set size of every row; compressed text and bits of the batch's first of a class."""
+    schema = pa.schema([("pid", pa.int64()), ("k", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("text", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -116,13 +151,15 @@ def classes(seed: int):
             have: set[int] = set()
             for row, end, data, offsets in at.chunks(*at.buffers(batch.column(1))):
                 k, check = keys_of(data, offsets, seed)
-                _, bounds = exact_sets(data, offsets)
+                _, bounds, h = exact_sets(data, offsets, hashed=True)
+                bits = bit_sets(h, bounds)
                 texts = [None] * len(k)
                 for i, x in enumerate(k.tolist()):
                     if x and x not in have:
                         have.add(x)
                         texts[i] = squeeze.compress(data[offsets[i] : offsets[i + 1]].tobytes())
-                yield pa.record_batch([batch.column(0).slice(row, end - row), pa.array(k), pa.array(check), pa.array(np.diff(bounds), pa.int64()), pa.array(texts, pa.binary())], schema=schema)
+                bits = [None if t is None else b for t, b in zip(texts, bits, strict=True)]
+                yield pa.record_batch([batch.column(0).slice(row, end - row), pa.array(k), pa.array(check), pa.array(np.diff(bounds), pa.int64()), pa.array(texts, pa.binary()), pa.array(bits, pa.binary())], schema=schema)
 
     return run
 
@@ -219,28 +256,43 @@ def unpack_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.record_batch({c: m[c].astype(np.int64) for c in MEMBER.names})
 
 
-def exact_sets(data, offsets) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each row as numbers that stand for their words, without hashing, and the rows' bounds."""
-    w, first, _ = at.coded_words(data, offsets, lower=True)
-    m, count = counts_of(first)
-    row = np.repeat(np.arange(len(m)), count)
-    s = np.arange(len(row)) - np.repeat((np.cumsum(count) - count), count) + first[row]
-    long = m[row] >= WORDS
-    ids, code, span, top = np.empty(len(row), np.int64), w, 1, 0
-    while span < WORDS and len(code) >= WORDS:  # code: for each place the `span` words from there on
-        step = min(span, WORDS - span)
-        kinds, code = np.unique(code[: len(code) - step] * (int(code.max()) + 1) + code[step:], return_inverse=True)
-        span, top = span + step, len(kinds)
-    if long.any():
-        ids[long] = code[s[long]]
-    seen: dict[tuple, int] = {}
-    for i in np.flatnonzero(~long):  # texts of fewer words: one shingle
-        ids[i] = top + seen.setdefault(tuple(w[s[i] : s[i] + m[row[i]]].tolist()), len(seen))
-    order = np.lexsort((ids, row))
-    ids, row = ids[order], row[order]
-    new = np.r_[True, (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])][: len(ids)]
-    ids, row = ids[new], row[new]
-    return ids, np.searchsorted(row, np.arange(len(m) + 1))
+def fits(rows: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Which of these sets could be within the radius of another one, by their bits: a bit that one has alone is a shingle that it has alone."""
+    fold = lambda x: x[..., : x.shape[-1] // 2] | x[..., x.shape[-1] // 2 :]  # noqa: E731  as if made with half the bits
+    words = np.array([len(x) for x in rows])
+    at_ = {k: np.flatnonzero(words == k) for k in np.unique(words).tolist()}
+    full = {k: np.stack([rows[i] for i in at_[k]]) for k in at_}
+    half = {k: fold(full[k]) if k > 1 else full[k] for k in at_}
+    out = np.zeros(len(rows), bool)
+    for y, own in enumerate(rows):
+        for k, of in at_.items():
+            if k == len(own):
+                mine, theirs = own, full[k]
+            elif k == 2 * len(own):
+                mine, theirs = own, half[k]
+            elif 2 * k == len(own):
+                mine, theirs = fold(own), full[k]
+            else:
+                continue
+            inter = np.minimum(n[y] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[of] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+            if ((7 * inter >= 3 * (n[y] + n[of])) & (of != y)).any():
+                out[y] = True
+                break
+    return out
+
+
+def prune(table: pa.Table) -> pa.Table:
+    """Drops members that can't be linked to any other of their family, where the whole family is here and not large; a leader stays while others do."""
+    l, k, n, parts, part = (table.column(c).to_numpy() for c in ("l", "k", "n", "parts", "part"))
+    bits = table.column("bits").to_pylist()
+    order = np.lexsort((k, part, l))
+    keep = np.ones(len(k), bool)
+    for of in np.split(order, np.flatnonzero((l[order][1:] != l[order][:-1]) | (part[order][1:] != part[order][:-1])) + 1):
+        if len(of) and parts[of[0]] == 1 and len(of) <= PRUNED:
+            keep[of] = fits([np.frombuffer(bits[i], np.uint64) for i in of], n[of])
+            if keep[of].any():
+                keep[of] |= k[of] == l[of]
+    return table.select(["l", "k", "n", "parts", "part"]).filter(pa.array(keep))
 
 
 class Sets:
@@ -248,7 +300,7 @@ class Sets:
 
     def __init__(self, texts: list[bytes]):
         sizes = np.cumsum([0, *(len(t) for t in texts)]).astype(np.int64)
-        self.ids, self.bounds = exact_sets(np.frombuffer(b"".join(texts), np.uint8), sizes)
+        self.ids, self.bounds, _ = exact_sets(np.frombuffer(b"".join(texts), np.uint8), sizes)
         self.size = np.diff(self.bounds)
         self.mark = np.zeros(int(self.ids.max(initial=-1)) + 1, bool)
 
@@ -339,17 +391,23 @@ def dealt(df: DataFrame, n_buckets: int, *by: str) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(n_buckets)).cast("int"))
 
 
-def edges_of(families: DataFrame, sets: DataFrame, n_buckets: int, part_shingles: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b): links that connect whatever the links of all families connect; and the table that they are read from."""
+def edges_of(families: DataFrame, known: DataFrame, n_buckets: int, part_shingles: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links that connect whatever the links of all families connect; and the tables that they are read from."""
     weight = F.greatest("n", F.lit(LEAST_SHINGLES))
+    first = lambda c: known.filter("text is not null").select("k", c).groupBy("k").agg(F.first(c).alias(c))
     sizes = families.groupBy("l").agg(F.ceil(F.sum(weight) / part_shingles).cast("int").alias("parts"))
     rows = families.join(sizes, "l").withColumn("part", F.when(F.col("k") == F.col("l"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))))
-    rows = rows.select("l", "k", "n", "parts", F.explode("part").alias("part")).join(sets, "k")
-    found = shared.table(dealt(rows, n_buckets, "l", "part").groupBy("bucket").applyInArrow(join_parts, LINKS), most)
+    rows = rows.select("l", "k", "n", "parts", F.explode("part").alias("part")).join(first("bits"), "k")
+    rows = shared.table(dealt(rows, n_buckets, "l", "part").groupBy("bucket").applyInArrow(prune, "l long, k long, n long, parts int, part int"), most)
+    members = shared.table(rows.select("k").distinct(), most)
+    wanted = F.broadcast(members) if members.count() <= BROADCAST_KEYS else members
+    sets = known.filter("text is not null").select("k", "text").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    found = shared.table(dealt(rows.join(sets, "k"), n_buckets, "l", "part").groupBy("bucket").applyInArrow(join_parts, LINKS), most)
+    tables = [rows, members, found]
     edges = found.filter("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b"))
     split = found.filter("parts > 1")
     if split.isEmpty():
-        return edges, found
+        return edges, tables
     # the recursion: rings around the leader, visitors from outside its component
     split = split.withColumn("ring", F.least(F.lit(3), F.floor(4 * (F.col("all") - F.col("inter")) / F.col("all"))).cast("int"))
     here = split.filter("k <> l")
@@ -362,7 +420,7 @@ def edges_of(families: DataFrame, sets: DataFrame, n_buckets: int, part_shingles
     visiting = guests.select("l", "k", "root", near).join(plan, ["l", "ring"]).select("l", "ring", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), "k", "root", F.lit(True).alias("visits"))
     rows = at_home.unionByName(visiting).withColumn("grp", F.xxhash64("l", "ring", "salt", "block")).select("grp", "k", "root", "visits").join(sets, "k")
     more = dealt(rows, n_buckets, "grp").groupBy("bucket").applyInArrow(join_visitors, "a long, b long")
-    return edges.unionByName(more), found
+    return edges.unionByName(more), tables
 
 
 def groups(docs: DataFrame, per_partition: int = 4, part_shingles: int = PART_SHINGLES) -> DataFrame:
@@ -379,7 +437,7 @@ def groups(docs: DataFrame, per_partition: int = 4, part_shingles: int = PART_SH
     n_buckets = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts, most = docs.select(F.col("doc_id").cast("long").alias("pid"), F.col("text").cast("string").alias("text")), shared.tasks(docs)
     for seed in range(8):
-        known = shared.table(texts.mapInArrow(classes(seed), "pid long, k long, check long, n_shingles long, text binary"), most)
+        known = shared.table(texts.mapInArrow(classes(seed), "pid long, k long, check long, n_shingles long, text binary, bits binary"), most)
         # a class is 64 bits of a digest; should two classes ever meet there, the other 64 bits tell
         if known.groupBy("k").agg((F.min("check") != F.max("check")).alias("mixed")).filter("mixed").isEmpty():
             break
@@ -390,14 +448,10 @@ def groups(docs: DataFrame, per_partition: int = 4, part_shingles: int = PART_SH
     packed_ = texts.mapInArrow(replicate(rarity, n_buckets, seed), "bucket int, windows binary").groupBy("bucket").applyInArrow(regions, "bucket int, members binary")
     families = shared.table(packed_.select("members").mapInArrow(unpack_members, "leader long, k long, n long").distinct().withColumnRenamed("leader", "l"), most)
     shared.release(spark)
-    members = shared.table(families.select("k").distinct(), most)
-    if members.count() <= BROADCAST_KEYS:
-        members = F.broadcast(members)
-    sets = known.filter("text is not null").select("k", "text").join(members, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
-    edges, found = edges_of(families, sets, n_buckets, part_shingles, most)
+    edges, tables = edges_of(families, known, n_buckets, part_shingles, most)
     roots = shared.components(edges, most)
-    shared.discard(families)
-    shared.discard(found)
+    for used in (families, *tables):
+        shared.discard(used)
     shared.release(spark)
     least = known.filter("k <> 0").groupBy("k").agg(F.min("pid").alias("least")).join(roots.selectExpr("node k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     lowest = shared.table(least.groupBy("root").agg(F.min("least").alias("component_id")), most)  # a table of its own, so that a join can split a large component
