@@ -1,32 +1,48 @@
 """Token counts: pieces are counted once for each distinct pre-token.
 
-Documents become pre-token frequencies; the distinct pre-tokens are encoded
-once; the most frequent of them (a bounded number) go to every task as a map,
-all others meet their pieces by a shuffled join; sums are per document.
+Texts become pre-token frequencies in one pass: a part, which is some
+megabytes of texts, has the distinct pre-tokens of its documents, each
+document's frequencies by place in that list, and nothing else. The lists of
+all parts meet by pre-token, where equal ones stand together and are encoded
+once; the counts go back to their parts, which sum them for each document.
+No ids are made, and a task holds one part or one batch at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cargolens.llm import arrowtext as at
 from cargolens.llm import shared
-from cargolens.llm.passages import NULL_ID, keyed
+from cargolens.llm.passages import keyed
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-HEAD = 1 << 19
+PART_PRE_TOKENS, PART_BYTES = 250_000, 32 << 20  # a part ends when it has so many distinct pre-tokens or bytes
+PART = pa.schema([("part", pa.int64()), ("pre_tokens", pa.list_(pa.string())), ("pid", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("specials", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("freq", pa.list_(pa.int32()))])
+PART_SQL = "part long, pre_tokens array<string>, pid array<long>, n_bytes array<long>, specials array<int>, kinds array<int>, place array<int>, freq array<int>"
 
 
-def special_tokens(path: str) -> list[str]:
-    with open(path, encoding="utf-8") as f:
-        return sorted((t["content"] for t in json.load(f).get("added_tokens", [])), key=len, reverse=True)
+def special_tokens(vocabulary: str) -> list[str]:
+    """Strings that stand for a token wherever they occur; ValueError for a vocabulary whose pre-tokens aren't those of PATTERN."""
+    known = json.loads(vocabulary)
+    pre, added = known.get("pre_tokenizer") or {}, known.get("added_tokens", [])
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or known.get("normalizer"):
+        raise ValueError("not a byte-level vocabulary")
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with conditions on what stands beside them")
+    return sorted((t["content"] for t in added), key=len, reverse=True)
 
 
 def splitter(special: list[str]):
@@ -41,95 +57,103 @@ def splitter(special: list[str]):
     return split
 
 
-def distinct_pre_tokens(special: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(special), Counter()
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                seen.update(split(text or "")[0])
-                if len(seen) > 400_000:
-                    yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["t", "n"])
-                    seen = Counter()
-        if seen:
-            yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["t", "n"])
+def parts(special: list[str], most: int):
+    """Parts of the texts: their pre-tokens, and each document's frequencies of them by place."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, number = splitter(special), TaskContext.get().partitionId() << 36
 
+        def fresh():
+            return {}, [[] for _ in range(6)], 0
 
-def piece_counts(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+        def ended(known, columns) -> pa.RecordBatch:
+            joined = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in columns]
+            return pa.record_batch([pa.array([x], t) for x, t in zip([number, list(known), *joined], PART.types, strict=True)], schema=PART)
 
-        encode = Tokenizer.from_file(path)
-        encode.no_padding()
-        encode.no_truncation()
+        known, columns, size = fresh()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            pieces = [len(e) for k in range(0, len(texts), 2000) for e in encode.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(pieces, pa.int32())], names=["t", "n", "pieces"])
+            ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            for row, end, _, offsets in at.chunks(*at.buffers(texts)):
+                flat, lengths, specials = [], [], []
+                for text in texts.slice(row, end - row).to_pylist():
+                    tokens, n = split(text)
+                    flat += tokens
+                    lengths.append(len(tokens))
+                    specials.append(n)
+                coded = pa.array(flat, pa.large_string()).dictionary_encode()
+                here = np.fromiter((known.setdefault(t, len(known)) for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+                doc = np.repeat(np.arange(end - row), lengths)
+                each, freq = np.unique((doc << 32) | here[coded.indices.to_numpy()], return_counts=True)
+                kinds = np.bincount(each >> 32, minlength=end - row)
+                for c, x in zip(columns, (ids.slice(row, end - row).to_pylist(), np.diff(offsets), np.array(specials, np.int32), kinds.astype(np.int32), (each & 0xFFFFFFFF).astype(np.int32), freq.astype(np.int32)), strict=True):
+                    c.append(x)
+                size += int(offsets[-1])
+                if len(known) >= most or size >= PART_BYTES:
+                    yield ended(known, columns)
+                    number += 1
+                    known, columns, size = fresh()
+        if columns[0]:
+            yield ended(known, columns)
 
     return run
 
 
-def frequencies(special: list[str], head):
-    """(pid, bytes, tokens of frequent pre-tokens, the other pre-tokens with their frequencies)."""
+def piece_counts(vocabulary):
+    """(part, place, pieces) of rows that come in order of pre-token: each is encoded when it first comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = splitter(special), head.value
-        rest_type = pa.list_(pa.struct([("t", pa.string()), ("f", pa.int32())]))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        encode = Tokenizer.from_str(vocabulary.value)
+        encode.no_padding()
+        encode.no_truncation()
+        last: tuple[str | None, int] = (None, 0)
         for batch in batches:
-            sizes, sums, rests = [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                tokens, total = split(text)
-                rest = []
-                for t, f in Counter(tokens).items():
-                    pieces = known.get(t)
-                    if pieces is None:
-                        rest.append({"t": t, "f": f})
-                    else:
-                        total += pieces * f
-                sizes.append(len(text.encode()))
-                sums.append(total)
-                rests.append(rest)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rests, rest_type)], names=["pid", "n_bytes", "head", "rest"])
+            coded = batch.column(0).dictionary_encode()
+            kinds = coded.dictionary.to_pylist()
+            new = [t for t in kinds if t != last[0]]
+            counts = dict(zip(new, (len(e) for k in range(0, len(new), 2000) for e in encode.encode_batch_fast(new[k : k + 2000], add_special_tokens=False)), strict=True))
+            counts.setdefault(*last)
+            pieces = np.array([counts[t] for t in kinds], np.int32)[coded.indices.to_numpy()]
+            if batch.num_rows:
+                end = batch.column(0)[-1].as_py()
+                last = (end, counts[end])
+            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(pieces)], names=["part", "place", "pieces"])
 
     return run
 
 
-def least_frequency(pieces: DataFrame, head: int) -> int:
-    """The frequency from which on there are `head` pre-tokens at most; frequencies are grouped by powers of 2 to the eighth."""
-    level = F.floor(8 * F.log2("n")).alias("level")
-    most, total = 1 << 62, 0
-    for r in sorted(pieces.groupBy(level).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect(), key=lambda r: -r.level):
-        total += r.c
-        if total > head:
-            break
-        most = r.least
-    return most
+def summed(part: pa.Table, found: pa.Table) -> pa.Table:
+    """pid, bytes and tokens of a part's documents."""
+    get = lambda c: part.column(c)[0].values
+    pieces = np.zeros(len(get("pre_tokens")), np.int64)
+    pieces[found.column("place").to_numpy()] = found.column("pieces").to_numpy()
+    kinds = get("kinds").to_numpy()
+    sums = np.r_[0, np.cumsum(pieces[get("place").to_numpy()] * get("freq").to_numpy())]
+    ends = np.cumsum(kinds)
+    tokens = sums[ends] - sums[ends - kinds] + get("specials").to_numpy()
+    return pa.table([get("pid"), get("n_bytes"), pa.array(tokens, pa.int64())], names=["pid", "n_bytes", "n_tokens"])
 
 
-def count(docs: DataFrame, path: str, limit: int = 512, head: int = HEAD) -> DataFrame:
+def count(docs: DataFrame, path: str, limit: int = 512, part_pre_tokens: int = PART_PRE_TOKENS) -> DataFrame:
     """pid, n_bytes, n_tokens and over_limit of every document.
 
-    Null texts are empty and have no token. Rows that share a doc_id (or a null
-    one, the least long) are counted one by one if their texts differ in bytes
-    or frequent tokens; equal rows give equal rows. Special strings inside a
-    text are one token each, as the library's default has it. At most `head`
-    pre-tokens go to each task; the join has no bound.
+    Null texts are empty and have no token. Each row is counted by its own
+    text, whatever its doc_id; pid is null where that is. Special strings
+    inside a text are one token each, as the library's default has it. The
+    vocabulary goes to the tasks as text, so its file is needed on the driver
+    alone. Other columns are not read.
     """
-    sc = docs.sparkSession.sparkContext
-    texts, special = keyed(docs), special_tokens(path)
-    pieces = shared.table(texts.mapInArrow(distinct_pre_tokens(special), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).mapInArrow(piece_counts(path), "t string, n long, pieces int"))
-    often = pieces.filter(F.col("n") >= least_frequency(pieces, head)).select("t", "pieces").toArrow()
-    known = sc.broadcast(dict(zip(often.column("t").to_pylist(), often.column("pieces").to_pylist(), strict=True)))
-    rows = texts.mapInArrow(frequencies(special, known), "pid long, n_bytes long, head long, rest array<struct<t:string,f:int>>")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    rows = shared.table(rows)
-    tail = rows.filter(F.size("rest") > 0).select("row", F.explode("rest").alias("x")).select("row", "x.t", "x.f").join(pieces.select("t", "pieces"), "t").groupBy("row").agg(F.sum(F.col("f") * F.col("pieces")).alias("tail"))
-    out = rows.select("row", "pid", "n_bytes", "head").join(tail, "row", "left")
-    n = F.col("head") + F.coalesce("tail", F.lit(0))
-    return out.select("pid", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    spark = docs.sparkSession
+    vocabulary = Path(path).read_text(encoding="utf-8")
+    special, sent = special_tokens(vocabulary), spark.sparkContext.broadcast(vocabulary)
+    rows = shared.table(keyed(docs).mapInArrow(parts(special, part_pre_tokens), PART_SQL))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = rows.select("part", F.posexplode("pre_tokens").alias("place", "t")).select("t", "part", "place").repartition(n, "t").sortWithinPartitions("t")
+    pieces = lists.mapInArrow(piece_counts(sent), "part long, place int, pieces int")
+    out = rows.groupBy("part").cogroup(pieces.groupBy("part")).applyInArrow(summed, "pid long, n_bytes long, n_tokens long")
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def digest_query(spark, sf_dir: str, name: str = "byte_bpe_50k.json") -> DataFrame:
@@ -137,4 +161,4 @@ def digest_query(spark, sf_dir: str, name: str = "byte_bpe_50k.json") -> DataFra
     import public_tokenizers
 
     out = count(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(name))
-    return out.select(F.when(F.col("pid") != NULL_ID, F.col("pid")).alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+    return out.select(F.col("pid").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
