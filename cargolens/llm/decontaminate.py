@@ -2,11 +2,13 @@
 
 Every window of an item (ten consecutive words, or a shorter item whole) is a
 set of five-word shingles with their offsets. A document contains the window
-only if it contains all of them, so one necessary shingle, the rarest by its
-count over all documents, is the window's prefix. Documents' shingles meet the
-prefixes; position and length bounds drop windows that don't fit; and the
-shingles at both ends of the window, which cover all its words, must stand at
-their exact places.
+only if it contains all of them, so one necessary shingle is the window's
+prefix: the rarest, by how many documents have its rarest word, which bounds
+how many have the shingle. Prefixes are chosen first, and only they meet the
+documents' shingles, by a hash; position and length bounds drop windows that
+don't fit; and what is left is compared word by word with a slice of the
+document. An item's windows have its own size, so short items need no other
+way.
 """
 
 from __future__ import annotations
@@ -15,12 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import shared
-from cargolens.llm.passages import keyed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 5
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1 << 17
 
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') w FROM documents),
@@ -44,12 +45,15 @@ def words(text):
     return F.filter(F.split(low, NOT_WORD), lambda w: w != "")
 
 
-def gram(array, start, size):
-    return F.array_join(F.slice(array, start, size), " ")
+def gram_hash(array, start, size: int):
+    """A hash of `size` words from `start` (from 1)."""
+    return F.xxhash64(F.lit(size), *(F.get(array, start + (j - 1)) for j in range(size)))
 
 
-def all_grams(array, size: int):
-    return F.transform(F.sequence(F.lit(1), F.size(array) - (size - 1)), lambda i: gram(array, i, F.lit(size)))
+def grams(array, size: int):
+    """pos (from 0) and hash of every shingle of `size` words; none in shorter texts."""
+    each = F.transform(F.sequence(F.lit(1), F.size(array) - (size - 1)), lambda i: F.struct((i - 1).alias("pos"), gram_hash(array, i, size).alias("g")))
+    return F.when(F.size(array) >= size, each).otherwise(F.array().cast("array<struct<pos:int,g:bigint>>"))
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
@@ -64,31 +68,35 @@ def small(df: DataFrame, bytes_: int) -> DataFrame:
     return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(pid, start, len, win) of every occurrence of a window, and (win, item)."""
-    texts = keyed(docs)
+def prefixes(win: DataFrame, tokens: DataFrame, n_bytes: int) -> DataFrame:
+    """(win, len, off, g): the necessary shingle of each window, rarest by the documents that have its rarest word."""
+    distinct = win.select("win", "len", "w").distinct().withColumn("k", F.least(F.lit(SHINGLE), F.col("len")))
+    known = small(distinct.select(F.explode("w").alias("word")).distinct(), n_bytes)
+    counts = shared.cut(tokens.select(F.explode(F.array_distinct("w")).alias("word")).join(known, "word").groupBy("word").agg(F.count("*").alias("df")))
+    shingles = distinct.select("win", "len", "k", "w", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off"))
+    shingles = shingles.select("win", "len", "off", F.slice("w", F.col("off") + 1, F.col("k")).alias("s"))
+    bound = shingles.select("win", "off", F.explode("s").alias("word")).join(counts, "word", "left").groupBy("win", "off").agg(F.min(F.coalesce("df", F.lit(0))).alias("df"))
+    g = F.lit(None).cast("long")
+    for k in range(1, SHINGLE + 1):
+        g = F.when(F.size("s") == k, gram_hash(F.col("s"), F.lit(1), k)).otherwise(g)
+    best = shingles.join(bound, ["win", "off"]).groupBy("win", "len").agg(F.min(F.struct("df", g.alias("g"), "off")).alias("p"))
+    return best.filter("p.df > 0").select("win", "len", "p.off", "p.g")  # a word that no document has: the window occurs nowhere
+
+
+def hits(rows: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(pid, start, len, win) of every occurrence of a window in rows of (pid, text), and (win, item)."""
     win = shared.cut(windows(benchmark, size))
     n_bytes = 10 * int(win.agg(F.coalesce(F.sum(F.octet_length("win") + 40), F.lit(0))).first()[0])
-    distinct = win.select("win", "len", "w").distinct().withColumn("k", F.least(F.lit(SHINGLE), F.col("len")))
-    grams = distinct.select("win", "len", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("k") + 1), lambda i: gram(F.col("w"), i, F.col("k")))).alias("off", "gram"))
-    lengths = [r[0] for r in distinct.select("k").distinct().collect()]  # SHINGLE values at most
-    known = small(grams.select("gram").distinct(), n_bytes)
-    tokens = texts.select("pid", words(F.col("text")).alias("w"))
-    found = None
-    for k in sorted(lengths):
-        here = tokens.filter(F.size("w") >= k).select("pid", F.size("w").alias("n"), F.posexplode(all_grams(F.col("w"), k)).alias("pos", "gram")).join(known, "gram")
-        found = here if found is None else found.unionByName(here)
-    if found is None:
-        found = tokens.select("pid", F.size("w").alias("n"), F.lit(0).alias("pos"), F.lit("").alias("gram")).limit(0)
-    found = shared.cut(found.distinct())
-    counts = found.groupBy("gram").agg(F.count("*").alias("df"))
-    prefix = grams.join(counts, "gram").groupBy("win", "len", "k").agg(F.min(F.struct("df", "gram", "off")).alias("p"))
-    ends = grams.groupBy("win").agg(F.min_by("gram", "off").alias("head"), F.max_by("gram", "off").alias("tail"))
-    probes = prefix.join(ends, "win").select("win", "len", "k", F.col("p.gram").alias("gram"), F.col("p.off").alias("off"), "head", "tail")
-    near = found.join(small(probes, n_bytes), "gram").withColumn("start", F.col("pos") - F.col("off")).filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))).select("pid", "start", "len", "k", "win", "head", "tail")
-    at = lambda gram, pos: found.select("pid", F.col("pos").alias(pos), F.col("gram").alias(gram))
-    exact = near.join(at("head", "start"), ["pid", "start", "head"], "left_semi").withColumn("last", F.col("start") + F.col("len") - F.col("k")).join(at("tail", "last"), ["pid", "last", "tail"], "left_semi")
-    return exact.select("pid", "start", "len", "win").distinct(), win.select("win", "item").distinct()
+    lengths = sorted(r[0] for r in win.select(F.least(F.lit(SHINGLE), F.col("len")).alias("k")).distinct().collect())  # SHINGLE values at most
+    tokens = rows.select("pid", words(F.col("text").cast("string")).alias("w"))
+    known = shared.cut(prefixes(win, tokens, n_bytes))
+    each = F.flatten(F.array(*(grams(F.col("w"), k) for k in lengths))) if lengths else F.array().cast("array<struct<pos:int,g:bigint>>")
+    met = tokens.select("pid", F.size("w").alias("n"), F.inline(each)).join(small(known, n_bytes), "g").withColumn("start", F.col("pos") - F.col("off"))
+    met = shared.cut(met.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))).groupBy("pid").agg(F.collect_set(F.struct("start", "len", "win")).alias("met")))
+    found = met.agg(F.coalesce(F.sum(F.size("met")), F.lit(0))).first()[0]
+    own = tokens.join(F.broadcast(met) if found <= BROADCAST_ROWS else met, "pid")
+    exact = own.select("pid", F.explode(F.filter("met", lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " ") == x["win"])).alias("x"))
+    return exact.select("pid", "x.*").distinct(), win.select("win", "item").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -96,25 +104,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
     Null texts have no words; an item of fewer words than the window is one
     window, an item of none is never found. A null item_id hits words but is
-    no item of the list. Rows that share a doc_id (or a null one, which counts
-    as the least long) are one document with one hit count, on a row each.
-    Other columns are not read.
+    no item of the list. Rows that share a doc_id, or have none, are different
+    documents if their texts differ; rows alike in id and text have the same
+    result, on a row each. Other columns are not read.
     """
-    if size > 2 * SHINGLE:
-        raise ValueError("two shingles must cover a window")
-    found, items = hits(docs, benchmark, size)
+    rows = shared.identified(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    found, items = hits(rows, benchmark, size)
     found = shared.cut(found)
     n_hit = found.select("pid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("q")).distinct().groupBy("pid").agg(F.count("*").alias("n_hit"))
     listed = found.select("pid", "win").distinct().join(items, "win").filter("item is not null").select("pid", "item").distinct().groupBy("pid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    base = keyed(docs).select("pid", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    base = rows.select("pid", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    out = base.join(n_hit.join(listed, "pid", "left"), "pid", "left").select("pid", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
-    return out.select("pid", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+    out = base.join(n_hit.join(listed, "pid", "left"), "pid", "left").select("pid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return out.select("pid", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
 
 
 def digest_query(spark, sf_dir: str) -> DataFrame:
     """op9: one row a document with its hits."""
-    from cargolens.llm.passages import NULL_ID
-
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select(F.when(F.col("pid") != NULL_ID, F.col("pid")).alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

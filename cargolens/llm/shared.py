@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargolens.operators.relational import ranked
+
 BLOCKS = 64
 LEAST_TASKS, EDGES_A_TASK = 8, 200_000  # how a round's edges are dealt to files: never more tasks than shuffle partitions
 BYTES_A_TASK = 4 << 20  # of stored input; what a task that writes a table has at least
@@ -21,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -46,6 +51,25 @@ def table(df: DataFrame, most: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with `pid`, a number of each document, and `low`, the least pid of its doc_id.
+
+    Both are the doc_id where no row shares it and none is null. Else a
+    document is what rows alike in id and text have in common: documents are
+    numbered in the order of doc_id, nulls last, and a digest of the text, and
+    the numbers are written. A document without an id shares it with no other.
+    """
+    docs = docs.drop("pid", "low").withColumn("doc_id", F.col("doc_id").cast("long"))
+    if docs.groupBy("doc_id").count().filter("doc_id is null or `count` > 1").isEmpty():
+        return docs.withColumns({"pid": F.col("doc_id"), "low": F.col("doc_id")})
+    rows = docs.withColumn("_key", F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit("-")))
+    known = ranked(rows.select("doc_id", "_key").distinct(), [F.col("doc_id").asc_nulls_last(), F.col("_key")], "pid")
+    known = table(known, tasks(docs))
+    low = known.filter("doc_id is not null").groupBy("doc_id").agg(F.min("pid").alias("low"))
+    known = known.join(low, "doc_id", "left").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), "pid", F.coalesce("low", "pid").alias("low"))
+    return rows.join(known, (F.col("_key") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "pid", "low")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table() that nothing reads any more."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
