@@ -12,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 ARCHIVE_BYTES, REVISIT_BYTES = 8 << 20, 1000
+BROADCAST_ROWS = 1 << 18  # of 40 bytes
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "arc-to-warc")
 
 ORACLE_SQL = f"""
@@ -56,24 +58,31 @@ def arc_file(records: list[dict], version: int, name: str = "pages.arc") -> byte
     return b"".join(out)
 
 
-def arc_records(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file; ValueError if it is cut off or of no known version."""
-    if not data:
-        return
+def arc_head(data: bytes) -> tuple[dict, list[str], int]:
+    """What an ARC file's first record says, the fields of the others, and where they begin; ValueError if of no known version."""
     end = data.index(b"\n")
-    size = int(data[:end].rsplit(b" ", 1)[1])
+    about = data[:end].decode("utf-8", "replace").split(" ")
+    size = int(about[-1])
     block = data[end + 1 : end + 1 + size].decode("utf-8", "replace").split("\n")
     version = int(block[0].split(" ", 1)[0])
     if version not in FIELDS:
         raise ValueError(f"ARC version {version}")
-    names, at = block[1].split() or FIELDS[version], end + 1 + size
+    return {"filedesc": about[0].removeprefix("filedesc://"), "version": version, "Archive-date": about[2]}, block[1].split() or FIELDS[version], end + 1 + size
+
+
+def arc_records(data: bytes) -> Iterator[dict]:
+    """The records of an ARC file but for its head; ValueError if it is cut off or of no known version."""
+    if not data:
+        return
+    head, names, at = arc_head(data)
+    version = head["version"]
     while True:
         while data[at : at + 1] in (b"\n", b"\r"):
             at += 1
         if at >= len(data):
             return
         end = data.index(b"\n", at)
-        values = data[at:end].decode("utf-8", "replace").strip("\r").split(" ")
+        values = data[at:end].decode("utf-8", "replace").strip("\r").rsplit(" ", len(names) - 1)  # a URL may have spaces
         if len(values) != len(names):
             raise ValueError(f"ARC header line of {len(values)} fields at byte {at}")
         record = dict(zip(names, values, strict=True)) | {"version": version}
@@ -85,6 +94,13 @@ def arc_records(data: bytes) -> Iterator[dict]:
         at = end + 1 + size
 
 
+def arc_contents(data: bytes) -> Iterator[dict]:
+    """An ARC file's head and records."""
+    if data:
+        yield arc_head(data)[0]
+        yield from arc_records(data)
+
+
 def http_parts(body: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of an HTTP response; a body without a status line is all payload."""
     if not body.startswith(b"HTTP/"):
@@ -101,16 +117,24 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, key)}>"
 
 
+def date_of(arc: dict) -> str:
+    d = arc["Archive-date"].ljust(14, "0")
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
 def warc_record(arc: dict, refers_to: str | None = None) -> bytes:
-    """The WARC record of an ARC record; with refers_to a revisit without payload."""
+    """The WARC record of an ARC record; with refers_to a revisit without payload. A file's head becomes a warcinfo record."""
+    if "filedesc" in arc:
+        block = f"software: cargolens\r\nformat: WARC File Format 1.1\r\nsource-format: ARC {arc['version']}\r\n".encode()
+        fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(f"{arc['filedesc']} {arc['Archive-date']}"), "WARC-Date": date_of(arc), "WARC-Filename": arc["filedesc"], "WARC-Block-Digest": sha1_32(block), "Content-Type": "application/warc-fields"}
+        return framed(fields, block)
     headers, payload = http_parts(arc["body"])
     key = headers.get("x-page-id") or f"{arc['URL']} {arc['Archive-date']} {hashlib.sha1(arc['body']).hexdigest()}"
     block = arc["body"] if refers_to is None else arc["body"][: len(arc["body"]) - len(payload)]
-    d = arc["Archive-date"].ljust(14, "0")
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
         "WARC-Record-ID": record_id(key),
-        "WARC-Date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        "WARC-Date": date_of(arc),
         "WARC-Target-URI": arc["URL"],
         "WARC-IP-Address": arc["IP-address"],
         "WARC-Payload-Digest": sha1_32(payload),
@@ -121,6 +145,10 @@ def warc_record(arc: dict, refers_to: str | None = None) -> bytes:
         fields["X-Page-Id"] = headers["x-page-id"]
     if refers_to is not None:
         fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page": refers_to, "X-Payload-Length": str(len(payload))}
+    return framed(fields, block)
+
+
+def framed(fields: dict[str, str], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
@@ -144,7 +172,8 @@ def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def archive(records, version):
         arc = arc_file(records, version)
-        return b"".join(gzip.compress(warc_record(a, r["refers"]), 4, mtime=0) for a, r in zip(arc_records(arc), records, strict=True))
+        refers = [None, *(r["refers"] for r in records)]
+        return b"".join(gzip.compress(warc_record(a, r), 4, mtime=0) for a, r in zip(arc_contents(arc), refers, strict=True))
 
     version, kept, size = 1, [], 0
     for batch in batches:
@@ -165,6 +194,8 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0).to_pylist():
             rows = []
             for f, block in warc_records(gzip.decompress(content)):
+                if f["warc-type"] == "warcinfo":
+                    continue
                 _, payload = http_parts(block)
                 stated = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
                 response = f["warc-type"] == "response"
@@ -174,19 +205,50 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def converted(files: DataFrame) -> DataFrame:
+    """(path, record_no, url, record_type, warc, error) of ARC files given as rows of path and content, plain or gzipped.
+
+    Each record is a gzipped WARC record of its own, the file's head a warcinfo
+    record. A file that is damaged from some place on gives a row with the
+    error after the records before it. Null and empty contents give no row.
+    """
+    schema = pa.schema([("path", pa.string()), ("record_no", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("warc", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, error = [], None
+                try:
+                    for arc in arc_contents(gzip.decompress(content) if (content or b"").startswith(b"\x1f\x8b") else content or b""):
+                        rows.append((arc.get("URL"), "warcinfo" if "filedesc" in arc else "response", gzip.compress(warc_record(arc), 4, mtime=0)))
+                except (ValueError, KeyError, IndexError, EOFError, OSError, zlib.error) as e:
+                    error = f"{type(e).__name__}: {e}"
+                out = [{"path": path, "record_no": k, "url": u, "record_type": t, "warc": w, "error": None} for k, (u, t, w) in enumerate(rows)]
+                if error:
+                    out.append({"path": path, "record_no": len(rows), "url": None, "record_type": None, "warc": None, "error": error})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, record_no long, url string, record_type string, warc binary, error string")
+
+
 def archives(pages: DataFrame) -> DataFrame:
     """A table (arc_version, content) of gzipped WARC files with a record for each page.
 
     Null html is an empty payload, a null url a dash; a null page_id is never
-    referred to. Rows of equal payload and equal page_id are all responses.
-    Only pages of copies are known to the digest table; no payload moves.
+    referred to and revisits any other. Rows of equal payload and equal page_id
+    are all responses. What refers to what is found from ids and digests alone;
+    it comes back to the pages by broadcast up to a proven number of rows, and
+    by id and digest beyond, so copies of one payload never meet in one task.
     """
     base = pages.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page"), F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    base = base.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
-    copies = base.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("rows")).filter("rows > 1 and top is not null").select("digest", "top")
-    refers = F.when((F.col("n") >= REVISIT_BYTES) & (F.col("id").isNull() | (F.col("id") < F.col("top"))), F.col("top").cast("string"))
-    rows = base.join(copies, "digest", "left").select("page", "url", "payload", refers.alias("refers"))
-    return shared.table(rows.mapInArrow(convert, "arc_version int, content binary"))
+    narrow = base.filter(F.octet_length("payload") >= REVISIT_BYTES).select("id", F.unhex(F.sha1("payload")).alias("digest"))
+    copies = shared.table(narrow.groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("rows")).filter("rows > 1 and top is not null").select("digest", "top"), shared.tasks(pages))
+    later = shared.table(narrow.filter("id is not null").join(copies, "digest").filter("id < top").distinct(), shared.tasks(pages))
+    bounded = lambda df: F.broadcast(df) if later.count() <= BROADCAST_ROWS else df
+    with_id = base.filter("id is not null").withColumn("digest", F.unhex(F.sha1("payload"))).join(bounded(later), ["id", "digest"], "left")
+    without = base.filter("id is null").withColumn("digest", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.unhex(F.sha1("payload")))).join(copies, "digest", "left")
+    rows = with_id.select("page", "url", "payload", "top").unionByName(without.select("page", "url", "payload", "top"))
+    return shared.table(rows.select("page", "url", "payload", F.col("top").cast("string").alias("refers")).mapInArrow(convert, "arc_version int, content binary"))
 
 
 def digest_query(spark, sf_dir: str) -> DataFrame:
