@@ -14,10 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cargolens.llm import arrowtext as at
-from cargolens.llm.passages import NULL_ID, Spec, covered, with_spans
+from cargolens.llm.passages import Spec, covered, with_spans
 
 STREAM_AT_ONCE = 200_000
 
@@ -37,6 +36,7 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = new
             reach *= 2
+        self.rank = rank
         self.sa = np.argsort(rank, kind="stable")
         bwt = symbols[self.sa - 1]
         self.before = np.r_[0, np.cumsum(np.bincount(symbols, minlength=sigma))]
@@ -106,27 +106,25 @@ def earlier_windows(window: int):
             return (np.zeros(0, np.int64),) * 3
         gap = np.full(len(meta), 10, np.uint8)  # contexts stay apart
         spaced = np.insert(data, offsets[1:], gap)
-        starts, ends, first = at.words(spaced, offsets + np.arange(len(offsets)))
-        hashes = at.word_hashes(spaced, starts, ends, lower=False)
-        n = len(hashes)
-        _, ids = np.unique(hashes, return_inverse=True)
+        ids, first, _ = at.coded_words(spaced, offsets + np.arange(len(offsets)), lower=False)
+        n = len(ids)
         place = np.arange(n) + np.searchsorted(first[1:], np.arange(n), side="right")  # one separator after each context
         symbols = np.zeros(n + len(meta), np.int64)
         symbols[place] = ids + 1
         doc_of_context, docs = np.unique(meta["d"], return_inverse=True)
+        lows = np.searchsorted(doc_of_context, meta["d"] - meta["dup"])  # smaller documents are those before it
         context = np.searchsorted(first, np.arange(n), side="right") - 1
         owner = np.full(len(symbols), len(doc_of_context), np.int32)
         owner[place] = docs[context]
         fm = FMIndex(symbols, window)
         least = RangeMin(owner[fm.sa])
         i = np.flatnonzero(first[context + 1] - np.arange(n) >= window)
-        sums = at.prefix_sums(hashes)
-        key = at.slice_hash(sums, i, i + window) ^ at.mix(docs[context[i]].astype(np.uint64))
+        key = fm.rank[place[i]] * (len(doc_of_context) + 1) + lows[context[i]]  # equal keys: equal windows for the same smaller documents
         _, once, back = np.unique(key, return_index=True, return_inverse=True)
         hit = np.zeros(len(once), bool)
         for k in range(0, len(once), STREAM_AT_ONCE):
-            q = place[i[once[k : k + STREAM_AT_ONCE]]]
-            hit[k : k + STREAM_AT_ONCE] = matching(fm, least, symbols, q + window, owner[q], window) == window
+            own = i[once[k : k + STREAM_AT_ONCE]]
+            hit[k : k + STREAM_AT_ONCE] = matching(fm, least, symbols, place[own] + window, lows[context[own]], window) == window
         i = i[hit[back]]
         of = context[i]
         run = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (of[1:] != of[:-1])][: len(i)])
@@ -137,19 +135,21 @@ def earlier_windows(window: int):
 
 
 def dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
-    """pid, its words, and what is left after windows of smaller documents are gone.
+    """pid, doc_id, the number of words, and what is left after windows of smaller documents are gone.
 
     A null text has no words; texts of fewer words than the window lose none.
-    A null doc_id counts as the smallest. Rows that share a doc_id are one
-    document: they don't remove each other's words, and each keeps its row.
-    Other columns are not read.
+    A null doc_id is neither smaller nor larger than another: such rows lose
+    nothing and remove nothing. Rows that share a doc_id don't remove each
+    other's words; each loses what a smaller doc_id has of its own text. pid is
+    the row's number, the doc_id where no row shares it. Other columns are not
+    read.
     """
     spans = with_spans(docs, Spec(window, gram, True, True), earlier_windows(window))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, span in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, span in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text or b"").split()
                 kept, at_ = [], 0
                 for s, e in covered(span, len(words)):
@@ -159,12 +159,12 @@ def dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
                 whole = b" ".join(kept)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode()))
             cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["pid", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["pid", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return spans.mapInArrow(cut, "pid long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return spans.mapInArrow(cut, "pid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def digest_query(spark, sf_dir: str) -> DataFrame:
     """op7: one row a document with the digest of its kept words."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.when(F.col("pid") != NULL_ID, F.col("pid")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")

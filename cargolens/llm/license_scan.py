@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import arrowtext as at
-from cargolens.llm.passages import NULL_ID, keyed
+from cargolens.llm.passages import keyed
 
 #: Licence notices by SPDX identifier.
 TEMPLATES = {
@@ -228,4 +228,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: every candidate line of all documents with its best template."""
     out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.when(F.col("pid") != NULL_ID, F.col("pid")).alias("doc_id"), "line_no", F.sha2("block", 256).alias("block_sha256"), "template", "plain_bytes", "saved_bytes", "lacking", "added", "confirmed")
+    return out.select(F.col("pid").alias("doc_id"), "line_no", F.sha2("block", 256).alias("block_sha256"), "template", "plain_bytes", "saved_bytes", "lacking", "added", "confirmed")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.passages import NULL_ID, keyed
+from cargolens.llm.passages import keyed
 
 UNIT, WIDTH = 576, 24
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
@@ -177,7 +177,7 @@ def document_media(docs: DataFrame) -> DataFrame:
     """
     base = keyed(docs).mapInArrow(stored, "pid long, n_bytes long, digest string, data binary")  # encoded twice: cheaper than keeping media on disk
     media = base.filter("data is not null").select("digest", "data").groupBy("digest").agg(F.first("data").alias("data")).mapInArrow(features, "digest string, " + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    page = F.concat(F.lit("<article><p>Document "), F.col("pid"), F.lit('</p><figure><img src="sha256:'), F.col("digest"), F.lit('" alt=""><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure><p>End</p></article>"))
+    page = F.concat(F.lit("<article><p>Document "), F.coalesce(F.col("pid").cast("string"), F.lit("")), F.lit('</p><figure><img src="sha256:'), F.col("digest"), F.lit('" alt=""><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure><p>End</p></article>"))
     found = resolve(interleaved(base.select(F.col("pid").alias("key"), page.alias("html"))), media)
     return found.withColumn("n_bytes", F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")).withColumnRenamed("key", "pid")
 
@@ -185,4 +185,4 @@ def document_media(docs: DataFrame) -> DataFrame:
 def digest_query(spark, sf_dir: str) -> DataFrame:
     """op5: one row a document with what its stored medium holds."""
     out = document_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.when(F.col("pid") != NULL_ID, F.col("pid")).alias("doc_id"), "n_bytes", *(n for n, _ in MEDIA_FIELDS))
+    return out.select(F.col("pid").alias("doc_id"), "n_bytes", *(n for n, _ in MEDIA_FIELDS))

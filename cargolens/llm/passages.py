@@ -11,7 +11,10 @@ have equal anchors wherever they stand. The stages are one lazy plan:
    are shipped once, so a large group of copies costs one context a batch;
 3. each bucket's index (a suffix array or an FM-index, given by the caller)
    answers which windows repeat, as spans of documents;
-4. spans meet their documents by id.
+4. spans meet their rows by a number of each row's own (shared.identified).
+
+Hashes choose anchors and sort contexts; contexts count as equal only if their
+bytes or words are.
 
 Buckets are `per_partition` times spark.sql.shuffle.partitions and each holds
 its share of the anchors; nothing is collected and nothing is broadcast. The
@@ -20,6 +23,7 @@ exchange of texts by id is used by steps 2 and 4 alike.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import arrowtext as at
+from cargolens.llm import shared
 
-NULL_ID = -(1 << 63)
 ANCHOR = np.dtype([("h", "<u8"), ("d", "<i8"), ("p", "<i4")])
 MARK = np.dtype([("d", "<i8"), ("p", "<i4")])
 SPAN = np.dtype([("d", "<i8"), ("s", "<i4"), ("e", "<i4")])
-CONTEXT = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<i4"), ("u", "<i4"), ("n", "<i4"), ("dup", "<i4")])
+CONTEXT = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<i4"), ("u", "<i4"), ("n", "<i4"), ("dup", "<i4")])  # dup: also in another place; for earlier_only how far its id's least number lies below d
 
 
 @dataclass(frozen=True)
@@ -53,7 +57,7 @@ def units(data, offsets, spec):
     if not spec.by_words:
         return at.prefix_sums(data), offsets, None, None
     starts, ends, first = at.words(data, offsets)
-    return at.prefix_sums(at.word_hashes(data, starts, ends, lower=False)), first, starts, ends
+    return at.prefix_sums(at.word_hashes(data, offsets, lower=False)[0]), first, starts, ends
 
 
 def anchors(sums, first, spec):
@@ -151,6 +155,24 @@ def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return data[at_ + np.arange(len(at_))] if len(at_) else data[:0]
 
 
+def told_apart(same: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: np.ndarray, spec: Spec) -> np.ndarray:
+    """same, changed where slices of data with an equal value differ in their bytes or words."""
+    order = np.argsort(same, kind="stable")
+    again = np.flatnonzero(same[order][1:] == same[order][:-1]) + 1
+    if not len(again):
+        return same
+    raw, out = memoryview(np.ascontiguousarray(data)), same.copy()
+    part = (lambda i: b" ".join(bytes(raw[lo[i] : hi[i]]).split())) if spec.by_words else (lambda i: raw[lo[i] : hi[i]])
+    last, head = -1, None
+    for j in again.tolist():
+        if j != last + 1:
+            head = part(order[j - 1])
+        last, own = j, part(order[j])
+        if own != head:
+            out[order[j]] = int.from_bytes(hashlib.blake2b(bytes(own), digest_size=8).digest(), "little")
+    return out
+
+
 def contexts(spec: Spec, n_buckets: int) -> Callable:
     schema = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("body", pa.binary()), ("spans", pa.binary())])
     before = spec.window - spec.gram
@@ -159,6 +181,7 @@ def contexts(spec: Spec, n_buckets: int) -> Callable:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             keys, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            behind = keys - batch.column(3).to_numpy(zero_copy_only=False)  # rows of the same id before it
             mark_off, mark = marks.offsets.to_numpy(), marks.values.to_numpy(zero_copy_only=False)
             whole, parts = at.buffers(batch.column(1)), []
             for row, end_row, data, offsets in at.chunks(*whole):
@@ -171,18 +194,21 @@ def contexts(spec: Spec, n_buckets: int) -> Callable:
                 of, g, s, e = of[keep], g[keep], s[keep], e[keep]
                 base = whole[1][row]
                 lo, hi = (base + s, base + e) if starts is None else (base + starts[s], base + ends[e - 1]) if len(s) else (s, e)
-                parts.append((keys[row + of], s - first[of], e - first[of], lo, hi, at.slice_hash(sums, g, g + spec.gram), at.slice_hash(sums, s, e) ^ at.mix((g - s).astype(np.uint64))))
-            d, s, e, lo, hi, anchor, same = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 7
-            if not len(d):
+                parts.append((row + of, s - first[of], e - first[of], lo, hi, at.slice_hash(sums, g, g + spec.gram), at.slice_hash(sums, s, e) ^ at.mix((g - s).astype(np.uint64))))
+            at_row, s, e, lo, hi, anchor, same = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 7
+            if not len(at_row):
                 continue
+            d, behind = keys[at_row], behind[at_row]
+            same = told_apart(same, lo, hi, whole[0], spec)
             order = np.lexsort((s, d, same))
             new = np.r_[True, (same[order][1:] != same[order][:-1]) | (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1])]
-            order = order[new]  # repeated rows of one id are one document
+            order = order[new]  # rows alike in id and text are one document
             head = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
             size = np.diff(np.r_[head, len(order)])
             first_doc = np.repeat(d[order][head], size)
             if spec.earlier_only:
-                direct, ship, dup = d[order] > first_doc, d[order] == first_doc, np.zeros(len(order), bool)
+                direct, dup = d[order] - behind[order] > first_doc, behind[order]
+                ship = ~direct  # rows of the first one's id, too
             else:
                 many = np.repeat(size > 1, size)
                 ship = np.zeros(len(order), bool)
@@ -220,17 +246,21 @@ def shards(index: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarra
         if meta:
             meta, data = np.concatenate(meta), np.frombuffer(b"".join(bodies), np.uint8)
             end = np.cumsum(meta["n"], dtype=np.int64)
+            meta["c"] = told_apart(meta["c"], end - meta["n"], end, data, spec)
             order = np.lexsort((meta["s"], meta["d"], meta["c"], meta["a"]))
             meta, end = meta[order], end[order]
+            other = np.r_[True, (meta["c"][1:] != meta["c"][:-1]) | (meta["d"][1:] != meta["d"][:-1]) | (meta["s"][1:] != meta["s"][:-1])]
+            meta, end = meta[other], end[other]  # rows alike in id and text are one document
             head = np.flatnonzero(np.r_[True, (meta["c"][1:] != meta["c"][:-1]) | (meta["a"][1:] != meta["a"][:-1])])
             size = np.diff(np.r_[head, len(meta)])
             if spec.earlier_only:
-                direct, live = meta["d"] > np.repeat(meta["d"][head], size), np.ones(len(head), bool)
+                direct, live = meta["d"] - meta["dup"] > np.repeat(meta["d"][head], size), np.ones(len(head), bool)
             else:
                 many = (size > 1) | (meta["dup"][head] > 0)
                 direct, live = np.repeat(many, size) & (meta["dup"] == 0), ~many
             reps = meta[head]
-            reps["dup"] = ~live
+            if not spec.earlier_only:
+                reps["dup"] = ~live
             group = np.cumsum(np.r_[0, reps["a"][1:] != reps["a"][:-1]])
             use = ((np.bincount(group) > 1) & (np.bincount(group, live) > 0))[group]
             reps, rep_end, first = reps[use], end[head][use], head[use]
@@ -254,19 +284,20 @@ def shards(index: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarra
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """pid and text alone; a null doc_id becomes the least long."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("pid"), F.col("text").cast("string").alias("text"))
+    """pid (the doc_id, null where it is) and text alone."""
+    return docs.select(F.col("doc_id").cast("long").alias("pid"), F.col("text").cast("string").alias("text"))
 
 
 def with_spans(docs: DataFrame, spec: Spec, index: Callable, per_partition: int = 4) -> DataFrame:
-    """pid, text and spans (array of s, e in units, null if none) for each document."""
+    """pid, doc_id, text and spans (array of s, e in units, null if none) for each row."""
     n = per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(docs)
-    found = texts.mapInArrow(scan(spec, n), "bucket int, anchors binary, marks binary").groupBy("bucket").applyInArrow(repeated_anchors, "pid long, pos int")
+    texts = shared.identified(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    use = texts.filter("doc_id is not null") if spec.earlier_only else texts  # no id is smaller than a null one, nor larger
+    found = use.select("pid", "text").mapInArrow(scan(spec, n), "bucket int, anchors binary, marks binary").groupBy("bucket").applyInArrow(repeated_anchors, "pid long, pos int")
     marks = found.groupBy("pid").agg(F.collect_list("pos").alias("marks"))
-    ship = texts.join(marks, "pid").select("pid", "text", "marks").mapInArrow(contexts(spec, n), "bucket int, meta binary, body binary, spans binary")
+    ship = texts.join(marks, "pid").select("pid", "text", "marks", "low").mapInArrow(contexts(spec, n), "bucket int, meta binary, body binary, spans binary")
     spans = ship.groupBy("bucket").applyInArrow(shards(index, spec), "pid long, s int, e int").groupBy("pid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return texts.join(spans, "pid", "left").select("pid", "text", "spans")
+    return texts.join(spans, "pid", "left").select("pid", "doc_id", "text", "spans")
 
 
 def covered(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import arrowtext as at
-from cargolens.llm.passages import NULL_ID, keyed
+from cargolens.llm.passages import keyed
 
 TRAIN_DOCS, STEPS, THRESHOLD = 3000, 150, 0.3
 OWN = 14
@@ -224,5 +224,5 @@ def rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def digest_query(spark, sf_dir: str) -> DataFrame:
     """op3: one row a document with its score."""
     out = rejected(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    id_ = F.when(F.col("pid") != NULL_ID, F.col("pid"))
+    id_ = F.col("pid")
     return out.select(id_.alias("doc_id"), F.coalesce(held_out(id_), F.lit(False)).alias("held_out"), "score", F.col("keep").cast("int").alias("predicted"))

@@ -1,5 +1,6 @@
 """The other operators: oracles, exact round trips, brute force, held-out accuracy."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -87,8 +88,8 @@ def test_token_counts_equal_the_library(spark, sf_dir):
     rows += [(10**6 + i, t) for i, (_, t) in enumerate(EDGES)] + [(2 * 10**6, "a<|endoftext|> b<|endoftext|><|endof text|>"), (2 * 10**6 + 1, "it's  \x1c\x1f\x85   don't\r\n\r\n  'LL ½ ² ٣ 中文  "), (2 * 10**6 + 2, "​　﻿ x")]
     lib = Tokenizer.from_file(path)
     want = {i: (len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False)), len(lib.encode(t or "", add_special_tokens=False)) > 512) for i, t in rows}
-    for head in (1 << 19, 20):
-        got = {r.pid: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count(frame(spark, rows), path, head=head).collect()}
+    for most in (token_counts.PART_PRE_TOKENS, 20):
+        got = {r.pid: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count(frame(spark, rows), path, part_pre_tokens=most).collect()}
         assert got == want
 
 
@@ -98,7 +99,7 @@ def test_media_round_trip(spark):
     assert len(got) == len(rows)
     text = dict(rows)
     for r in got:
-        data = (text[r.pid if r.pid != media.NULL_ID else None] or "").encode()
+        data = (text[r.pid] or "").encode()
         full = data + b"\xff" * (-len(data) % 576 or 576 * (not data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
         stored = media.png(full)
@@ -267,3 +268,48 @@ def test_license_costs_equal_brute_force():
         t, w = ([r.randint(0, 3) for _ in range(r.randint(1, 8))] for _ in range(2))
         want = min(plain(t, w[a:b]) for a in range(len(w) + 1) for b in range(a, len(w) + 1))
         assert divmod(int(license_scan.costs(np.array(t), np.array(w)).min()), license_scan.ADD) == want
+
+
+def test_arc_files_of_a_table(spark):
+    records = [{"url": f"http://x/{k} y", "date": "20010203040506", "body": b"HTTP/1.0 200 OK\r\n\r\n" + b"p" * k} for k in range(5)]
+    one = warc.arc_file(records, 1, "one.arc").replace(b"/3%20y", b"/3 y z")
+    files = [("a", one), ("b", gzip.compress(warc.arc_file(records, 2))), ("c", one[:-5]), ("d", b"nonsense"), ("e", None), ("f", b"")]
+    got = warc.converted(spark.createDataFrame(files, "path string, content binary")).orderBy("path", "record_no").collect()
+    kinds = lambda p: [r.record_type for r in got if r.path == p]
+    assert kinds("a") == kinds("b") == ["warcinfo"] + ["response"] * 5
+    assert kinds("c") == ["warcinfo"] + ["response"] * 4 + [None] and "shorter" in got[-2].error
+    assert kinds("d") == [None] and not kinds("e") and not kinds("f")
+    assert [r.url for r in got if r.path == "a"][4] == "http://x/3 y z"
+    fields, block = next(warc.warc_records(gzip.decompress(got[3].warc)))
+    assert fields["warc-date"] == "2001-02-03T04:05:06Z" and block == records[2]["body"]
+
+
+def test_pages_with_null_and_shared_ids(spark):
+    p, q = "p" * 1200, "q" * 1200
+    pages = [(1, "u", p), (2, "u", p), (2, "v", q), (None, "u", p), (None, None, None), (3, "w", ""), (4, "w", "p" * 10), (5, "w", "p" * 10), (1, "u", p), (7, "u", q)]
+    frame_ = spark.createDataFrame([(i, u, h, 0, "x") for i, u, h in pages], "page_id long, url string, html string, top int, digest string")
+    back = warc.archives(frame_).select("content").mapInArrow(warc.read_back, "page string, payload_bytes long, payload_digest string, record_type string, refers string")
+    got = sorted((r.page, r.payload_bytes, r.record_type, r.refers) for r in back.collect() if r.page != "null")
+    assert got == [("1", 1200, "revisit", "2"), ("1", 1200, "revisit", "2"), ("2", 1200, "response", None), ("2", 1200, "revisit", "7"), ("3", 0, "response", None), ("4", 10, "response", None), ("5", 10, "response", None), ("7", 1200, "response", None)]
+    assert warc.archives(frame_.limit(0)).count() == 0
+
+
+def test_decontamination_of_unlike_rows_of_one_id(spark):
+    r = random.Random(4)
+    w = [f"w{k}" for k in range(30)]
+    item = " ".join(w[:20])
+    docs = [(None, " ".join(w[:5] + ["x"] * 5)), (None, " ".join(["y"] * 5 + w[5:10])), (3, " ".join(w[:10])), (3, " ".join(w[:9])), (4, None), (4, " ".join(w[:10])), (4, " ".join(w[:10])), (5, " ".join(r.sample(w, 30)))]
+    got = [(x.doc_id, x.n_words, x.n_hit, x.n_items) for x in decontaminate.contamination(frame(spark, docs), spark.createDataFrame([(1, item, 0)], "item_id long, text string, pid int")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 10, 0, 0), (None, 10, 0, 0), (3, 10, 10, 1), (3, 9, 0, 0), (4, 0, 0, 0), (4, 10, 10, 1), (4, 10, 10, 1), (5, 30, 0, 0)], key=str)
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [])
+    assert decontaminate.contamination(none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    out = decontaminate.contamination(frame(spark, [(1, "a b")]), spark.createDataFrame([], "item_id long, text string")).collect()
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in out] == [(2, 0, False)]
+    import public_tokenizers
+
+    assert token_counts.count(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert media.document_media(none).count() == 0
+    assert license_scan.scan(none).count() == 0

@@ -119,3 +119,49 @@ def test_minimizers_cover_every_window():
     chosen = set(at.minimizers(h, 7).tolist())
     want = {j + k for j in range(394) for k in range(7) if h[j + k] == h[j : j + 7].min()}
     assert chosen == want
+
+
+def brute_rows(rows, window, words):
+    """What each row keeps, rows alike in id and text being one document."""
+    docs = sorted(set(rows), key=str)
+    cut = (lambda t: (t or "").encode().split()) if words else (lambda t: (t or "").encode())
+    grams = [{tuple(u[s : s + window]) for s in range(len(u) - window + 1)} for u in map(cut, [t for _, t in docs])]
+    out = []
+    for i, t in rows:
+        own, me = cut(t), docs.index((i, t))
+        gone = set()
+        for s in range(len(own) - window + 1):
+            g = tuple(own[s : s + window])
+            if words:
+                bad = i is not None and any(j is not None and j < i and g in grams[k] for k, (j, _) in enumerate(docs))
+            else:
+                bad = any(g in grams[k] for k in range(len(docs)) if k != me) or sum(tuple(own[q : q + window]) == g for q in range(len(own) - window + 1)) > 1
+            if bad:
+                gone.update(range(s, s + window))
+        kept = [x for n, x in enumerate(own) if n not in gone]
+        out.append((str(i), len(own), len(gone), hashlib.sha256(b" ".join(kept) if words else bytes(kept)).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_unlike_rows_of_one_id_and_without_any(spark, words):
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    p, q, a, b = text(60), text(60), text(60), text(60)
+    rows = [(None, f"{a} {p}"), (None, f"{b} {q}"), (1, p), (7, f"{text(20)} {p}"), (7, f"{text(60)} {text(60)}"), (7, f"{p} {p}"), (5, q), (5, text(30)), (5, q), (3, None), (9, f"{q} {q}"), (9, ""), (None, None)]
+    frame_ = frame(spark, rows).repartition(4)
+    if words:
+        got = fm_dedup.dedup(frame_).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    else:
+        got = suffix_dedup.dedup(frame_).select("doc_id", "n_bytes", "n_removed", "kept_sha256")
+    assert sorted((str(x[0]), *x[1:]) for x in got.collect()) == brute_rows(rows, 13 if words else 200, words)
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    s = "a"
+    while len(s) < 2048:
+        s += s.translate(str.maketrans("ab", "ba"))
+    t = s.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([s] * 13)), (2, " ".join([t] * 13)), (3, " ".join(["q", s] * 13)), (4, " ".join(["q", t] * 13))]
+    assert result(fm_dedup.dedup(frame(spark, rows)), ["n_words", "n_removed", "kept_sha256"]) == brute_words(rows, 13)
+    assert result(suffix_dedup.dedup(frame(spark, rows[:2])), ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute_bytes(rows[:2], 200)
