@@ -11,43 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.llm import decontaminate, jaccard_join, mixing, quality_crf, shared, suffix_dedup
-from cargolens.operators.relational import ranked
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
 def told_apart(docs: DataFrame) -> DataFrame:
-    """docs with a row key `pid` in place of an id that is null or shared; rows that are alike in id and text have one key.
-
-    An id's own number goes to one of its texts (the first by digest). Its other
-    texts, and all texts without an id, have numbers beyond every id, in the
-    order of a digest of id and text; they are ranked once and written.
-    """
-    docs = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("pid"))
-    once = (F.col("n") == 1) & F.col("pid").isNotNull()
-    top, unclear = docs.groupBy("pid").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("pid"), F.lit(0)), F.count_if(~once)).first()
-    if not unclear:
-        return docs
-    part = lambda c: F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("-"))
-    docs = docs.withColumn("_key", F.sha2(F.concat_ws("|", *map(part, COLUMNS[:2])), 256))
-    rows = docs.select("pid", "_key").distinct()
-    own = rows.filter("pid is not null").groupBy("pid").agg(F.min("_key").alias("_own"))
-    if top < 1 << 62:
-        others = rows.join(own, "pid", "left").filter("_own is null or _key <> _own").select("_key")
-        others = shared.table(ranked(others, [F.col("_key")]).select("_key", (F.lit(max(top, 0)) + F.col("rn")).alias("_n")), shared.LEAST_TASKS)
-    else:  # no room beyond the ids: all are numbered anew, in the same order but for shared ids
-        others = shared.table(ranked(rows, [F.col("pid").asc_nulls_last(), F.col("_key")]).select("_key", F.col("rn").alias("_n")), shared.tasks(docs))
-    return docs.join(others, "_key", "left").withColumn("pid", F.coalesce("_n", "pid")).drop("_key", "_n")
+    """docs with a number `pid` of each document, also where an id is null or shared; rows alike in id and text have one number."""
+    return shared.identified(docs.select(*COLUMNS))
 
 
 def by_key(rows: DataFrame) -> DataFrame:
-    """What the operators read of told_apart rows: the key as doc_id, and the text."""
+    """What the operators read of numbered rows: the number as doc_id, and the text."""
     return rows.select(F.col("pid").alias("doc_id"), "text")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier does not reject; each row is judged by its own text, whatever its id."""
+    """Documents that the line classifier does not reject.
+
+    Each row is judged by its own text, whatever its id. Null and empty texts
+    are one empty line and judged as such. An empty table stays one.
+    """
     model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = told_apart(docs)
     kept = quality_crf.scored(by_key(rows), model).filter(F.col("score") >= quality_crf.THRESHOLD).select("pid").distinct()
@@ -55,11 +39,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest key, which is the smallest id unless that is shared.
+    """One row of each group of near copies: that of the smallest id; rows without one come last.
 
-    Rows without an id come after those with one. Rows that share an id, or
-    have none, are one only if their texts are near copies; of rows that are
-    alike in id and text any one stays.
+    Each row is grouped by its own text, so rows that share an id, or have
+    none, are one only if their texts are near copies; of those with the
+    smallest id the first by a digest of the text stays, of equal rows any
+    one. Null and empty texts have no copies and all stay.
     """
     rows = told_apart(docs)
     kept = jaccard_join.groups(by_key(rows)).filter("pid = component_id").select("pid").distinct()
@@ -69,24 +54,28 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand elsewhere; a text that loses all of itself stays as an empty one.
 
-    Each row loses passages of its own text; rows that share an id, or have
-    none, are different documents unless they have the same text.
+    Rows that share an id, or have none, are different documents unless they
+    have the same text. Null texts stay null; n_chars is counted anew for texts that lose
+    something.
     """
     rows = told_apart(docs)
-    cut = suffix_dedup.dedup(by_key(rows)).filter("n_removed > 0").select("pid", "kept").dropDuplicates(["pid"])
+    cut = suffix_dedup.dedup(by_key(rows)).filter("n_removed > 0").select(F.col("doc_id").alias("pid"), "kept").dropDuplicates(["pid"])
     text = F.coalesce("kept", "text")
     return rows.join(cut, "pid", "left").withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs; each row is judged by its own text, whatever its id."""
+    """Documents in which no window of a benchmark item occurs; each row is judged by its own text, whatever its id.
+
+    Null and empty texts, and all texts where the benchmark is empty, stay.
+    """
     rows = told_apart(docs)
-    found, _ = decontaminate.hits(by_key(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))[0]
     return rows.join(found.select("pid").distinct(), "pid", "left_anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its block, slot and place in the mix."""
+    """Every row with its block, slot and place in the mix; rows without a source are one source, repeated rows all stay."""
     return mixing.mixed(docs, {"src0": 2.0}).select(*COLUMNS, "block_no", "slot", "place")
 
 
