@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,25 @@ from cargolens.llm.passages import keyed
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-PART_PRE_TOKENS, PART_BYTES = 250_000, 32 << 20  # a part ends when it has so many distinct pre-tokens or bytes
-PART = pa.schema([("part", pa.int64()), ("pre_tokens", pa.list_(pa.string())), ("pid", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("specials", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("freq", pa.list_(pa.int32()))])
-PART_SQL = "part long, pre_tokens array<string>, pid array<long>, n_bytes array<long>, specials array<int>, kinds array<int>, place array<int>, freq array<int>"
+PART_PRE_TOKENS, PART_BYTES = 600_000, 64 << 20  # a part ends when it has so many distinct pre-tokens or bytes
+PART = pa.schema([("part", pa.int64()), ("pre_tokens", pa.list_(pa.string())), ("pid", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("specials", pa.list_(pa.int32())), ("frequencies", pa.binary())])
+PART_SQL = "part long, pre_tokens array<string>, pid array<long>, n_bytes array<long>, specials array<int>, frequencies binary"
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of small numbers, compressed by bytes of equal weight."""
+    out = [np.array([len(c) for c in columns], "<i8").tobytes()]
+    out += [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]
+    return zstandard.compress(b"".join(out), 1)
+
+
+def unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    raw, out = zstandard.decompress(data), []
+    sizes, at_ = np.frombuffer(raw, "<i8", n), 8 * n
+    for k in sizes.tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * k, at_).reshape(4, k).T).view("<u4").ravel().astype(np.int64))
+        at_ += 4 * k
+    return out
 
 
 def special_tokens(vocabulary: str) -> list[str]:
@@ -67,8 +84,10 @@ def parts(special: list[str], most: int):
             return {}, [[] for _ in range(6)], 0
 
         def ended(known, columns) -> pa.RecordBatch:
-            joined = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in columns]
-            return pa.record_batch([pa.array([x], t) for x, t in zip([number, list(known), *joined], PART.types, strict=True)], schema=PART)
+            ids, sizes, specials, kinds, place, freq = (np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in columns)
+            step = np.diff(place, prepend=0)
+            step[(np.cumsum(kinds) - kinds)[kinds > 0]] = place[(np.cumsum(kinds) - kinds)[kinds > 0]]  # places ascend within a document
+            return pa.record_batch([pa.array([x], t) for x, t in zip([number, list(known), ids, sizes, specials, packed(kinds, step, freq)], PART.types, strict=True)], schema=PART)
 
         known, columns, size = fresh()
         for batch in batches:
@@ -85,7 +104,7 @@ def parts(special: list[str], most: int):
                 doc = np.repeat(np.arange(end - row), lengths)
                 each, freq = np.unique((doc << 32) | here[coded.indices.to_numpy()], return_counts=True)
                 kinds = np.bincount(each >> 32, minlength=end - row)
-                for c, x in zip(columns, (ids.slice(row, end - row).to_pylist(), np.diff(offsets), np.array(specials, np.int32), kinds.astype(np.int32), (each & 0xFFFFFFFF).astype(np.int32), freq.astype(np.int32)), strict=True):
+                for c, x in zip(columns, (ids.slice(row, end - row).to_pylist(), np.diff(offsets), np.array(specials, np.int32), kinds, each & 0xFFFFFFFF, freq), strict=True):
                     c.append(x)
                 size += int(offsets[-1])
                 if len(known) >= most or size >= PART_BYTES:
@@ -99,7 +118,7 @@ def parts(special: list[str], most: int):
 
 
 def piece_counts(vocabulary):
-    """(part, place, pieces) of rows that come in order of pre-token: each is encoded when it first comes."""
+    """(part, place and pieces in one number) of rows that come in order of pre-token: each is encoded when it first comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -119,7 +138,7 @@ def piece_counts(vocabulary):
             if batch.num_rows:
                 end = batch.column(0)[-1].as_py()
                 last = (end, counts[end])
-            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(pieces)], names=["part", "place", "pieces"])
+            yield pa.record_batch([batch.column(1), pa.array(batch.column(2).to_numpy().astype(np.int64) << 32 | pieces)], names=["part", "found"])
 
     return run
 
@@ -127,11 +146,15 @@ def piece_counts(vocabulary):
 def summed(part: pa.Table, found: pa.Table) -> pa.Table:
     """pid, bytes and tokens of a part's documents."""
     get = lambda c: part.column(c)[0].values
-    pieces = np.zeros(len(get("pre_tokens")), np.int64)
-    pieces[found.column("place").to_numpy()] = found.column("pieces").to_numpy()
-    kinds = get("kinds").to_numpy()
-    sums = np.r_[0, np.cumsum(pieces[get("place").to_numpy()] * get("freq").to_numpy())]
+    kinds, place, freq = unpacked(part.column("frequencies")[0].as_py(), 3)
     ends = np.cumsum(kinds)
+    place = np.cumsum(place)
+    starts = (ends - kinds)[kinds > 0]
+    place -= np.repeat(np.r_[0, place][starts], kinds[kinds > 0])
+    both = found.column("found").to_numpy()
+    pieces = np.zeros(len(both), np.int64)
+    pieces[both >> 32] = both & 0xFFFFFFFF
+    sums = np.r_[0, np.cumsum(pieces[place] * freq)]
     tokens = sums[ends] - sums[ends - kinds] + get("specials").to_numpy()
     return pa.table([get("pid"), get("n_bytes"), pa.array(tokens, pa.int64())], names=["pid", "n_bytes", "n_tokens"])
 
@@ -151,8 +174,8 @@ def count(docs: DataFrame, path: str, limit: int = 512, part_pre_tokens: int = P
     rows = shared.table(keyed(docs).mapInArrow(parts(special, part_pre_tokens), PART_SQL))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = rows.select("part", F.posexplode("pre_tokens").alias("place", "t")).select("t", "part", "place").repartition(n, "t").sortWithinPartitions("t")
-    pieces = lists.mapInArrow(piece_counts(sent), "part long, place int, pieces int")
-    out = rows.groupBy("part").cogroup(pieces.groupBy("part")).applyInArrow(summed, "pid long, n_bytes long, n_tokens long")
+    pieces = lists.mapInArrow(piece_counts(sent), "part long, found long")
+    out = rows.drop("pre_tokens").groupBy("part").cogroup(pieces.groupBy("part")).applyInArrow(summed, "pid long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
