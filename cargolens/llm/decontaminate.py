@@ -21,7 +21,7 @@ from cargolens.llm import shared
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 5
-BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1 << 17
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1 << 20
 
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') w FROM documents),
@@ -45,15 +45,14 @@ def words(text):
     return F.filter(F.split(low, NOT_WORD), lambda w: w != "")
 
 
-def gram_hash(array, start, size: int):
-    """A hash of `size` words from `start` (from 1)."""
-    return F.xxhash64(F.lit(size), *(F.get(array, start + (j - 1)) for j in range(size)))
-
-
 def grams(array, size: int):
-    """pos (from 0) and hash of every shingle of `size` words; none in shorter texts."""
-    each = F.transform(F.sequence(F.lit(1), F.size(array) - (size - 1)), lambda i: F.struct((i - 1).alias("pos"), gram_hash(array, i, size).alias("g")))
-    return F.when(F.size(array) >= size, each).otherwise(F.array().cast("array<struct<pos:int,g:bigint>>"))
+    """A hash of the `size` words from each place on; none in shorter texts. Hashes of longer runs are made of those of shorter ones."""
+    h, span = F.transform(array, lambda w: F.xxhash64(w)), 1
+    while span < size:
+        step = min(span, size - span)
+        n = F.greatest(F.size(h) - step, F.lit(0))
+        h, span = F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b)), span + step
+    return h
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
@@ -69,18 +68,17 @@ def small(df: DataFrame, bytes_: int) -> DataFrame:
 
 
 def prefixes(win: DataFrame, tokens: DataFrame, n_bytes: int) -> DataFrame:
-    """(win, len, off, g): the necessary shingle of each window, rarest by the documents that have its rarest word."""
+    """(win, len, k, off, g): the necessary shingle of each window, rarest by the documents that have its rarest word."""
     distinct = win.select("win", "len", "w").distinct().withColumn("k", F.least(F.lit(SHINGLE), F.col("len")))
     known = small(distinct.select(F.explode("w").alias("word")).distinct(), n_bytes)
     counts = shared.cut(tokens.select(F.explode(F.array_distinct("w")).alias("word")).join(known, "word").groupBy("word").agg(F.count("*").alias("df")))
-    shingles = distinct.select("win", "len", "k", "w", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off"))
-    shingles = shingles.select("win", "len", "off", F.slice("w", F.col("off") + 1, F.col("k")).alias("s"))
-    bound = shingles.select("win", "off", F.explode("s").alias("word")).join(counts, "word", "left").groupBy("win", "off").agg(F.min(F.coalesce("df", F.lit(0))).alias("df"))
-    g = F.lit(None).cast("long")
+    g = F.lit(None).cast("array<long>")
     for k in range(1, SHINGLE + 1):
-        g = F.when(F.size("s") == k, gram_hash(F.col("s"), F.lit(1), k)).otherwise(g)
-    best = shingles.join(bound, ["win", "off"]).groupBy("win", "len").agg(F.min(F.struct("df", g.alias("g"), "off")).alias("p"))
-    return best.filter("p.df > 0").select("win", "len", "p.off", "p.g")  # a word that no document has: the window occurs nowhere
+        g = F.when(F.col("k") == k, grams(F.col("w"), k)).otherwise(g)
+    shingles = distinct.select("win", "len", "k", "w", F.posexplode(g).alias("off", "g"))
+    bound = shingles.select("win", "off", F.explode(F.slice("w", F.col("off") + 1, F.col("k"))).alias("word")).join(counts, "word", "left").groupBy("win", "off").agg(F.min(F.coalesce("df", F.lit(0))).alias("df"))
+    best = shingles.join(bound, ["win", "off"]).groupBy("win", "len", "k").agg(F.min(F.struct("df", "g", "off")).alias("p"))
+    return best.filter("p.df > 0").select("win", "len", "k", "p.off", "p.g")  # a word that no document has: the window occurs nowhere
 
 
 def hits(rows: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -90,11 +88,17 @@ def hits(rows: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[DataFra
     lengths = sorted(r[0] for r in win.select(F.least(F.lit(SHINGLE), F.col("len")).alias("k")).distinct().collect())  # SHINGLE values at most
     tokens = rows.select("pid", words(F.col("text").cast("string")).alias("w"))
     known = shared.cut(prefixes(win, tokens, n_bytes))
-    each = F.flatten(F.array(*(grams(F.col("w"), k) for k in lengths))) if lengths else F.array().cast("array<struct<pos:int,g:bigint>>")
-    met = tokens.select("pid", F.size("w").alias("n"), F.inline(each)).join(small(known, n_bytes), "g").withColumn("start", F.col("pos") - F.col("off"))
+    if not lengths:
+        return rows.sparkSession.createDataFrame([], "pid long, start int, len int, win string"), win.select("win", "item").distinct()
+    met = tokens.select("pid", F.size("w").alias("n"), F.posexplode(F.concat(*(grams(F.col("w"), k) for k in lengths))).alias("pos", "g")).join(small(known, n_bytes), "g")
+    before = F.lit(0)  # hashes of each length stand one after another
+    for k, longer in zip(lengths, lengths[1:], strict=False):
+        before = before + F.when(F.col("k") >= longer, F.greatest(F.col("n") - (k - 1), F.lit(0))).otherwise(0)
+    met = met.withColumn("start", F.col("pos") - before - F.col("off"))
     met = shared.cut(met.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))).groupBy("pid").agg(F.collect_set(F.struct("start", "len", "win")).alias("met")))
-    found = met.agg(F.coalesce(F.sum(F.size("met")), F.lit(0))).first()[0]
-    own = tokens.join(F.broadcast(met) if found <= BROADCAST_ROWS else met, "pid")
+    ids = met.select("pid")
+    own = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "pid", "left_semi")  # few texts move
+    own = own.select("pid", words(F.col("text").cast("string")).alias("w")).join(met, "pid")
     exact = own.select("pid", F.explode(F.filter("met", lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " ") == x["win"])).alias("x"))
     return exact.select("pid", "x.*").distinct(), win.select("win", "item").distinct()
 
