@@ -167,6 +167,20 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
+def members(data: bytes) -> bytes:
+    """What the members of a gzip file hold; gzip.decompress would copy what is left at each of them."""
+    view, out, at = memoryview(data), [], 0
+    while at < len(view):
+        one = zlib.decompressobj(31)
+        while not one.eof:
+            if at >= len(view):
+                raise EOFError("a gzip member is cut off")
+            part = view[at : at + (1 << 14)]
+            out.append(one.decompress(part))
+            at += len(part) - len(one.unused_data)
+    return b"".join(out)
+
+
 def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page, url, payload, refers) to archives: rows become ARC files, and those gzipped WARC files."""
 
@@ -193,7 +207,7 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0).to_pylist():
             rows = []
-            for f, block in warc_records(gzip.decompress(content)):
+            for f, block in warc_records(members(content)):
                 if f["warc-type"] == "warcinfo":
                     continue
                 _, payload = http_parts(block)
@@ -219,7 +233,7 @@ def converted(files: DataFrame) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, error = [], None
                 try:
-                    for arc in arc_contents(gzip.decompress(content) if (content or b"").startswith(b"\x1f\x8b") else content or b""):
+                    for arc in arc_contents(members(content) if (content or b"").startswith(b"\x1f\x8b") else content or b""):
                         rows.append((arc.get("URL"), "warcinfo" if "filedesc" in arc else "response", gzip.compress(warc_record(arc), 4, mtime=0)))
                 except (ValueError, KeyError, IndexError, EOFError, OSError, zlib.error) as e:
                     error = f"{type(e).__name__}: {e}"
