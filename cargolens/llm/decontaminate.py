@@ -46,13 +46,9 @@ def words(text):
 
 
 def grams(array, size: int):
-    """A hash of the `size` words from each place on; none in shorter texts. Hashes of longer runs are made of those of shorter ones."""
-    h, span = F.transform(array, lambda w: F.xxhash64(w)), 1
-    while span < size:
-        step = min(span, size - span)
-        n = F.greatest(F.size(h) - step, F.lit(0))
-        h, span = F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b)), span + step
-    return h
+    """A hash of the `size` words from each place on; none in shorter texts."""
+    each = F.transform(F.sequence(F.lit(0), F.size(array) - size), lambda i: F.xxhash64(F.lit(size), *(F.get(array, i + j) for j in range(size))))
+    return F.when(F.size(array) >= size, each).otherwise(F.array().cast("array<long>"))
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
