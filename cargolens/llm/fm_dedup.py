@@ -159,7 +159,7 @@ def dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
                 whole = b" ".join(kept)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode()))
             cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["pid", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.record_batch([batch.column(0), batch.column(1).field("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["pid", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return spans.mapInArrow(cut, "pid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 

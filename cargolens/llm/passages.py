@@ -181,7 +181,7 @@ def contexts(spec: Spec, n_buckets: int) -> Callable:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             keys, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            behind = keys - batch.column(3).to_numpy(zero_copy_only=False)  # rows of the same id before it
+            behind = keys - batch.column(3).field("low").to_numpy(zero_copy_only=False)  # rows of the same id before it
             mark_off, mark = marks.offsets.to_numpy(), marks.values.to_numpy(zero_copy_only=False)
             whole, parts = at.buffers(batch.column(1)), []
             for row, end_row, data, offsets in at.chunks(*whole):
@@ -289,15 +289,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spec: Spec, index: Callable, per_partition: int = 4) -> DataFrame:
-    """pid, doc_id, text and spans (array of s, e in units, null if none) for each row."""
+    """pid, ids (doc_id and low), text and spans (array of s, e in units, null if none) for each row."""
     n = per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = shared.identified(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    use = texts.filter("doc_id is not null") if spec.earlier_only else texts  # no id is smaller than a null one, nor larger
+    texts = texts.select("pid", F.struct("doc_id", "low").alias("ids"), "text")  # the same columns in both joins: one exchange
+    use = texts.filter("ids.doc_id is not null") if spec.earlier_only else texts  # no id is smaller than a null one, nor larger
     found = use.select("pid", "text").mapInArrow(scan(spec, n), "bucket int, anchors binary, marks binary").groupBy("bucket").applyInArrow(repeated_anchors, "pid long, pos int")
     marks = found.groupBy("pid").agg(F.collect_list("pos").alias("marks"))
-    ship = texts.join(marks, "pid").select("pid", "text", "marks", "low").mapInArrow(contexts(spec, n), "bucket int, meta binary, body binary, spans binary")
+    ship = texts.join(marks, "pid").select("pid", "text", "marks", "ids").mapInArrow(contexts(spec, n), "bucket int, meta binary, body binary, spans binary")
     spans = ship.groupBy("bucket").applyInArrow(shards(index, spec), "pid long, s int, e int").groupBy("pid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return texts.join(spans, "pid", "left").select("pid", "doc_id", "text", "spans")
+    return texts.join(spans, "pid", "left").select("pid", "ids", "text", "spans")
 
 
 def covered(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
