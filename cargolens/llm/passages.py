@@ -292,7 +292,8 @@ def with_spans(docs: DataFrame, spec: Spec, index: Callable, per_partition: int
     """pid, ids (doc_id and low), text and spans (array of s, e in units, null if none) for each row."""
     n = per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = shared.identified(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    texts = texts.select("pid", F.struct("doc_id", "low").alias("ids"), "text")  # the same columns in both joins: one exchange
+    known = F.coalesce("pid", F.lit(0)).alias("pid")  # never null, and so the planner knows it and filters neither join
+    texts = texts.select(known, F.struct("doc_id", "low").alias("ids"), "text")  # the same columns in both joins: one exchange
     use = texts.filter("ids.doc_id is not null") if spec.earlier_only else texts  # no id is smaller than a null one, nor larger
     found = use.select("pid", "text").mapInArrow(scan(spec, n), "bucket int, anchors binary, marks binary").groupBy("bucket").applyInArrow(repeated_anchors, "pid long, pos int")
     marks = found.groupBy("pid").agg(F.collect_list("pos").alias("marks"))
