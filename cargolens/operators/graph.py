@@ -146,3 +146,21 @@ def skip_grams(walks_: DataFrame, context: int) -> DataFrame:
     k = context // 2
     at = walks_.select("start", "walk_no", "walk", F.posexplode("walk").alias("pos", "target")).filter((F.col("pos") >= k) & (F.col("pos") < F.size("walk") - k))
     return at.select("start", "walk_no", "pos", "target", F.concat(F.slice("walk", F.col("pos") - k + 1, F.lit(k)), F.slice("walk", F.col("pos") + 2, F.lit(k))).alias("context"))
+
+
+def record_neighbours(df: DataFrame, similar: DataFrame, domain: str, k: int, id_: str = "rec_id") -> DataFrame:
+    """(id, other, s, rank): the k records most similar to each, itself left out; ties by id.
+
+    Records of one entity have the same neighbours but for themselves, so the
+    first k + 1 records are found once for each entity; a window keeps k + 1
+    rows a partition before it is sorted as a whole. No pair of records is made
+    that is not among them.
+    """
+    own = df.select(F.col(id_).alias("other"), F.col(domain).alias("dst"))
+    by_id = Window.partitionBy("dst").orderBy("other")
+    few = own.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1).drop("_n")
+    by = Window.partitionBy("src").orderBy(F.desc("s"), "other")
+    lists = similar.join(few, "dst").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= k + 1).select("src", "other", "s")
+    of = Window.partitionBy(id_).orderBy(F.desc("s"), "other")
+    pairs = df.select(id_, F.col(domain).alias("src")).join(lists, "src").filter(F.col("other") != F.col(id_))
+    return pairs.withColumn("rank", F.row_number().over(of)).filter(F.col("rank") <= k).select(id_, "other", "s", "rank")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from functools import reduce
 from itertools import combinations
 

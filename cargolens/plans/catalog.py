@@ -498,7 +498,7 @@ def _(spark, d):
 
 FLAGSHIP = "h07_path_similarity"
 
-from cargolens.plans import extended  # noqa: E402, F401  it registers its queries
+from cargolens.plans import extended, wider  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict:
