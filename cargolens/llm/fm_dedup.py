@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cargolens.llm import arrowtext as at
+from cargolens.llm import shared
 from cargolens.llm.passages import Spec, covered, with_spans
 
 STREAM_AT_ONCE = 200_000
@@ -161,7 +162,7 @@ def dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.record_batch([batch.column(0), batch.column(1).field("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["pid", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return spans.mapInArrow(cut, "pid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return spans.mapInArrow(shared.tidied(cut), "pid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def digest_query(spark, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ AT_ONCE = 300_000  # windows held before they are sent on
 BROADCAST_KEYS = 1 << 18  # at most so many class keys of 8 bytes go to every executor; beyond that the join shuffles
 PART_SHINGLES, LEAST_SHINGLES, PIVOTS, PRUNED = 1 << 18, 64, 8, 512  # of a part; what a member counts at least; pivots whose distances are kept; members of a family whose bits are compared
 WINDOW = np.dtype([("s", "<u4"), ("k", "<i8"), ("n", "<u4"), ("q", "u1")])
-MEMBER = np.dtype([("leader", "<i8"), ("k", "<i8"), ("n", "<i4")])
+MEMBER = np.dtype([("l", "<i8"), ("k", "<i8"), ("n", "<i4")])
 
 
 def window_size(n):
@@ -210,7 +210,6 @@ def regions(table: pa.Table) -> pa.Table:
     A region is split where the next larger set is too large to be linked to
     any smaller one. The leader is the member of the least key.
     """
-    bucket = table.column("bucket")[0].as_py()
     a = np.frombuffer(b"".join(table.column("windows").to_pylist()), WINDOW)
     a = a[np.lexsort((a["k"], a["n"], a["s"]))]
     a = a[np.r_[True, (a["s"][1:] != a["s"][:-1]) | (a["k"][1:] != a["k"][:-1])][: len(a)]]
@@ -242,18 +241,10 @@ def regions(table: pa.Table) -> pa.Table:
     if len(a):
         by = np.lexsort((a["k"], group))
         start = np.flatnonzero(np.r_[True, np.diff(group) > 0])
-        out["leader"] = np.repeat(a["k"][by][start], np.diff(np.r_[start, len(a)]))
+        out["l"] = np.repeat(a["k"][by][start], np.diff(np.r_[start, len(a)]))
         out["k"], out["n"] = a["k"], a["n"]
         out = np.unique(out)
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "members": pa.array([out.tobytes()], pa.binary())})
-
-
-def unpack_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in batch.column(0).to_pylist():
-            m = np.frombuffer(b, MEMBER)
-            if len(m):
-                yield pa.record_batch({c: m[c].astype(np.int64) for c in MEMBER.names})
+    return pa.table({c: out[c].astype(np.int64) for c in MEMBER.names})
 
 
 def fits(rows: list[np.ndarray], n: np.ndarray) -> np.ndarray:
@@ -437,7 +428,7 @@ def groups(docs: DataFrame, per_partition: int = 4, part_shingles: int = PART_SH
     n_buckets = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts, most = docs.select(F.col("doc_id").cast("long").alias("pid"), F.col("text").cast("string").alias("text")), shared.tasks(docs)
     for seed in range(8):
-        known = shared.table(texts.mapInArrow(classes(seed), "pid long, k long, check long, n_shingles long, text binary, bits binary"), most)
+        known = shared.table(texts.mapInArrow(shared.tidied(classes(seed)), "pid long, k long, check long, n_shingles long, text binary, bits binary"), most)
         # a class is 64 bits of a digest; should two classes ever meet there, the other 64 bits tell
         if known.groupBy("k").agg((F.min("check") != F.max("check")).alias("mixed")).filter("mixed").isEmpty():
             break
@@ -445,8 +436,8 @@ def groups(docs: DataFrame, per_partition: int = 4, part_shingles: int = PART_SH
     else:
         raise RuntimeError("class keys collide under every seed")
     rarity = sc.broadcast(rarity_classes(texts))
-    packed_ = texts.mapInArrow(replicate(rarity, n_buckets, seed), "bucket int, windows binary").groupBy("bucket").applyInArrow(regions, "bucket int, members binary")
-    families = shared.table(packed_.select("members").mapInArrow(unpack_members, "leader long, k long, n long").distinct().withColumnRenamed("leader", "l"), most)
+    windows = texts.mapInArrow(shared.tidied(replicate(rarity, n_buckets, seed)), "bucket int, windows binary")
+    families = shared.table(windows.groupBy("bucket").applyInArrow(regions, "l long, k long, n long").distinct(), most)
     shared.release(spark)
     edges, tables = edges_of(families, known, n_buckets, part_shingles, most)
     roots = shared.components(edges, most)

@@ -295,9 +295,9 @@ def with_spans(docs: DataFrame, spec: Spec, index: Callable, per_partition: int
     known = F.coalesce("pid", F.lit(0)).alias("pid")  # never null, and so the planner knows it and filters neither join
     texts = texts.select(known, F.struct("doc_id", "low").alias("ids"), "text")  # the same columns in both joins: one exchange
     use = texts.filter("ids.doc_id is not null") if spec.earlier_only else texts  # no id is smaller than a null one, nor larger
-    found = use.select("pid", "text").mapInArrow(scan(spec, n), "bucket int, anchors binary, marks binary").groupBy("bucket").applyInArrow(repeated_anchors, "pid long, pos int")
+    found = use.select("pid", "text").mapInArrow(shared.tidied(scan(spec, n)), "bucket int, anchors binary, marks binary").groupBy("bucket").applyInArrow(repeated_anchors, "pid long, pos int")
     marks = found.groupBy("pid").agg(F.collect_list("pos").alias("marks"))
-    ship = texts.join(marks, "pid").select("pid", "text", "marks", "ids").mapInArrow(contexts(spec, n), "bucket int, meta binary, body binary, spans binary")
+    ship = texts.join(marks, "pid").select("pid", "text", "marks", "ids").mapInArrow(shared.tidied(contexts(spec, n)), "bucket int, meta binary, body binary, spans binary")
     spans = ship.groupBy("bucket").applyInArrow(shards(index, spec), "pid long, s int, e int").groupBy("pid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return texts.join(spans, "pid", "left").select("pid", "ids", "text", "spans")
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import arrowtext as at
+from cargolens.llm import shared
 from cargolens.llm.passages import keyed
 
 TRAIN_DOCS, STEPS, THRESHOLD = 3000, 150, 0.3
@@ -208,7 +209,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(1 / (1 + np.exp(-(model.slope * q + model.shift))))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(out))], names=["pid", "score"])
 
-    return keyed(docs).mapInArrow(run, "pid long, score double")
+    return keyed(docs).mapInArrow(shared.tidied(run), "pid long, score double")
 
 
 def rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

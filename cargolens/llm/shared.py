@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -89,6 +91,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidied(run: Callable) -> Callable:
+    """run, which maps Arrow batches, giving what its worker has freed back to the system at its end: workers are used again and wait beside each other."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def tally(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int, bits: bool = False) -> np.ndarray:
     """How often slots(batch) names each of `size` slots (at most 2**32 - 1), over all of df; or, as packed bits, whether.
 
@@ -116,7 +132,7 @@ def tally(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]]
 
     out = np.zeros(size // 8 if bits else size, np.uint8 if bits else np.uint32)
     each = len(out) // BLOCKS
-    for r in df.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for r in df.mapInArrow(tidied(count), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[r.block * each : (r.block + 1) * each] = np.frombuffer(zstandard.decompress(bytes(r.counts)), out.dtype)
     return out
 
