@@ -114,6 +114,23 @@ def test_suffix_array_orders_suffixes():
         assert [b[i:] for i in suffix_dedup.suffix_array(t, len(t))] == sorted(b[i:] for i in range(len(b)))
 
 
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_wanted_suffixes_and_adjacent_prefixes(letters, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COMPARED", 50)
+    rng = np.random.default_rng(letters)
+    for _ in range(60):
+        n, depth = int(rng.integers(1, 300)), int(rng.integers(1, 20))
+        t = rng.integers(0, letters, n).astype(np.uint8)
+        for wanted in (rng.random(n) < 0.3, np.zeros(n, bool), np.ones(n, bool)):
+            sa = suffix_dedup.suffix_array(t, depth, wanted)
+            assert sorted(sa.tolist()) == np.flatnonzero(wanted).tolist()
+            heads = [bytes(t[i : i + depth]) for i in sa]
+            assert heads == sorted(heads)
+            full = sa[n - sa >= depth]
+            heads = [bytes(t[i : i + depth]) for i in full]
+            assert suffix_dedup.adjacent_common(t, full, depth).tolist() == [a == b for a, b in zip(heads, heads[1:])]
+
+
 def test_minimizers_cover_every_window():
     h = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64)
     chosen = set(at.minimizers(h, 7).tolist())
