@@ -28,9 +28,10 @@ def low_frequency_removed(df: DataFrame, least: int, domains: list[str]) -> Data
 
 
 def dictionary(df: DataFrame, domains: list[str] = DOMAINS) -> DataFrame:
-    """(domain, value, entity_id): ids by order of value from 0 in each domain."""
-    values = long_form(df, domains).select("domain", "value").distinct()
-    return values.withColumn("entity_id", F.row_number().over(Window.partitionBy("domain").orderBy("value")) - 1)
+    """(domain, value, entity_id): ids by order of value from 0 in each domain; ranked by ranges, so no domain is sorted in one task."""
+    order = ranked(long_form(df, domains).select("domain", "value").distinct(), [F.col("domain"), F.col("value")])
+    first = order.groupBy("domain").agg(F.min("rn").alias("_first"))  # a row a domain
+    return order.join(F.broadcast(first), "domain").select("domain", "value", (F.col("rn") - F.col("_first")).cast("int").alias("entity_id"))
 
 
 def serial_ids(codes: DataFrame) -> DataFrame:
@@ -75,10 +76,19 @@ def hash_below(per_cent: int, seed: int, id_: str = "rec_id") -> Column:
     return F.conv(F.substring(hash_order(seed, id_), 1, 6), 16, 10).cast("long") % 100 < per_cent
 
 
+def first_of_each(df: DataFrame, by: str, sizes: dict, order: list[Column]) -> DataFrame:
+    """The first `sizes` rows of each value of `by` in that order; ranked by ranges, so no class meets in one task."""
+    rows = ranked(df, [F.col(by), *order], "_rn")
+    starts = rows.groupBy(by).agg((F.min("_rn") - 1).alias("_start"))  # a row a class
+    most = F.lit(0)
+    for value, n in sizes.items():
+        most = F.when(F.col(by) == value, n).otherwise(most)
+    return rows.join(F.broadcast(starts), by).filter(F.col("_rn") - F.col("_start") <= most).select(*df.columns)
+
+
 def mixture(df: DataFrame, flag: str, sizes: dict[int, int], seed: int, id_: str = "rec_id") -> DataFrame:
     """As many rows of each class as `sizes` says, or all it has; the choice is by hash."""
-    parts = [hash_sample(df.filter(F.col(flag) == v), n, seed, id_) for v, n in sizes.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return first_of_each(df.withColumn("_o", hash_order(seed, id_)), flag, sizes, [F.col("_o"), F.col(id_)]).drop("_o")
 
 
 def co_occurrence(df: DataFrame, domains: list[str] = DOMAINS) -> DataFrame:
@@ -94,11 +104,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def never_together(codes: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(e_a, e_b) of two domains that no record holds: the complement, for domains of bounded size."""
-    left = codes.filter(F.col("domain") == a).select(F.col("value").alias("e_a"))
-    right = codes.filter(F.col("domain") == b).select(F.col("value").alias("e_b"))
-    seen = both_ways(edges).filter((F.col("src_dom") == a) & (F.col("dst_dom") == b)).selectExpr("src e_a", "dst e_b")
-    return left.join(F.broadcast(right)).join(seen, ["e_a", "e_b"], "left_anti")
+    """(e_a, e_b) of two domains that no record holds: the complement, as large as the product of the domains less the edges.
+
+    Ids of the one domain are counted out for each entity of the other; those
+    of the seen pairs are taken away before they become values.
+    """
+    own = codes.filter(F.col("domain") == b).select(F.col("entity_id").cast("long").alias("_id"), F.col("value").alias("e_b"))
+    n = own.count()
+    left = codes.filter(F.col("domain") == a).select(F.col("value").alias("e_a"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)).cast("long"))).alias("_id"))
+    seen = both_ways(edges).filter((F.col("src_dom") == a) & (F.col("dst_dom") == b)).selectExpr("src e_a", "dst e_b").join(own, "e_b").select("e_a", "_id")
+    return left.join(seen, ["e_a", "_id"], "left_anti").join(own, "_id").select("e_a", "e_b")
 
 
 def spurious_removed(test: DataFrame, edges: DataFrame, domains: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from cargolens.operators import graph as G
 from cargolens.operators import learning as L
 from cargolens.operators import measures as M
 from cargolens.operators import relational as R
+from cargolens.operators import samplers as P
 from cargolens.plans.catalog import CFG, COMMUTING, DICT, LONG, ROUTES, SCORED, SERIAL, edges_sql, hop_sql, query, routes, scored, table, test, train
 from cargolens.sources.records import META_PATHS
 
@@ -30,11 +31,12 @@ def _(spark, d):
 
 @query("c11_packed_negatives", LONG, DICT, sql="SELECT rec_id, list(v ORDER BY k) negatives FROM (SELECT t.rec_id, k, c.\"value\" v FROM (SELECT DISTINCT rec_id FROM train) t CROSS JOIN generate_series(0, 2) g(k) JOIN dict c ON c.\"domain\" = 'hscode' AND c.entity_id = ('0x' || substr(md5('7#' || t.rec_id || '#' || k), 1, 8))::BIGINT % (SELECT count(*) FROM dict WHERE \"domain\" = 'hscode')) GROUP BY 1".replace("list(v ORDER BY k)", "string_agg(v, ',' ORDER BY k)"))
 def _(spark, d):
-    # the values by entity id are one small array
     df = train(spark, d)
-    values = R.dictionary(df, ["hscode"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "value"))), lambda x: x["value"]).alias("v"))
-    pick = lambda k: F.element_at("v", (F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(str(CFG.seed)), "rec_id", F.lit(str(k)))), 1, 8), 16, 10).cast("long") % F.size("v") + 1).cast("int"))
-    return df.select("rec_id").distinct().join(F.broadcast(values)).select("rec_id", F.concat_ws(",", *(pick(k) for k in range(3))).alias("negatives"))
+    own = R.dictionary(df, ["hscode"]).select("entity_id", "value")
+    n = max(1, own.count())
+    drawn = df.select("rec_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("entity_id", P.number("rec_id", F.col("k").cast("string"), seed=CFG.seed) % n)
+    packed = drawn.join(own, "entity_id").groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("x"))  # three a record
+    return packed.select("rec_id", F.array_join("x.value", ",").alias("negatives"))
 
 
 def path_parts(n: int, end: str) -> list[str]:

@@ -128,14 +128,14 @@ def kinds(spark, d):
 
 @query("g03_stage_two_mixture", KINDS, sql="SELECT rec_id, kind FROM ordered WHERE rn <= CASE kind WHEN 0 THEN 600 WHEN 1 THEN 200 ELSE 200 END")
 def _(spark, d):
-    return P.first_of_each(kinds(spark, d), "kind", P.stage_two_sizes(1000, 0.4, 0.5), CFG.seed).select("rec_id", "kind")
+    return R.mixture(kinds(spark, d), "kind", P.stage_two_sizes(1000, 0.4, 0.5), CFG.seed).select("rec_id", "kind")
 
 
 @query("g05_rebalanced_flags", KINDS, sql="SELECT rec_id, kind <> 0 anomaly, kind = 1 fraud FROM (SELECT rec_id, kind, row_number() OVER (PARTITION BY kind <> 0 ORDER BY md5('7#' || rec_id), rec_id) rn FROM kinds) WHERE rn <= (SELECT min(n) FROM (SELECT count(*) n FROM kinds GROUP BY kind <> 0))")
 def _(spark, d):
     df = kinds(spark, d).withColumn("anomaly", F.col("kind") != 0)
     least = min((r.n for r in df.groupBy("anomaly").agg(F.count("*").alias("n")).collect()), default=0)  # two numbers
-    return P.first_of_each(df, "anomaly", {True: least, False: least}, CFG.seed).select("rec_id", "anomaly", (F.col("kind") == 1).alias("fraud"))
+    return R.mixture(df, "anomaly", {True: least, False: least}, CFG.seed).select("rec_id", "anomaly", (F.col("kind") == 1).alias("fraud"))
 
 
 @query("g06_ratio_trim", KINDS, sql="SELECT rec_id, kind FROM ordered WHERE kind > 0 AND rn <= CASE kind WHEN 1 THEN least(n, 2 * (SELECT count(*) FROM kinds WHERE kind = 2)) ELSE least(n, (SELECT count(*) FROM kinds WHERE kind = 1) // 2) END")
@@ -143,7 +143,7 @@ def _(spark, d):
     # two fraudulent rows for each other anomalous one; whichever kind is in excess is cut
     df = kinds(spark, d).filter("kind > 0")
     n = {1: 0, 2: 0} | {r.kind: r.n for r in df.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    return P.first_of_each(df, "kind", {1: min(n[1], 2 * n[2]), 2: min(n[2], n[1] // 2)}, CFG.seed).select("rec_id", "kind")
+    return R.mixture(df, "kind", {1: min(n[1], 2 * n[2]), 2: min(n[2], n[1] // 2)}, CFG.seed).select("rec_id", "kind")
 
 
 BAG = "'7#' || rec_id || '#' || neg || '#' || attempt || '#'"
