@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cargolens.llm import decontaminate, fm_dedup, jaccard_join, license_scan, media, mixing, quality_crf, suffix_dedup, token_counts, warc
+from cargolens.llm import decontaminate, fm_dedup, hard_negatives, jaccard_join, license_scan, media, mixing, piece_codec, quality_crf, suffix_dedup, token_counts, warc, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_token_counts": token_counts.digest_query,
         "op9_decontaminate": decontaminate.digest_query,
         "op10_arc_to_warc": warc.digest_query,
+        "op11_whitening": whitening.digest_query,
+        "op12_piece_codec": piece_codec.digest_query,
+        "op13_hard_negatives": hard_negatives.digest_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.ORACLE_SQL, "op10_arc_to_warc": warc.ORACLE_SQL}
+    return {"op9_decontaminate": decontaminate.ORACLE_SQL, "op10_arc_to_warc": warc.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
