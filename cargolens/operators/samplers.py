@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cargolens.operators.complement import free_ids
 from cargolens.operators.relational import ranked
 from cargolens.sources.records import DOMAINS
 
@@ -20,49 +21,74 @@ def stage_two_sizes(total: int, anomalies: float, fraud: float) -> dict[int, int
     return {0: int((1 - anomalies) * total), 1: int(m * fraud), 2: int(m * (1 - fraud))}
 
 
-def bagged_negatives(df: DataFrame, codes: DataFrame, k: int, attempts: int, seed: int, domains: list[str] = DOMAINS) -> DataFrame:
-    """k copies of each record with 1 to half of its columns replaced by hashed entities; none equals a record.
+def others_of(column: Column | str, domains: list[str]) -> Column:
+    """A key of the column and what the record has in all other domains."""
+    column = F.lit(column) if isinstance(column, str) else column
+    return F.md5(F.concat_ws("_", column, *(F.when(column == d, F.lit("")).otherwise(F.col(d)) for d in domains)))
 
-    The number of columns and which they are come from hashes of record, copy
-    and attempt; a copy that equals a record is drawn again, up to `attempts`
-    times, and its first attempt that doesn't is kept.
-    """
-    sizes = {r.domain: r.n for r in codes.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
-    drawn = df.select("rec_id", *domains).withColumn("neg", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    drawn = drawn.withColumn("_m", number("rec_id", F.col("neg").cast("string"), F.col("attempt").cast("string"), F.lit("m"), seed=seed) % (len(domains) // 2) + 1)
-    keys = {d: F.md5(F.concat_ws("#", F.lit(str(seed)), "rec_id", F.col("neg").cast("string"), F.col("attempt").cast("string"), F.lit(d))) for d in domains}
-    drawn = drawn.withColumn("_chosen", F.slice(F.transform(F.array_sort(F.array(*(F.struct(keys[d].alias("h"), F.lit(d).alias("d")) for d in domains))), lambda x: x["d"]), 1, F.col("_m").cast("int")))
-    for d in domains:
-        pick = F.when(F.array_contains("_chosen", d), F.conv(F.substring(keys[d], 9, 8), 16, 10).cast("long") % sizes[d])
-        own = codes.filter(F.col("domain") == d).select(F.col("entity_id").alias("_pick"), F.col("value").alias("_value"))
-        drawn = drawn.withColumn("_pick", pick).join(own, "_pick", "left").withColumn(d, F.coalesce("_value", d)).drop("_pick", "_value")
-    return kept_attempts(drawn, df, domains)
+
+def seen_beside(df: DataFrame, codes: DataFrame, domains: list[str], id_: str = "rec_id") -> DataFrame:
+    """(key, id): for each column of each record the entity that stands there beside the others."""
+    tall = df.select(F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), F.col(d).alias("value"), others_of(d, domains).alias("key")) for d in domains))).alias("x")).select("x.*")
+    return tall.join(codes, ["domain", "value"]).select("key", F.col("entity_id").cast("long").alias("id")).distinct()
+
+
+def sizes_of(codes: DataFrame) -> dict[str, int]:
+    return {r.domain: r.n for r in codes.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
+
+
+def size_column(sizes: dict[str, int], domain: Column) -> Column:
+    return F.create_map(*(x for d, n in sizes.items() for x in (F.lit(d), F.lit(n).cast("long"))))[domain]
 
 
-def kept_attempts(drawn: DataFrame, df: DataFrame, domains: list[str]) -> DataFrame:
-    """Of each copy the first attempt that equals no record."""
-    drawn = drawn.withColumn("_hash", F.md5(F.concat_ws("_", *domains)))
-    new = drawn.join(df.select(F.md5(F.concat_ws("_", *domains)).alias("_hash")).distinct(), "_hash", "left_anti")
-    return new.groupBy("rec_id", "neg").agg(F.min(F.struct("attempt", *domains)).alias("x")).select("rec_id", "neg", *(F.col(f"x.{d}").alias(d) for d in domains))
+def put_in(rows: DataFrame, codes: DataFrame, column: str, entity: str, domains: list[str]) -> DataFrame:
+    """rows with the value of that entity in the domain that `column` names."""
+    own = codes.select(F.col("domain").alias(column), F.col("entity_id").cast("long").alias(entity), F.col("value").alias("_value"))
+    rows = rows.join(own, [column, entity])
+    return rows.withColumns({d: F.when(F.col(column) == d, F.col("_value")).otherwise(F.col(d)) for d in domains}).drop("_value")
+
+
+def bagged_negatives(df: DataFrame, codes: DataFrame, k: int, seed: int, domains: list[str] = DOMAINS) -> DataFrame:
+    """k copies of each record with 1 to half of its columns replaced; none equals a record, and none is left out that has a free value.
+
+    The number of columns and which they are come from hashes of record and
+    copy. All of them but the last are drawn evenly from their domains; the
+    last is drawn evenly from the entities never seen beside the other seven.
+    """
+    sizes = sizes_of(codes)
+    copies = df.select("rec_id", *domains).withColumn("neg", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    m = (number("rec_id", F.col("neg").cast("string"), F.lit("m"), seed=seed) % (len(domains) // 2) + 1).cast("int")
+    key = lambda d: F.md5(F.concat_ws("#", F.lit(str(seed)), "rec_id", F.col("neg").cast("string"), d))
+    order = F.array_sort(F.array(*(F.struct(key(F.lit(d)).alias("h"), F.lit(d).alias("d")) for d in domains)))
+    copies = copies.withColumn("_chosen", F.slice(order, 1, m))
+    even = copies.select("rec_id", "neg", F.posexplode("_chosen").alias("_pos", "_x"), F.size("_chosen").alias("_m")).filter("_pos < _m - 1")
+    even = even.withColumn("domain", F.col("_x.d")).withColumn("entity_id", F.conv(F.substring("_x.h", 9, 8), 16, 10).cast("long") % size_column(sizes, F.col("domain"))).join(codes, ["domain", "entity_id"])
+    drawn = copies.select("rec_id", "neg", *domains, F.element_at("_chosen", -1).alias("_last")).join(even.groupBy("rec_id", "neg").agg(F.map_from_entries(F.collect_list(F.struct("domain", "value"))).alias("_new")), ["rec_id", "neg"], "left")  # at most half of the domains
+    drawn = drawn.withColumns({d: F.coalesce(F.col("_new")[d], F.col(d)) for d in domains}).withColumn("column", F.col("_last.d"))
+    drawn = drawn.withColumn("key", others_of(F.col("column"), domains))
+    found = free_ids(drawn, seen_beside(df, codes, domains), ["key"], size_column(sizes, F.col("column")), F.conv(F.substring("_last.h", 9, 8), 16, 10).cast("long"), "id")
+    return put_in(found, codes, "column", "id", domains).select("rec_id", "neg", *domains)
 
 
 def one_column_negatives(df: DataFrame, codes: DataFrame, k: int, seed: int, domains: list[str] = DOMAINS) -> DataFrame:
-    """k copies of each record for each column, that column replaced; with term_4, the log share of the new value, and term_2, the mean log share of the record's own values."""
-    sizes = {r.domain: r.n for r in codes.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
+    """k copies of each record for each column, that column replaced by an entity never seen beside the others; none is left out that has a free one.
+
+    With term_4, the log share of the new value, and term_2, the mean log share of the record's own values.
+    """
+    sizes = sizes_of(codes)
+    tall = df.select("rec_id", *domains, F.explode(F.array(*map(F.lit, domains))).alias("column"))
     counts = df.select(F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), F.col(d).alias("value")) for d in domains))).alias("x")).select("x.*").groupBy("domain", "value").agg(F.count("*").alias("n"))
     total = counts.filter(F.col("domain") == domains[0]).agg(F.sum("n").alias("t"))
-    shares = counts.join(F.broadcast(total)).select("domain", "value", F.log(F.col("n") / F.col("t")).alias("lp")).join(codes, ["domain", "value"])
-    rows = df.select("rec_id", *domains)
-    for d in domains:
-        rows = rows.join(shares.filter(F.col("domain") == d).select(F.col("value").alias(d), F.col("lp").alias(f"_{d}")), d)
-    rows = rows.withColumn("term_2", sum((F.col(f"_{d}") for d in domains[1:]), F.col(f"_{domains[0]}")) / len(domains)).select("rec_id", *domains, "term_2")
-    rows = rows.withColumn("column", F.explode(F.array(*map(F.lit, domains)))).withColumn("neg", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    size = F.create_map(*(x for d in domains for x in (F.lit(d), F.lit(sizes.get(d, 1)))))
-    rows = rows.withColumn("entity_id", number("rec_id", "column", F.col("neg").cast("string"), seed=seed) % size[F.col("column")])
-    rows = rows.join(shares.select(F.col("domain").alias("column"), "entity_id", F.col("value").alias("_value"), F.col("lp").alias("term_4")), ["column", "entity_id"])
-    rows = rows.select("rec_id", "column", "neg", "term_2", "term_4", *(F.when(F.col("column") == d, F.col("_value")).otherwise(F.col(d)).alias(d) for d in domains))
-    seen = df.select(F.md5(F.concat_ws("_", *domains)).alias("_hash")).distinct()
-    return rows.withColumn("_hash", F.md5(F.concat_ws("_", *domains))).join(seen, "_hash", "left_anti").drop("_hash")
+    shares = counts.join(F.broadcast(total)).select("domain", "value", F.log(F.col("n") / F.col("t")).alias("lp"))
+    own = df.select("rec_id", F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), F.col(d).alias("value")) for d in domains))).alias("x")).select("rec_id", "x.*")
+    term_2 = own.join(shares, ["domain", "value"]).groupBy("rec_id").agg((F.sum("lp") / len(domains)).alias("term_2"))
+    drawn = tall.withColumn("key", others_of(F.col("column"), domains)).withColumn("neg", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    u = number("rec_id", "column", F.col("neg").cast("string"), seed=seed)
+    found = free_ids(drawn, seen_beside(df, codes, domains), ["key"], size_column(sizes, F.col("column")), u, "id")
+    priced = codes.join(shares, ["domain", "value"]).select("domain", "entity_id", F.col("value"), "lp")
+    found = found.join(priced.select(F.col("domain").alias("column"), F.col("entity_id").cast("long").alias("id"), F.col("value").alias("_value"), F.col("lp").alias("term_4")), ["column", "id"])
+    found = found.withColumns({d: F.when(F.col("column") == d, F.col("_value")).otherwise(F.col(d)) for d in domains})
+    return found.join(term_2, "rec_id").select("rec_id", "column", "neg", "term_2", "term_4", *domains)
 
 
 def drawn_from(df: DataFrame, weights: DataFrame, seed: int) -> DataFrame:

@@ -9,6 +9,7 @@ from cargolens.operators import graph as G
 from cargolens.operators import planner
 from cargolens.operators import relational as R
 from cargolens.operators import samplers as P
+from cargolens.operators.complement import free_ids_sql
 from cargolens.plans.catalog import ALL, CFG, COMMUTING, DICT, LONG, SCORED, edges_sql, hop_sql, query, scored, test, train
 from cargolens.plans.extended import similarity
 from cargolens.sources import stores
@@ -146,32 +147,49 @@ def _(spark, d):
     return R.mixture(df, "kind", {1: min(n[1], 2 * n[2]), 2: min(n[2], n[1] // 2)}, CFG.seed).select("rec_id", "kind")
 
 
-BAG = "'7#' || rec_id || '#' || neg || '#' || attempt || '#'"
+def others_sql(column: str, values: str = "{}") -> str:
+    return f"md5(concat_ws('_', {column}, " + ", ".join(f"CASE WHEN {column} = '{x}' THEN '' ELSE {values.format(x)} END" for x in DOMAINS) + "))"
+
+
+BESIDE = "beside AS (" + " UNION ".join("SELECT " + others_sql(f"'{x}'") + f" key, entity_id id FROM train JOIN dict ON \"domain\" = '{x}' AND \"value\" = {x}" for x in DOMAINS) + ")"
+SIZES = "sizes AS (SELECT \"domain\" dom, count(*) n FROM dict GROUP BY 1)"
+BAG = "'7#' || rec_id || '#' || neg || '#'"
 BAGGED = [
-    "drawn AS (SELECT *, ('0x' || substr(md5(" + BAG + " || 'm'), 1, 8))::BIGINT % 4 + 1 m FROM train CROSS JOIN generate_series(0, 9) a(neg) CROSS JOIN generate_series(0, 1) b(attempt))",
-    "chosen AS (SELECT *, list_sort([" + ", ".join(f"md5({BAG} || '{x}')" for x in DOMAINS) + "])[m] bound FROM drawn)",
-    "sizes AS (SELECT \"domain\" dom, count(*) n FROM dict GROUP BY 1)",
-    "picked AS (SELECT rec_id, neg, attempt, " + ", ".join(f"{x}, CASE WHEN md5({BAG} || '{x}') <= bound THEN ('0x' || substr(md5({BAG} || '{x}'), 9, 8))::BIGINT % (SELECT n FROM sizes WHERE dom = '{x}') END p_{x}" for x in DOMAINS) + " FROM chosen)",
-    "made AS (SELECT rec_id, neg, attempt, " + ", ".join(f"coalesce(d_{x}.\"value\", p.{x}) {x}" for x in DOMAINS) + " FROM picked p " + " ".join(f"LEFT JOIN dict d_{x} ON d_{x}.\"domain\" = '{x}' AND d_{x}.entity_id = p.p_{x}" for x in DOMAINS) + ")",
-    "fresh AS (SELECT m.*, row_number() OVER (PARTITION BY rec_id, neg ORDER BY attempt) rn FROM made m WHERE md5(concat_ws('_', " + ALL + ")) NOT IN (SELECT md5(concat_ws('_', " + ALL + ")) FROM train))",
+    BESIDE,
+    SIZES,
+    "drawn AS (SELECT *, ('0x' || substr(md5(" + BAG + " || 'm'), 1, 8))::BIGINT % 4 + 1 m FROM train CROSS JOIN generate_series(0, 9) a(neg))",
+    "chosen AS (SELECT *, list_sort([" + ", ".join(f"md5({BAG} || '{x}') || '{x}'" for x in DOMAINS) + "])[1:m] picks FROM drawn)",
+    "each_ AS (SELECT rec_id, neg, substr(p, 33) dom, ('0x' || substr(p, 9, 8))::BIGINT u, p = picks[-1] last FROM (SELECT rec_id, neg, picks, unnest(picks) p FROM chosen))",
+    "even AS (SELECT rec_id, neg, " + ", ".join(f"max(CASE WHEN e.dom = '{x}' THEN \"value\" END) n_{x}" for x in DOMAINS) + " FROM each_ e JOIN sizes z ON z.dom = e.dom JOIN dict c ON c.\"domain\" = e.dom AND c.entity_id = u % n WHERE NOT last GROUP BY 1, 2)",
+    "mixed AS (SELECT c.rec_id, c.neg, substr(picks[-1], 33) col, ('0x' || substr(picks[-1], 9, 8))::BIGINT u, " + ", ".join(f"coalesce(n_{x}, c.{x}) {x}" for x in DOMAINS) + " FROM chosen c LEFT JOIN even e ON e.rec_id = c.rec_id AND e.neg = c.neg)",
+    "keyed AS (SELECT mixed.*, z.n size, " + others_sql("col") + " key FROM mixed JOIN sizes z ON z.dom = col)",
+    *free_ids_sql("keyed", "beside", "size", "u"),
+    "fresh AS (SELECT rec_id, neg, " + ", ".join(f"CASE WHEN col = '{x}' THEN c.\"value\" ELSE free.{x} END {x}" for x in DOMAINS) + " FROM free JOIN dict c ON c.\"domain\" = col AND c.entity_id = id)",
 ]
 
 
-@query("g07_bagged_negatives", LONG, DICT, *BAGGED, sql=f"SELECT rec_id, neg, {ALL} FROM fresh WHERE rn = 1")
-def _(spark, d):
+def coded_train(spark, d):
     df = train(spark, d)
-    return P.bagged_negatives(df, stores.once(spark, "dictionary", "dictionary" + stores.stamp(spark, d), lambda: R.dictionary(df)), 10, 2, CFG.seed)
+    return df, stores.once(spark, "dictionary", "dictionary" + stores.stamp(spark, d), lambda: R.dictionary(df))
+
+
+@query("g07_bagged_negatives", LONG, DICT, *BAGGED, sql=f"SELECT rec_id, neg, {ALL} FROM fresh")
+def _(spark, d):
+    return P.bagged_negatives(*coded_train(spark, d), 10, CFG.seed)
 
 
 SHARES = "shares AS (SELECT c.\"domain\" dom, c.\"value\" v, entity_id, ln(n::DOUBLE / (SELECT count(*) FROM train)) lp FROM dict c JOIN (SELECT \"domain\", \"value\", count(*) n FROM long GROUP BY 1, 2) USING (\"domain\", \"value\"))"
 TERM_2 = "term2 AS (SELECT rec_id, sum(lp) / 8 term_2 FROM long JOIN shares ON dom = \"domain\" AND v = \"value\" GROUP BY 1)"
-ONE_COLUMN = "made AS (" + " UNION ALL ".join("SELECT t.rec_id, '" + x + "' \"column\", neg, lp term_4, " + ", ".join("s.v " + y if y == x else "t." + y for y in DOMAINS) + " FROM train t CROSS JOIN generate_series(0, 2) g(neg) JOIN shares s ON s.dom = '" + x + "' AND s.entity_id = " + H8.format(f"'7#' || t.rec_id || '#{x}#' || neg") + " % (SELECT count(*) FROM shares WHERE dom = '" + x + "')" for x in DOMAINS) + ")"
+ONE_COLUMN = [
+    "keyed AS (SELECT train.*, dom col, n size, neg, " + others_sql("dom") + " key, " + H8.format("'7#' || rec_id || '#' || dom || '#' || neg") + " u FROM train CROSS JOIN sizes CROSS JOIN generate_series(0, 2) g(neg))",
+    *free_ids_sql("keyed", "beside", "size", "u"),
+    "made AS (SELECT rec_id, col, neg, lp term_4, " + ", ".join(f"CASE WHEN col = '{x}' THEN s.v ELSE free.{x} END {x}" for x in DOMAINS) + " FROM free JOIN shares s ON s.dom = col AND s.entity_id = id)",
+]
 
 
-@query("g08_one_column_negatives", LONG, DICT, SHARES, TERM_2, ONE_COLUMN, sql=f"SELECT rec_id, \"column\", neg, round(term_2, 6) term_2, round(term_4, 6) term_4, {ALL} FROM made JOIN term2 USING (rec_id) WHERE md5(concat_ws('_', {ALL})) NOT IN (SELECT md5(concat_ws('_', {ALL})) FROM train)")
+@query("g08_one_column_negatives", LONG, DICT, BESIDE, SIZES, SHARES, TERM_2, *ONE_COLUMN, sql=f"SELECT rec_id, col \"column\", neg, round(term_2, 6) term_2, round(term_4, 6) term_4, {ALL} FROM made JOIN term2 USING (rec_id)")
 def _(spark, d):
-    df = train(spark, d)
-    out = P.one_column_negatives(df, stores.once(spark, "dictionary", "dictionary" + stores.stamp(spark, d), lambda: R.dictionary(df)), 3, CFG.seed)
+    out = P.one_column_negatives(*coded_train(spark, d), 3, CFG.seed)
     return out.select("rec_id", "column", "neg", F.round("term_2", 6).alias("term_2"), F.round("term_4", 6).alias("term_4"), *DOMAINS)
 
 
@@ -247,10 +265,9 @@ def _(spark, d):
     return planner.converged(loss, "day", "v", 50.0, 3, 5)
 
 
-@query("i24_first_negatives", LONG, DICT, *BAGGED, sql=f"SELECT rec_id, string_agg(hscode || ':' || origin, ',' ORDER BY neg) firsts FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY neg) k FROM fresh WHERE rn = 1) WHERE k <= 3 GROUP BY 1")
+@query("i24_first_negatives", LONG, DICT, *BAGGED, sql=f"SELECT rec_id, string_agg(hscode || ':' || origin, ',' ORDER BY neg) firsts FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY neg) k FROM fresh) WHERE k <= 3 GROUP BY 1")
 def _(spark, d):
-    df = train(spark, d)
-    out = P.bagged_negatives(df, stores.once(spark, "dictionary", "dictionary" + stores.stamp(spark, d), lambda: R.dictionary(df)), 10, 2, CFG.seed)
+    out = P.bagged_negatives(*coded_train(spark, d), 10, CFG.seed)
     rows = out.withColumn("k", F.row_number().over(Window.partitionBy("rec_id").orderBy("neg"))).filter("k <= 3")
     each = F.array_sort(F.collect_list(F.struct("neg", F.concat_ws(":", "hscode", "origin").alias("v"))))
     return rows.groupBy("rec_id").agg(F.array_join(F.transform(each, lambda x: x["v"]), ",").alias("firsts"))
