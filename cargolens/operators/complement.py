@@ -9,20 +9,27 @@ from cargolens.operators.relational import ranked
 from cargolens.plans.durable import cut
 
 
-def counted(points: DataFrame, marks: DataFrame, order: list[str], name: str) -> DataFrame:
-    """points with the number of marks that don't come after them in that order, over all keys.
+def running(df: DataFrame, order: list[str], sums: dict[str, Column], then: list[Column] | None = None) -> DataFrame:
+    """df with running sums, each row's own value included, over all rows in that order (rows alike in it by `then`).
 
-    Points and marks are sorted together by ranges and counts of the ranges
-    before are added, so a key with very many of either is spread over tasks.
+    Rows are sorted by ranges and the sums of the ranges before are added, so a
+    key with very many rows is spread over tasks.
     """
-    parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = points.withColumn("_mark", F.lit(0)).unionByName(marks.select(*order).withColumn("_mark", F.lit(1)), allowMissingColumns=True)
-    placed = both.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.desc("_mark")).withColumn("_p", F.spark_partition_id())
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.withColumns({f"_v_{n}": c for n, c in sums.items()}).repartitionByRange(parts, *order).sortWithinPartitions(*order, *(then or [])).withColumn("_p", F.spark_partition_id())
     placed = cut(placed.withColumn("_i", F.monotonically_increasing_id()))  # range bounds are drawn once
-    sums = placed.groupBy("_p").agg(F.sum("_mark").alias("_n"))  # a row a range
-    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    here = F.sum("_mark").over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn("_here", here).filter("_mark = 0").join(F.broadcast(before), "_p").withColumn(name, F.col("_here") + F.col("_before")).drop("_p", "_i", "_mark", "_here", "_before")
+    each = placed.groupBy("_p").agg(*(F.sum(f"_v_{n}").alias(n) for n in sums))  # a row a range
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select("_p", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    here = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.withColumns({n: F.sum(f"_v_{n}").over(here) for n in sums}).join(F.broadcast(before), "_p")
+    return out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_p", "_i", *(f"_{x}_{n}" for n in sums for x in "vb"))
+
+
+def counted(points: DataFrame, marks: DataFrame, order: list[str], name: str) -> DataFrame:
+    """points with the number of marks that don't come after them in that order, over all keys."""
+    both = points.withColumn("_mark", F.lit(0)).unionByName(marks.select(*order).withColumn("_mark", F.lit(1)), allowMissingColumns=True)
+    return running(both, order, {name: F.col("_mark")}, [F.desc("_mark")]).filter("_mark = 0").drop("_mark")
 
 
 def free_ids(draws: DataFrame, seen: DataFrame, key: list[str], size: Column, u: Column, name: str) -> DataFrame:
@@ -37,7 +44,7 @@ def free_ids(draws: DataFrame, seen: DataFrame, key: list[str], size: Column, u:
     first = own.groupBy(*key).agg(F.min("_rn").alias("_first"), F.count("*").alias("_n"))
     gaps = own.join(first, key).select(*key, (F.col("id") - (F.col("_rn") - F.col("_first"))).alias("_k"))
     points = draws.withColumn("_size", size).withColumn("_u", u).join(first, key, "left").withColumn("_left", F.col("_size") - F.coalesce("_n", F.lit(0))).filter("_left > 0")
-    points = points.withColumn("_k", F.pmod(F.col("_u"), F.col("_left"))).drop("_size", "_u", "_left", "_n")
+    points = points.withColumn("_k", F.pmod(F.col("_u"), F.greatest("_left", F.lit(1)))).drop("_size", "_u", "_left", "_n")
     found = counted(points, gaps, [*key, "_k"], "_marks")
     return found.withColumn(name, F.col("_k") + F.coalesce(F.col("_marks") - (F.col("_first") - 1), F.lit(0))).drop("_k", "_marks", "_first")
 
