@@ -3,9 +3,9 @@
 A block is a line, or a run of adjacent lines. Lines that speak of a licence,
 and blocks that hold a piece of a template which no confirmed block can lack,
 are compressed alone and once with each template as a raw zstandard
-dictionary. Templates are ranked by how much they save, and the best are
-confirmed by the exact wording differences between the template and the part
-of the block that is most like it.
+dictionary. Templates are ranked by how much they save, and compared in that
+order by the exact wording differences between the template and the part of
+the block that is most like it, until a bound excludes all that are left.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ TEMPLATES = {
 #: Whole licences and longer notices, by the names of their files.
 TEMPLATES |= {f"{p.stem}#text": p.read_text() for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
 CUES = re.compile(rb"(?i)licen[cs]e|copyright|public domain|spdx|warrant|all rights")
-FINALISTS, MOST_DIFFERENT = 3, 0.25
+MOST_DIFFERENT = 0.25
 WORD = re.compile(r"\w[\w.\-]*\w|\w")
 
 
@@ -95,21 +95,32 @@ class Scanner:
     def code(self, words: list[str]) -> np.ndarray:
         return np.fromiter((self.ids.get(w, -1) for w in words), np.int64, len(words))
 
-    def least(self, k: str, words: list[str]) -> int:
+    def least(self, k: str, bag: Counter) -> int:
         """A bound: the template's words that are lacking whatever the order."""
-        bag = Counter(words)
         return sum(max(0, n - bag[w]) for w, n in self.bags[k].items())
 
-    def __call__(self, block: bytes) -> dict:
-        """The best template: what it saves, and the words that the block lacks and adds, but for those before and after it."""
+    def __call__(self, block: bytes, whole: bool = False) -> dict:
+        """The best template: what it saves, and the words that the block lacks and adds, but for those before and after it.
+
+        Templates are compared in the order of what they save, each exactly
+        unless a bound shows that it can't be better than the best so far. The
+        best has the fewest differences; of a whole run of lines, the most words
+        explained less differences, which a short notice inside it hasn't.
+        """
         plain = len(self.alone.compress(block))
         saves = sorted(((plain - len(c.compress(block)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        words = self.code(WORD.findall(block.decode("utf-8", "replace").lower()))
-        best = None
-        for saved, k in saves[:FINALISTS]:
-            found = self.found(k, plain, saved, int(costs(self.coded[k], words).min()))
-            if best is None or (found["lacking"] + found["added"], -saved, k) < (best["lacking"] + best["added"], -best["saved_bytes"], best["template"]):
-                best = found
+        words = WORD.findall(block.decode("utf-8", "replace").lower())
+        coded, bag, best, value = self.code(words), Counter(words), None, None
+        for saved, k in saves:
+            size = len(self.words[k])
+            bound = size - len(words)
+            worth = lambda lacks: -2 * lacks + size if whole else -lacks  # noqa: E731, B023
+            if best is not None and (worth(bound) <= value or worth(self.least(k, bag)) <= value):
+                continue
+            found = self.found(k, plain, saved, int(costs(self.coded[k], coded).min()))
+            own = (self.gain(found) if found["confirmed"] else -(1 << 40) + self.gain(found)) if whole else -found["lacking"] - found["added"]
+            if best is None or own > value:
+                best, value = found, own
         return best
 
     def found(self, k: str, plain: int, saved: int, cost: int) -> dict:
@@ -139,7 +150,7 @@ class Scanner:
         near = [(lo, min(hi, len(words))) for lo, hi in near]
         while near:
             lo, hi = near.pop()
-            if self.least(k, words[lo:hi]) > self.most[k]:
+            if self.least(k, Counter(words[lo:hi])) > self.most[k]:
                 continue
             coded = self.code(words[lo:hi])
             cost = costs(self.coded[k], coded)
@@ -151,7 +162,7 @@ class Scanner:
             near += [(lo, lo + start), (lo + end, hi)]
 
     def runs(self, lines: list[bytes], words: list[str], of: list[int], hits: list, confirmed: dict[int, dict]) -> Iterator[tuple[int, int, dict]]:
-        """First and last line, and result, of runs of lines that a template confirms; of those that overlap, lines or runs, the one with most gain."""
+        """First and last line, and result by compression and exact differences, of runs of lines that a template confirms; of those that overlap, lines or runs, the one with most gain."""
         at: dict[str, list[int]] = {}
         for i, _, names in hits:
             for k in names:
@@ -166,9 +177,7 @@ class Scanner:
             if any(lo <= i <= hi and self.gain(line) >= self.gain(found) for i, line in confirmed.items()) or any(lo <= b and a <= hi for a, b in kept):
                 continue
             kept.append((lo, hi))
-            block = b"\n".join(lines[lo : hi + 1])
-            plain = len(self.alone.compress(block))
-            yield lo, hi, found | {"plain_bytes": plain, "saved_bytes": plain - len(self.given[found["template"]].compress(block))}
+            yield lo, hi, self(b"\n".join(lines[lo : hi + 1]), whole=True)
 
     def blocks(self, text: bytes, known: dict) -> Iterator[tuple[int, bytes, dict]]:
         """Line number, block and result: each line with a cue, and what else is confirmed."""

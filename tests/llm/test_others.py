@@ -248,6 +248,22 @@ def test_license_blocks_join_lines_and_follow_templates(spark):
     assert licence_rows(spark, ["a\nAnyone may paint this\nfence on any Tuesday of the year", "Anyone may paint this fence on any Tuesday of the year"], own) == {(0, 1, "own", 0, 0, 1), (1, 0, "own", 0, 0, 0)}
 
 
+def test_near_alike_templates_are_all_compared():
+    r = random.Random(12)
+    base = "use of this code in any form is granted to all who keep this note and the name of its author".split()
+    templates = {f"t{i}": " ".join(w if r.random() > 0.25 else r.choice(base) for w in base) for i in range(8)}
+    scanner = license_scan.Scanner(templates)
+    best_of = lambda block: min(int(license_scan.costs(scanner.coded[k], scanner.code(license_scan.WORD.findall(block))).min()) // license_scan.ADD for k in templates)
+    for _ in range(200):
+        block = " ".join(w if r.random() > 0.15 else r.choice(base) for w in templates[r.choice(list(templates))].split())
+        found = scanner(block.encode())
+        assert found["lacking"] + found["added"] == best_of(block)
+    for name, text in license_scan.TEMPLATES.items():  # whole texts, the shorter ones parts of longer ones
+        if name.endswith("#text"):
+            found = license_scan.Scanner(license_scan.TEMPLATES)(text.encode(), whole=True)
+            assert (found["template"], found["lacking"], found["added"], found["confirmed"]) == (name, 0, 0, True)
+
+
 def test_license_costs_equal_brute_force():
     import functools
 
