@@ -433,19 +433,19 @@ def _(spark, d):
     return G.label_feature(df, R.co_occurrence(train(spark, d), ["hscode", "origin"]), ["origin", "hscode"], "y")
 
 
-def walked(spark, d):
+def nine_places(spark, d):
     df = train(spark, d)
     return G.walks(R.co_occurrence(df, ["hscode", "origin"]), df.select(F.col("origin").alias("start")).distinct(), ["origin", "hscode"], 9, 3, CFG.seed)
 
 
 @query("h11_walks")
 def _(spark, d):
-    return walked(spark, d)
+    return nine_places(spark, d)
 
 
 @query("e08_skip_grams")
 def _(spark, d):
-    return G.skip_grams(walked(spark, d), 4)
+    return G.skip_grams(nine_places(spark, d), 4)
 
 
 @query("h15_nearest_vectors", "plain", sql="SELECT q vec_id, v near, \"rank\"::INT \"rank\" FROM (SELECT q, v, row_number() OVER (PARTITION BY q ORDER BY c DESC, v) \"rank\" FROM (SELECT a.vec_id q, b.vec_id v, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE \"rank\" <= 5")
