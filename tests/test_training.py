@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cargolens.operators import complement, samplers, training, walks
 
-MODELS = {"mead": (training.mead, training.mead_score), "ape": (training.ape, training.ape_score)}
+MODELS = {"norm": (training.norm_loss, training.norm_score), "pair": (training.pair_loss, training.pair_score)}
 DOMS = ["a", "b", "c"]
 
 
@@ -22,7 +22,7 @@ def test_gradients_equal_finite_differences(name):
     for which, g in enumerate(got):
         args = [x, whole, second]
         for at in np.ndindex(args[which].shape):
-            if which == 2 and name == "ape" and at != (0, 0):
+            if which == 2 and name == "pair" and at != (0, 0):
                 continue
             up, down = (a.copy() for _ in range(2) for a in [args[which]])
             up[at] += 1e-6
@@ -109,9 +109,9 @@ def test_record_vectors_sum_to_the_score(spark):
     sums = {}
     for r in training.record_vectors(rows, weights, DOMS, 4).collect():
         sums[r.rec_id] = sums.get(r.rec_id, np.zeros(4)) + np.array(r.vec)
-    for r in training.scored(rows, weights, DOMS, 4, training.mead_score).collect():
+    for r in training.scored(rows, weights, DOMS, 4, training.norm_score).collect():
         assert abs(r.score - np.tanh((sums[r.rec_id] ** 2).sum())) < 1e-12
-    assert training.scored(rows.limit(0), weights, DOMS, 4, training.mead_score).collect() == []
+    assert training.scored(rows.limit(0), weights, DOMS, 4, training.norm_score).collect() == []
 
 
 def test_free_ids_are_all_drawn_and_none_is_seen(spark):
