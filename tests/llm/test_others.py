@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -160,6 +161,45 @@ def test_mix_follows_target_weights_over_many_periods(weights):
         assert slot % 97 and slot < end - 1 or all(abs(n[s] - share[s] * (slot + 1)) < 1 for s in n)
 
 
+LONG_WEIGHTS = {"a": 1.0, "b": 1.4142135623730951, "c": 0.1234567891}
+
+
+def test_segments_of_long_periods_follow_weights_slot_by_slot():
+    exact = {s: Fraction(str(w)) for s, w in LONG_WEIGHTS.items()}
+    blocks = {s: 1 + int(30_000 * w / sum(exact.values())) for s, w in exact.items()} | {"b": 12_000}
+    plan, at = mixing.outlines(blocks, LONG_WEIGHTS), {}
+    assert mixing.phases(blocks, LONG_WEIGHTS, most=10_000) is None
+    for p in plan:
+        for start in range(0, p["length"], mixing.SEGMENT):
+            first, slots = mixing.segment(p["rates"], start)
+            for s, xs in slots.items():
+                at |= {p["phase_start"] + x: (s, p["from"][s] + first[s] + k) for k, x in enumerate(xs) if x < p["length"]}
+    assert sorted(at) == list(range(sum(blocks.values()))) and sorted(at.values()) == sorted((s, i) for s, n in blocks.items() for i in range(n))
+    for p in plan:
+        n = dict.fromkeys(p["rates"], 0)
+        for slot in range(p["length"]):
+            n[at[p["phase_start"] + slot][0]] += 1
+            assert all(abs(n[s] - Fraction(*p["rates"][s]) * (slot + 1)) < 1 for s in n)
+    assert len(plan) == 3 and plan[0]["length"] > 3 * mixing.SEGMENT
+
+
+def test_rows_take_the_slots_that_segments_give(spark, monkeypatch):
+    rows = [(k, f"t{k}", None, "abc"[k % 3], 0, 1, 2, "x") for k in range(999)] + [(5000, None, None, None, 0, 1, 2, "x")] * 2
+    docs, weights = spark.createDataFrame(rows, DOCS), LONG_WEIGHTS
+    short = mixing.mixed(docs, weights, block=4).collect()
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 100)
+    long = mixing.mixed(docs, weights, block=4).collect()
+    for out in (short, long):
+        assert len(out) == 1001 and sorted(r.place for r in out) == list(range(1001))
+        at = {}
+        for r in out:
+            assert at.setdefault(r.slot, (r.src, r.block_no)) == (r.src, r.block_no)
+        assert sorted(at) == list(range(len(at)))
+        by_place = [r.slot for r in sorted(out, key=lambda r: r.place)]
+        assert by_place == sorted(by_place)
+    assert {(r.doc_id, r.block_no) for r in short} == {(r.doc_id, r.block_no) for r in long}
+
+
 def test_mix_of_many_sources_keeps_double_weight():
     weights = {"0": 2.0} | {str(k): 1.0 for k in range(1, 2600)}
     plan = mixing.phases({s: 4 if s == "0" else 2 for s in weights}, weights)
