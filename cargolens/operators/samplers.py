@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.operators.complement import free_ids
+from cargolens.operators.complement import free_ids, running
 from cargolens.operators.relational import ranked
 from cargolens.sources.records import DOMAINS
 
@@ -91,15 +91,27 @@ def one_column_negatives(df: DataFrame, codes: DataFrame, k: int, seed: int, dom
     return found.join(term_2, "rec_id").select("rec_id", "column", "neg", "term_2", "term_4", *domains)
 
 
+def weighted_draws(draws: DataFrame, u: str, weights: DataFrame) -> DataFrame:
+    """draws with `value`, drawn in proportion to its weight by the whole number in column u; weights is (value, n), n whole numbers.
+
+    A value is the stretch of n numbers that follows those of the values before
+    it. All numbers are cut into as many equal slots as there are values: a row
+    a slot and value that meet, twice the values at most. A draw is joined by
+    its slot, so a frequent value is spread over its slots. Values of weight 0
+    are never drawn; without any weight no row is left.
+    """
+    weights = weights.filter("n > 0")
+    total, slots = weights.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.count("*")).first()
+    slot = lambda x: F.floor(x.cast("double") * slots / max(total, 1))
+    table = running(weights.select("value", "n"), ["value"], {"_hi": F.col("n")}).withColumn("_lo", F.col("_hi") - F.col("n"))
+    table = table.select("value", "_lo", "_hi", F.explode(F.sequence(slot(F.col("_lo")), slot(F.col("_hi") - 1))).alias("_slot"))
+    at = draws.withColumn("_u", F.pmod(F.col(u), F.lit(max(total, 1)))).withColumn("_slot", slot(F.col("_u")))
+    return at.join(table, (at["_slot"] == table["_slot"]) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select(*draws.columns, "value")
+
+
 def drawn_from(df: DataFrame, weights: DataFrame, seed: int) -> DataFrame:
-    """A value for each row, drawn in proportion to its weight by a hashed uniform number: (value, n) of a domain of bounded size as cumulative bounds."""
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a value
-    bounds = weights.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
-    total = int(weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    table = bounds.agg(F.array_sort(F.collect_list(F.struct("lo", "value"))).alias("_table"))
-    u = number("rec_id", F.lit("alias"), seed=seed) % max(total, 1)
-    at = F.expr("element_at(filter(_table, x -> x.lo <= _u), -1).value")
-    return df.select("rec_id").withColumn("_u", u).crossJoin(F.broadcast(table)).select("rec_id", at.alias("value"))  # one row of bounds
+    """A value for each row, drawn in proportion to its weight by a hashed number: `weighted_draws` of (value, n)."""
+    return weighted_draws(df.select("rec_id", number("rec_id", F.lit("alias"), seed=seed).alias("_draw")), "_draw", weights).select("rec_id", "value")
 
 
 def cycled_pairs(small: DataFrame, large: DataFrame, id_: str = "rec_id") -> DataFrame:
