@@ -8,15 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN_FOLDER = "cargolens.shared.folder"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset and all runs on this machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; a folder of our own, one a session, only where it is unset and all runs on this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if not where:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        spark.conf.set(OWN_FOLDER, where)
     return where
 
 

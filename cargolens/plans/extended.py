@@ -244,6 +244,12 @@ def _(spark, d):
     return L.margins(L.forest(df, TREES), df, TREES).select("rec_id", F.round("margin", 6).alias("margin"))
 
 
+@query("i10_machine_margins")
+def _(spark, d):
+    df = revealed(spark, d)
+    return L.machine_margins(L.machine(df, TREES), df, TREES).select("rec_id", F.round("margin", 6).alias("margin"))
+
+
 @query("i11_neighbour_relabelling")
 def _(spark, d):
     return L.relabelled_by_neighbours(revealed(spark, d), similarity(spark, d), "origin", TREES).select("rec_id", "known", "y")
@@ -261,6 +267,12 @@ def _(spark, d):
     return M.metrics(guess.select((F.col("margin") > 0).cast("int").alias("p"), (F.col("truth") == 1).cast("int").alias("t")), "p", "t")
 
 
+@query("i13_ablation")
+def _(spark, d):
+    # both models, each of the labelled shares and the bands after it
+    return L.ablation(revealed(spark, d), "score", "truth", TREES)
+
+
 @query("i16_self_training")
 def _(spark, d):
     df = revealed(spark, d).drop("truth", "score")
