@@ -9,6 +9,7 @@ lossless), and features are computed from the stored bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cargolens.llm import shared
 from cargolens.llm.passages import keyed
 
 UNIT, WIDTH = 576, 24
+BLOCKS = ("p", "div", "li", "h1", "h2", "h3", "tr", "article", "section", "figure")
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string>"
 MEDIA_FIELDS = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -64,8 +67,27 @@ def samples_of(data: bytes) -> np.ndarray:
     return raw[:, 1:]
 
 
+def candidates(srcset: str) -> list[str]:
+    """The addresses of a srcset: separated by commas, each with an optional descriptor after a space; an address may hold commas."""
+    out, at = [], 0
+    while m := re.compile(r"[\s,]*([^\s,]\S*)").match(srcset, at):
+        out.append(m.group(1).rstrip(","))
+        at = m.end()
+        if not m.group(1).endswith(","):  # a descriptor reaches to the next comma
+            end = srcset.find(",", at)
+            at = len(srcset) if end < 0 else end
+    return out
+
+
 class Sequence(HTMLParser):
-    """Collects text and media references in document order."""
+    """Collects text and media references in document order.
+
+    References are src and srcset of img, video, audio and of source inside
+    picture, video and audio; an address named twice by one picture, video or
+    audio is one reference. A figcaption belongs to all media of the innermost
+    open figure, before or after it, and stands before their alt texts. Outside
+    a figure, or in one without media, it is text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -73,6 +95,8 @@ class Sequence(HTMLParser):
         self.text: list[str] = []
         self.caption: list[str] | None = None
         self.hidden = 0
+        self.figures: list[dict] = []  # of each open figure its media, its caption and where that stood
+        self.group: list[dict] | None = None  # media of the open picture, video or audio
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -80,30 +104,80 @@ class Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def refer(self, a: dict):
+        self.flush()
+        for address in [a.get("src") or "", *candidates(a.get("srcset") or "")]:
+            digest = address.removeprefix("sha256:")
+            if not digest or any(x["digest"] == digest for x in self.group or []):
+                continue
+            item = {"kind": "media", "text": None, "digest": digest, "caption": a.get("alt")}
+            self.items.append(item)
+            if self.group is not None:
+                self.group.append(item)
+            if self.figures:
+                self.figures[-1]["media"].append(item)
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in ("script", "style"):
             self.hidden += 1
-        elif tag in ("img", "video", "audio") and a.get("src"):
-            self.flush()
-            self.items.append({"kind": "media", "text": None, "digest": a["src"].removeprefix("sha256:"), "caption": a.get("alt")})
+        elif tag in ("picture", "video", "audio"):
+            self.group = []
+            self.refer(a)
+        elif tag == "source" and self.group is not None:
+            self.refer(a)
+        elif tag == "img":
+            alone = self.group is None
+            self.group = [] if alone else self.group
+            self.refer(a)
+            for x in self.group:  # the alternatives of a picture share its alt
+                x["caption"] = a.get("alt") if x["caption"] is None else x["caption"]
+            self.group = None if alone else self.group
         elif tag == "figcaption":
             self.flush()
             self.caption = []
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "tr", "article", "section", "figure", "br"):
+        elif tag in BLOCKS or tag == "br":
             self.flush()
+        if tag == "figure":
+            self.figures.append({"media": [], "caption": "", "at": 0})
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
+        elif tag in ("picture", "video", "audio"):
+            self.group = None
         elif tag == "figcaption" and self.caption is not None:
-            words = " ".join("".join(self.caption).split())
-            self.caption = None
-            media = next((x for x in reversed(self.items) if x["kind"] == "media"), None)
-            if media and words:
-                media["caption"] = words
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "tr", "article", "section", "figure"):
+            self.close_caption()
+        elif tag in BLOCKS:
+            if tag == "figure" and self.caption is not None:
+                self.close_caption()
             self.flush()
+        if tag == "figure" and self.figures:
+            self.close_figure()
+
+    def close_caption(self):
+        words = " ".join("".join(self.caption).split())
+        self.caption = None
+        if self.figures and not self.figures[-1]["caption"]:
+            self.figures[-1] |= {"caption": words, "at": len(self.items)}
+        else:
+            self.text.append(words)
+            self.flush()
+
+    def close_figure(self):
+        figure = self.figures.pop()
+        for x in figure["media"]:
+            x["caption"] = figure["caption"] or x["caption"]
+        if figure["caption"] and not figure["media"]:
+            self.items.insert(figure["at"], {"kind": "text", "text": figure["caption"], "digest": None, "caption": None})
+
+    def finish(self):
+        """Closes what the page left open."""
+        if self.caption is not None:
+            self.close_caption()
+        self.flush()
+        while self.figures:
+            self.close_figure()
 
     def handle_data(self, data):
         if not self.hidden:
@@ -114,7 +188,7 @@ def sequence(page: str | None) -> list[dict]:
     parser = Sequence()
     parser.feed(page or "")
     parser.close()
-    parser.flush()
+    parser.finish()
     return [{"pos": k, **x} for k, x in enumerate(parser.items)]
 
 
@@ -135,6 +209,23 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     return refs.join(media, "digest", "left")
 
 
+def resolved(sequences: DataFrame, media: DataFrame) -> DataFrame:
+    """key and items: each sequence whole and in order, text as it was and `media`, the media's columns, in every reference that has a payload.
+
+    Only references are joined; media has a row a digest. A sequence without
+    items stays an empty one, rows of one key stay one sequence each.
+    """
+    rows = shared.table(sequences.select(F.monotonically_increasing_id().alias("_row"), "key", "items"))  # numbers that a lost task can't change
+    items = rows.select("_row", "key", F.explode_outer("items").alias("item"))
+    columns = [c for c in media.columns if c != "digest"]
+    found = media.select(F.col("digest").alias("_digest"), F.struct(*columns).alias("media"))
+    refs = items.filter("item.kind = 'media'").join(found, F.col("item.digest") == F.col("_digest"), "left").drop("_digest")
+    rest = items.filter("item IS NULL OR item.kind <> 'media'").withColumn("media", F.lit(None).cast(found.schema["media"].dataType))
+    whole = F.struct("item.pos", "item.kind", "item.text", "item.digest", "item.caption", "media")
+    each = F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), whole)))
+    return refs.unionByName(rest).groupBy("_row", "key").agg(each.alias("items")).select("key", "items")
+
+
 def described(samples: np.ndarray) -> str:
     """Size, mean, spread and eight shares of sample values."""
     flat = samples.ravel()

@@ -113,6 +113,35 @@ def test_interleaved_sequence_keeps_order_and_captions():
     assert media.sequence(None) == []
 
 
+PAGES = {
+    '<figure><figcaption>One</figcaption><img src="a" alt="x"></figure><figure><img src="b"><figcaption>Two</figcaption></figure>': [("a", "One"), ("b", "Two")],
+    '<figure><img src="a"><img src="b" alt="y"><figcaption>Both</figcaption></figure><img src="c" alt="z">': [("a", "Both"), ("b", "Both"), ("c", "z")],
+    '<img src="a" alt="x"><figure><figcaption>No medium</figcaption></figure><p>after</p>': [("a", "x"), "No medium", "after"],
+    '<img src="a"><figcaption>Stray</figcaption>': [("a", None), "Stray"],
+    '<picture><source srcset="a 1x, b,c 2x"><source srcset="a"><img src="d" alt="Pic"></picture>end': [("a", "Pic"), ("b,c", "Pic"), ("d", "Pic"), "end"],
+    '<video><source src="sha256:v"><source src="w"></video><audio src="s"></audio><source src="none">': [("v", None), ("w", None), ("s", None)],
+    '<figure><img src="a"><figure><img src="b"><figcaption>In</figcaption></figure><figcaption>Out': [("a", "Out"), ("b", "In")],
+    '<figure><figcaption>Cap</figcaption>text<img src="a"></figure>': ["text", ("a", "Cap")],
+    "": [],
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_captions_belong_to_their_figure_and_no_reference_is_lost(page):
+    got = media.sequence(page)
+    assert [(i["digest"], i["caption"]) if i["kind"] == "media" else i["text"] for i in got] == PAGES[page]
+    assert [i["pos"] for i in got] == list(range(len(got)))
+
+
+def test_resolved_sequences_keep_texts_order_and_rows_of_one_key(spark):
+    pages = [(1, '<p>a</p><img src="d1" alt="x"><p>b</p><img src="gone"><img src="d1">'), (2, None), (3, "only text"), (3, "only text"), (4, '<img src="d2">')]
+    sequences = media.interleaved(spark.createDataFrame(pages, "key long, html string"))
+    payloads = spark.createDataFrame([("d1", 10, "f1"), ("d2", 20, "f2"), ("d3", 30, "f3")], "digest string, media_bytes long, feature string")
+    got = [(r.key, [(i.pos, i.text or i.digest, i.caption, i.media and i.media.feature) for i in r["items"]]) for r in media.resolved(sequences, payloads).collect()]
+    assert sorted(got, key=str) == [(1, [(0, "a", None, None), (1, "d1", "x", "f1"), (2, "b", None, None), (3, "gone", None, None), (4, "d1", None, "f1")]), (2, []), (3, [(0, "only text", None, None)]), (3, [(0, "only text", None, None)]), (4, [(0, "d2", None, "f2")])]
+    assert media.resolved(sequences.limit(0), payloads).count() == 0
+
+
 def test_mixing_keeps_rows_and_shares(spark):
     rows = [(k, f"t{k}", None, "abc"[0 if k % 10 < 6 else 1 if k % 10 < 9 else 2], 0, 1, 2, "x") for k in range(1000)] + [(5000, None, None, None, 0, 1, 2, "x")] * 2
     out = mixing.mixed(spark.createDataFrame(rows, DOCS), {"a": 2, "b": 1, "c": 1}, block=4, period=60).collect()
