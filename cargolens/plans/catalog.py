@@ -504,7 +504,7 @@ def _(spark, d):
 
 FLAGSHIP = "h07_path_similarity"
 
-from cargolens.plans import embedded, extended, learned, made, walked, wider  # noqa: E402, F401  they register their queries
+from cargolens.plans import alike, embedded, extended, learned, made, walked, wider  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict:
