@@ -176,3 +176,29 @@ def test_hubs_over_many_slots(spark, monkeypatch):
     want = {(r.lo, r.hi): r.dst for r in stretches.filter("src = 'hub'").collect()}
     for x in walks.stepped(rows, hops, "u").collect():
         assert x.to.dst == next(d for (lo, hi), d in want.items() if lo <= x.u < hi)
+
+
+def test_free_ids_of_keys_with_many_seen_ids(spark, monkeypatch):
+    monkeypatch.setattr(complement, "SPAN", 4)
+    monkeypatch.setattr(complement, "WIDE", 16)
+    seen = {"a": [*range(3, 37), 50, 51, 90], "b": [0], "c": [*range(0, 100, 2)], "d": [*range(100)]}
+    s = spark.createDataFrame([(k, i) for k, v in seen.items() for i in v] * 2, "key string, id long")
+    assert complement.gap_slices(s, ["key"]).agg(F.max(F.size("_gaps"))).first()[0] == 4
+    d = spark.createDataFrame([(k, u) for k in "abcde" for u in range(130)], "key string, u long")
+    got = {(r.key, r.u): r.free for r in complement.free_ids(d, s, ["key"], F.lit(100), F.col("u"), "free").collect()}
+    free = {k: [i for i in range(100) if i not in seen.get(k, [])] for k in "abcde"}
+    assert got == {(k, u): free[k][u % len(free[k])] for k in "abce" for u in range(130)}
+
+
+def test_one_column_negatives_beside_a_null(spark):
+    # the second record has nothing where the first has 0, beside the same other value
+    df = spark.createDataFrame([("r1", "x0", "y0"), ("r2", None, "y0"), ("r3", "x1", "y1")], "rec_id string, a string, b string")
+    codes = spark.createDataFrame([("a", "x0", 0), ("a", "x1", 1), ("b", "y0", 0), ("b", "y1", 1)], "domain string, value string, entity_id int")
+    got = {(r.rec_id, r.column, r.a, r.b) for r in samplers.one_column_negatives(df, codes, 5, 1, ["a", "b"]).collect()}
+    assert {x for x in got if x[1] == "a"} == {("r1", "a", "x1", "y0"), ("r2", "a", "x1", "y0"), ("r3", "a", "x0", "y1")}
+
+
+def test_bagged_copies_are_drawn_as_ids(spark):
+    rows = spark.createDataFrame([(f"r{i}", i % 3, i % 5) for i in range(30)], "rec_id string, c0 int, c1 int")
+    drawn = samplers.bagged_ids(rows, {"a": 3, "b": 5, }, 4, 1, ["a", "b"])
+    assert "value" not in drawn.columns and set(drawn.columns) == {"rec_id", "neg", "c0", "c1"}
