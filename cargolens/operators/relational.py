@@ -91,10 +91,16 @@ def mixture(df: DataFrame, flag: str, sizes: dict[int, int], seed: int, id_: str
     return first_of_each(df.withColumn("_o", hash_order(seed, id_)), flag, sizes, [F.col("_o"), F.col(id_)]).drop("_o")
 
 
-def co_occurrence(df: DataFrame, domains: list[str] = DOMAINS) -> DataFrame:
-    """Counts of value pairs for every pair of domains, in one pass and one shuffle."""
-    pairs = [F.struct(F.lit(a).alias("dom_a"), F.lit(b).alias("dom_b"), F.col(a).alias("e_a"), F.col(b).alias("e_b")) for a, b in combinations(sorted(domains), 2)]
-    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").groupBy("dom_a", "dom_b", "e_a", "e_b").agg(F.count("*").alias("cnt"))
+def co_occurrence(df: DataFrame, domains: list[str] = DOMAINS, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Counts of value pairs for every pair of domains, or for those of `pairs`, in one pass and one shuffle.
+
+    While they are counted and shuffled a pair of domains is a number: its names come afterwards.
+    """
+    pairs = list(combinations(sorted(domains), 2)) if pairs is None else pairs
+    each = [F.struct(F.lit(i).alias("_pair"), F.col(a).alias("e_a"), F.col(b).alias("e_b")) for i, (a, b) in enumerate(pairs)]
+    n = df.select(F.explode(F.array(*each)).alias("p")).select("p.*").groupBy("_pair", "e_a", "e_b").agg(F.count("*").alias("cnt"))
+    name = lambda side: F.element_at(F.array(*(F.lit(p[side]) for p in pairs)), F.col("_pair") + 1)
+    return n.select(name(0).alias("dom_a"), name(1).alias("dom_b"), "e_a", "e_b", "cnt")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
