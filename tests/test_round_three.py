@@ -4,6 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from cargolens.operators import graph as G
+from cargolens.operators import learning as L
 from cargolens.operators import relational as R
 from cargolens.plans import catalog, walked  # noqa: F401  the catalog registers the queries
 from cargolens.plans.durable import shared_folder
@@ -33,3 +35,37 @@ def test_pairs_are_numbers_while_they_are_shuffled(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     exchange = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert exchange and all("_pair" in x and "dom_a" not in x for x in exchange)
+
+
+def told(df, counter):
+    """df, whose rows are counted whenever they are made."""
+
+    def run(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_rounds_do_not_read_their_input_again(spark, tmp_path):
+    rows = [(str(i), f"o{i % 5}", f"h{i % 7}", "c" + str(i % 3), "d" + str(i % 4), (i % 3) - 1) for i in range(2000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "rec_id string, origin string, hscode string, carrier string, destination string, y int").write.parquet(path)
+    df = spark.read.parquet(path)
+    edges = R.co_occurrence(df, ["hscode", "origin"])
+    trees = ["carrier", "destination", "hscode", "origin"]
+    hop = G.hop(edges, "origin", "hscode")
+    made = spark.sparkContext.accumulator(0)
+    G.sim_rank(told(hop, made), None).collect()
+    assert 35 <= made.value <= 2 * 35  # 5 by 7 edges, made for a checkpoint (Spark may do so twice), not in each round
+    linked = {}
+    L_forest, counted = L.forest, []
+    L.forest = lambda x, *a, **k: counted.append(x.inputFiles()) or L_forest(x, *a, **k)
+    try:
+        linked["links"] = L.relabelled_by_links(df, edges, ["origin", "hscode"], trees, rounds=1)
+        linked["near"] = L.relabelled_by_neighbours(df, G.path_similarity(edges, ["origin", "hscode"]), "origin", trees, rounds=2)
+    finally:
+        L.forest = L_forest
+    assert counted == [[], []]  # forests are fitted to checkpoints, not to the files
+    assert all(x.count() == len(rows) for x in linked.values())
