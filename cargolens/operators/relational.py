@@ -41,11 +41,33 @@ def serial_ids(codes: DataFrame) -> DataFrame:
     return codes.join(F.broadcast(first), "domain").withColumn("serial_id", F.col("first") + F.col("entity_id")).drop("first")
 
 
+SMALL = 1 << 18  # ids of a domain whose codes are sent to all tasks; larger domains are shuffled
+
+
+def joined_codes(df: DataFrame, codes: DataFrame, columns: dict[str, dict[str, str]], how: str = "inner") -> DataFrame:
+    """df joined by the value of each domain to its codes, whose columns come under the names that `columns` gives for it.
+
+    Domains of up to SMALL ids are broadcast and come first, and a value goes
+    once its codes are there; so only large domains shuffle rows, narrow ones.
+    """
+    n = {r["domain"]: r["n"] for r in codes.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
+    for d, names in sorted(columns.items(), key=lambda x: n.get(x[0], 0)):
+        own = codes.filter(F.col("domain") == d).select(F.col("value").alias(d), *(F.col(c).alias(name) for c, name in names.items()))
+        df = df.join(F.broadcast(own) if n.get(d, 0) <= SMALL else own, d, how).drop(d)
+    return df
+
+
 def encode(df: DataFrame, codes: DataFrame, domains: list[str] = DOMAINS, id_: str = "rec_id") -> DataFrame:
     """Domains as codes; rows with an unknown value go, as do repeated rows."""
-    for d in domains:
-        df = df.join(codes.filter(F.col("domain") == d).select(F.col("value").alias(d), F.col("entity_id").alias(f"_{d}")), d)
-    return df.select(id_, *(F.col(f"_{d}").cast("int").alias(d) for d in domains)).distinct()
+    out = joined_codes(df.select(id_, *domains), codes, {d: {"entity_id": f"_{d}"} for d in domains})
+    return out.select(id_, *(F.col(f"_{d}").cast("int").alias(d) for d in domains)).distinct()
+
+
+def serials(df: DataFrame, codes: DataFrame, domains: list[str] = DOMAINS, id_: str = "rec_id") -> DataFrame:
+    """(id, domain, serial_id) of `serial_ids`: a row for each domain of each record, made when all ids are there."""
+    out = joined_codes(df.select(id_, *domains), codes, {d: {"serial_id": f"_{d}"} for d in domains}, "left")
+    each = F.array(*(F.struct(F.lit(d).alias("domain"), F.col(f"_{d}").alias("serial_id")) for d in domains))
+    return out.select(id_, F.explode(each).alias("x")).select(id_, "x.*").filter("serial_id IS NOT NULL")
 
 
 def first_of(df: DataFrame, features: list[str], id_: str = "rec_id") -> DataFrame:

@@ -15,6 +15,7 @@ from cargolens.operators import graph as G
 from cargolens.operators import measures as M
 from cargolens.operators import nearest as N
 from cargolens.operators import relational as R
+from cargolens.plans.durable import cut
 from cargolens.sources.records import DOMAINS, RECORDS_SQL, Config, records, table
 
 CFG = Config()
@@ -151,7 +152,7 @@ def _(spark, d):
 @query("b15_records_as_serials", LONG, DICT, SERIAL, sql='SELECT rec_id, l."domain", s.serial_id::BIGINT serial_id FROM long l JOIN serial s USING ("domain", "value")')
 def _(spark, d):
     df = train(spark, d)
-    return R.long_form(df).join(R.serial_ids(R.dictionary(df)), ["domain", "value"]).select("rec_id", "domain", "serial_id")
+    return R.serials(df, cut(R.serial_ids(R.dictionary(df))))
 
 
 @query("b16_one_hot_long", LONG, sql='SELECT rec_id, "domain" || \'=\' || "value" feature, 1 x FROM long')

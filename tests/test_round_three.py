@@ -69,3 +69,23 @@ def test_rounds_do_not_read_their_input_again(spark, tmp_path):
         L.forest = L_forest
     assert counted == [[], []]  # forests are fitted to checkpoints, not to the files
     assert all(x.count() == len(rows) for x in linked.values())
+
+
+def test_only_large_domains_shuffle_rows(spark, monkeypatch):
+    rows = [(str(i), f"a{i % 7}" if i % 11 else None, f"b{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "rec_id string, a string, b string")
+    codes = R.serial_ids(R.dictionary(df.dropna(), ["a", "b"])).localCheckpoint()
+    known = {(r["domain"], r["value"]): (r["entity_id"], r["serial_id"]) for r in codes.collect()}
+    for small, exchanges in ((1 << 18, 0), (7, 2), (0, 4)):  # of the rows and of the codes of each large domain
+        monkeypatch.setattr(R, "SMALL", small)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            out = R.serials(df, codes, ["a", "b"])
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == exchanges
+            got = {tuple(r) for r in out.collect()}
+            coded = {tuple(r) for r in R.encode(df, codes, ["a", "b"]).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == {(i, d, known[d, v][1]) for i, a, b in rows for d, v in (("a", a), ("b", b)) if (d, v) in known}
+        assert coded == {(i, known["a", a][0], known["b", b][0]) for i, a, b in rows if ("a", a) in known and ("b", b) in known}
