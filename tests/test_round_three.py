@@ -2,15 +2,22 @@
 
 import hashlib
 import os
+import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from cargolens.operators import anomalies as A
 from cargolens.operators import graph as G
 from cargolens.operators import learning as L
+from cargolens.operators import nearest as N
 from cargolens.operators import relational as R
 from cargolens.plans import catalog, walked  # noqa: F401  the catalog registers the queries
 from cargolens.plans.durable import shared_folder
+from cargolens.sources.records import DOMAINS
 
 
 def graphs(spark):
@@ -120,3 +127,39 @@ def test_rows_are_not_multiplied_to_find_unseen_domains(spark):
         for k, (_, d, r) in enumerate(first, 1):
             assert got[c, rec][f"d{k}"] == d
             assert int(got[c, rec][f"v{k}"][1:]) not in met(r, own[r], d)
+
+
+def test_blocks_of_queries_hold_few_products(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(4096, 8))
+    t = pa.table({"id": pa.array(r.permutation(4096).astype(np.int64)), "v": pa.array(list(x))})
+    tracemalloc.start()
+    found = N.top(5, 9, 8)(t, t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # 4096 by 4096 products alone are 134 MB
+    ids, s = t.column("id").to_numpy(), np.round(x @ x.T, 9)
+    for i in (0, 127, 128, 4095):
+        want = sorted((-s[i, j], ids[j]) for j in range(4096) if j != i)[:5]
+        rows = found.filter(pc.equal(found.column("query"), int(ids[i])))
+        assert rows.column("near").to_pylist() == [int(w[1]) for w in want]
+
+
+def test_only_copies_that_may_equal_another_record_are_shuffled(spark):
+    r = random.Random(4)
+    rows = [(str(i), *(f"{d}{r.randrange(2)}" if r.random() < 0.95 else None for d in DOMAINS)) for i in range(400)]
+    df = spark.createDataFrame(rows, "rec_id string, " + ", ".join(f"{d} string" for d in DOMAINS))
+    codes = R.dictionary(df.dropna(), ["hscode"])
+    value = {c["entity_id"]: c["value"] for c in codes.collect()}
+    known, at = {x[1:] for x in rows if None not in x}, 1 + DOMAINS.index("hscode")
+    want = []
+    for x in rows:
+        for k in range(3):
+            new = [*x]
+            new[at] = value[int(hashlib.md5(f"7#{x[0]}#{k}".encode()).hexdigest()[:8], 16) % len(value)]
+            want += [] if tuple(new[1:]) in known else [(x[0], k, *new[1:])]
+    out = R.negatives(df, codes, "hscode", 3, 7)
+    assert sorted(map(tuple, out.select("rec_id", "neg", *DOMAINS).collect()), key=str) == sorted(want, key=str)
+    alone = df.filter("rec_id < '2'").withColumn("shipper", F.col("rec_id"))  # no two have the same other columns
+    plan = R.negatives(alone, codes, "hscode", 3, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and "_shared" in plan
