@@ -3,11 +3,14 @@
 import hashlib
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cargolens.operators import anomalies as A
+from cargolens.operators import embedding as E
 from cargolens.operators import relational as R
+from cargolens.operators import training as T
 from cargolens.sources.records import DOMAINS
 
 
@@ -31,3 +34,30 @@ def test_nothing_unseen_ends_at_once(spark):
     codes = R.dictionary(rows)
     with pytest.raises(RuntimeError):
         A.type_one(rows, codes, dict.fromkeys(DOMAINS, 1), R.co_occurrence(rows).select(*A.PAIR), rows, 50, 7)
+
+
+def test_chunks_give_the_gradients_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    ids = [int(x) for x in rng.integers(0, 3 * E.BLOCK, 30)]
+    rows = sorted({(bool(rng.integers(2)), float(rng.integers(1, 9)), ids[rng.integers(30)], ids[rng.integers(30)]) for _ in range(300)})
+    pairs = spark.createDataFrame(rows, "positive boolean, extra double, c0 long, c1 long")
+    t = T.Training(k=4)
+    weights = T.initial(E.sides(pairs), E.SIDES, t)
+    chunks = E.packed(pairs, 20)
+    assert chunks.count() > 9  # pairs of blocks with more than a chunk are divided
+    for loss in (E.dot_loss, E.cosine_loss, E.count_loss(8.0)):
+        want, got = ({(r.d, r.entity_id): r[2:] for r in f(x, weights, E.SIDES, 4, loss).collect()} for f, x in ((T.gradients, pairs), (E.chunk_gradients, chunks)))
+        assert want.keys() == got.keys()
+        assert all(np.allclose(want[x], got[x], atol=1e-9) for x in want)
+    plan = E.chunk_gradients(chunks, weights, E.SIDES, 4, E.dot_loss)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(c0" not in plan and "Exchange hashpartitioning(c1" not in plan
+
+
+def test_pairs_are_counted_as_ids(spark):
+    df = spark.createDataFrame([("x", "y", None), ("x", "y", "z"), (None, "y", "z")], "carrier string, hscode string, origin string")
+    domains = ["carrier", "hscode", "origin"]
+    codes = R.serial_ids(R.dictionary(df.withColumn("rec_id", F.lit("r")), domains))
+    word = {r.serial_id: (r.domain, r["value"]) for r in codes.collect()}
+    got = sorted(((*word[r.a], *word[r.b], r.n) for r in R.co_occurring_ids(df, codes, domains).collect()), key=str)
+    want = sorted(((r.dom_a, r.e_a, r.dom_b, r.e_b, r.cnt) for r in R.co_occurrence(df, domains).collect()), key=str)
+    assert got == want and any(None in r for r in got)
