@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.operators.relational import both_ways
+from cargolens.operators.relational import SMALL, both_ways
 from cargolens.plans.durable import cut
 
 
@@ -157,15 +157,21 @@ def record_neighbours(df: DataFrame, similar: DataFrame, domain: str, k: int, id
     """(id, other, s, rank): the k records most similar to each, itself left out; ties by id.
 
     Records of one entity have the same neighbours but for themselves, so the
-    first k + 1 records are found once for each entity; a window keeps k + 1
-    rows a partition before it is sorted as a whole. No pair of records is made
-    that is not among them.
+    first k + 1 records are found once for each entity, as one row; a window
+    keeps k + 1 rows a partition before it is sorted as a whole. A record takes
+    its ranks from its entity's list: records are shuffled by id while they are
+    narrow, to find ids that several have, and only what these make is ranked anew.
     """
     own = df.select(F.col(id_).alias("other"), F.col(domain).alias("dst"))
     by_id = Window.partitionBy("dst").orderBy("other")
     few = own.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1).drop("_n")
     by = Window.partitionBy("src").orderBy(F.desc("s"), "other")
-    lists = similar.join(few, "dst").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= k + 1).select("src", "other", "s")
+    lists = similar.join(few, "dst").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= k + 1).select("src", "other", "s", "_n")
+    lists = cut(lists.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "other", "s"))), lambda x: F.struct(x["other"], x["s"])).alias("_list")))  # k + 1 at most
+    told = df.select(id_, F.col(domain).alias("src")).withColumn("_same", F.count("*").over(Window.partitionBy(id_)))
+    told = told.join(F.broadcast(lists) if lists.count() <= SMALL // (k + 1) else lists, "src")
+    others = F.filter("_list", lambda x: x["other"] != F.col(id_))
+    once = told.filter("_same = 1").select(id_, F.posexplode(F.slice(others, 1, k)).alias("_i", "x")).select(id_, "x.*", (F.col("_i") + 1).alias("rank"))
     of = Window.partitionBy(id_).orderBy(F.desc("s"), "other")
-    pairs = df.select(id_, F.col(domain).alias("src")).join(lists, "src").filter(F.col("other") != F.col(id_))
-    return pairs.withColumn("rank", F.row_number().over(of)).filter(F.col("rank") <= k).select(id_, "other", "s", "rank")
+    more = told.filter("_same > 1").select(id_, F.explode(others).alias("x")).select(id_, "x.*")
+    return once.unionByName(more.withColumn("rank", F.row_number().over(of)).filter(F.col("rank") <= k))

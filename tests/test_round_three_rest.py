@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cargolens.operators import anomalies as A
 from cargolens.operators import embedding as E
+from cargolens.operators import graph as G
 from cargolens.operators import relational as R
 from cargolens.operators import training as T
 from cargolens.sources.records import DOMAINS
@@ -61,3 +62,24 @@ def test_pairs_are_counted_as_ids(spark):
     got = sorted(((*word[r.a], *word[r.b], r.n) for r in R.co_occurring_ids(df, codes, domains).collect()), key=str)
     want = sorted(((r.dom_a, r.e_a, r.dom_b, r.e_b, r.cnt) for r in R.co_occurrence(df, domains).collect()), key=str)
     assert got == want and any(None in r for r in got)
+
+
+def test_neighbours_are_not_shuffled_once_they_are_listed(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"r{rng.integers(60)}", f"o{rng.integers(4)}") for _ in range(80)]  # some ids stand in several rows
+    df = spark.createDataFrame(rows, "rec_id string, origin string")
+    sims = {(a, b): float(rng.integers(1, 4)) for a in range(4) for b in range(4)}
+    similar = spark.createDataFrame([(f"o{a}", f"o{b}", s) for (a, b), s in sims.items()], "src string, dst string, s double")
+    want, k = [], 5
+    for x in sorted({r[0] for r in rows}):
+        found = []
+        for o in (o for y, o in rows if y == x):
+            best = sorted((-sims[int(o[1]), int(p[1])], y) for y, p in rows)[: k + 1]
+            found += [(s, y) for s, y in best if y != x]
+        want += [(x, y, -s, i + 1) for i, (s, y) in enumerate(sorted(found)[:k])]
+    out = G.record_neighbours(df, similar, "origin", k)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan  # a record's list is laid out after all joins
+    above = plan[: plan.index("posexplode")]
+    assert "Window" not in above and "Join" not in above
