@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.plans.durable import cut
+from cargolens.plans.durable import cut, written
 from cargolens.sources.records import DOMAINS
 
 
@@ -165,6 +165,34 @@ def pair_counts(df: DataFrame, edges: DataFrame, domains: list[str]) -> DataFram
     return pairs.join(edges, ["dom_a", "dom_b", "e_a", "e_b"], "left").select("rec_id", "dom_a", "dom_b", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+def own_pair_counts(df: DataFrame, domains: list[str], id_: str = "rec_id") -> DataFrame:
+    """(id, dom_a, dom_b, cnt): how many rows of df share each pair of values with the row; nulls are alike.
+
+    A row stays one until all its counts are there. Counts of pairs of small
+    domains, up to SMALL in all combinations, are broadcast; other pairs are
+    counted where the rows meet by the larger domain of the pair, so that there
+    are as many shuffles of rows as large domains.
+    """
+    domains = sorted(domains)
+    df = written(df.select(id_, *domains))
+    sizes = df.agg(*(F.approx_count_distinct(d).alias(d) for d in domains)).first().asDict()  # a row; the plan alone depends on it
+    pairs = list(combinations(domains, 2))
+    small = [p for p in pairs if sizes[p[0]] * sizes[p[1]] <= SMALL]
+    n = cut(co_occurrence(df, domains, small)) if small else None
+    for d in sorted(domains, key=lambda d: -sizes[d]):
+        mine = [p for p in pairs if p not in small and d in p]
+        pairs = [p for p in pairs if p not in mine]
+        if mine:
+            df = df.repartition(d)
+        for x, y in mine:
+            df = df.withColumn(f"_{x}_{y}", F.count("*").over(Window.partitionBy(d, y if d == x else x)))
+    for x, y in small:
+        own = n.filter((F.col("dom_a") == x) & (F.col("dom_b") == y)).select(F.col("e_a").alias("_a"), F.col("e_b").alias("_b"), F.col("cnt").alias(f"_{x}_{y}"))
+        df = df.join(F.broadcast(own), df[x].eqNullSafe(F.col("_a")) & df[y].eqNullSafe(F.col("_b"))).drop("_a", "_b")
+    each = F.array(*(F.struct(F.lit(x).alias("dom_a"), F.lit(y).alias("dom_b"), F.col(f"_{x}_{y}").alias("cnt")) for x, y in combinations(domains, 2)))
+    return df.select(id_, F.explode(each).alias("x")).select(id_, "x.*")
+
+
 def negatives(df: DataFrame, codes: DataFrame, domain: str, k: int, seed: int) -> DataFrame:
     """k copies of each record with one domain replaced by a hashed choice; copies equal to a record are dropped.
 

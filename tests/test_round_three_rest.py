@@ -83,3 +83,17 @@ def test_neighbours_are_not_shuffled_once_they_are_listed(spark):
     assert "posexplode" in plan  # a record's list is laid out after all joins
     above = plan[: plan.index("posexplode")]
     assert "Window" not in above and "Join" not in above
+
+
+def test_counts_of_pairs_are_columns_of_a_row(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    some = lambda n: None if rng.integers(10) == 0 else f"v{rng.integers(n)}"
+    rows = [(f"r{i % 190}", some(40), some(3), some(30)) for i in range(200)]
+    df = spark.createDataFrame(rows, "rec_id string, carrier string, hscode string, origin string")
+    want = sorted((r[0], x, y, sum((q[i], q[j]) == (r[i], r[j]) for q in rows)) for r in rows for (i, x), (j, y) in combinations(enumerate(["carrier", "hscode", "origin"], 1), 2))
+    for small in (0, 150, 1 << 18):
+        monkeypatch.setattr(R, "SMALL", small)
+        out = R.own_pair_counts(df, ["carrier", "hscode", "origin"])
+        assert sorted(map(tuple, out.collect())) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("Generate")].replace("BroadcastExchange", "")
