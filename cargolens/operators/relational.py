@@ -41,6 +41,7 @@ def serial_ids(codes: DataFrame) -> DataFrame:
     return codes.join(F.broadcast(first), "domain").withColumn("serial_id", F.col("first") + F.col("entity_id")).drop("first")
 
 
+BITS = 63  # values in a word of bits
 SMALL = 1 << 18  # ids of a domain whose codes are sent to all tasks; larger domains are shuffled
 
 
@@ -165,6 +166,29 @@ def pair_counts(df: DataFrame, edges: DataFrame, domains: list[str]) -> DataFram
     return pairs.join(edges, ["dom_a", "dom_b", "e_a", "e_b"], "left").select("rec_id", "dom_a", "dom_b", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+def conflicting_triples(df: DataFrame, a: str, middle: str, b: str) -> DataFrame:
+    """(a, middle, b): values whose three pairs all occur in df, but never the three together.
+
+    Values of the middle domain are bits, BITS of them a word: a pair of a and b
+    meets the words of its a and of its b, and what both have without the pair
+    having it is left. So only pairs are shuffled, and triples come last.
+    """
+    df = written(df.select(a, middle, b))
+    own = df.filter(F.col(middle).isNotNull()).select(middle).distinct()
+    ids = cut(ranked(own, [F.col(middle)]).select(F.col(middle), (F.col("rn") - 1).alias("_id")))
+    few = ids.count() <= SMALL
+    bit = F.expr(f"shiftleft(1L, int(pmod(_id, {BITS})))")
+    coded = df.join(F.broadcast(ids) if few else ids, middle, "left").select(a, b, F.floor(F.col("_id") / BITS).alias("_word"), bit.alias("_bit"))
+    words = written(coded.groupBy(a, b, "_word").agg(F.bit_or("_bit").alias("_has")))
+    some = words.filter("_word IS NOT NULL")
+    of = lambda c, name: some.filter(F.col(c).isNotNull()).groupBy(c, "_word").agg(F.bit_or("_has").alias(name))
+    pairs = words.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.map_from_entries(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_word", "_has")))).alias("_own"))  # words of a pair
+    both = pairs.join(of(a, "_a"), a).join(of(b, "_b"), [b, "_word"])
+    free = both.select(a, b, "_word", F.col("_a").bitwiseAND(F.col("_b")).bitwiseAND(F.bitwise_not(F.coalesce(F.col("_own")[F.col("_word")], F.lit(0).cast("long")))).alias("_free")).filter("_free <> 0")
+    out = free.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))).filter(F.expr("(shiftright(_free, _i) & 1) = 1")).select(a, b, (F.col("_word") * BITS + F.col("_i")).alias("_id"))
+    return out.join(F.broadcast(ids) if few else ids, "_id").select(a, middle, b)
+
+
 def own_pair_counts(df: DataFrame, domains: list[str], id_: str = "rec_id") -> DataFrame:
     """(id, dom_a, dom_b, cnt): how many rows of df share each pair of values with the row; nulls are alike.
 

@@ -85,6 +85,20 @@ def test_neighbours_are_not_shuffled_once_they_are_listed(spark):
     assert "Window" not in above and "Join" not in above
 
 
+def test_triples_come_from_words_of_bits(spark):
+    rng = np.random.default_rng(9)
+    some = lambda c, n: None if rng.integers(12) == 0 else f"{c}{rng.integers(n)}"
+    rows = [(some("a", 6), some("m", 150), some("b", 6)) for _ in range(900)]  # three words
+    df = spark.createDataFrame(rows, "shipper string, hscode string, consignee string")
+    ab, mb, ac = ({(r[i], r[j]) for r in rows if r[i] and r[j]} for i, j in ((0, 1), (1, 2), (0, 2)))
+    want = {(a, m, b) for a, m in ab for n, b in mb if n == m and (a, b) in ac} - set(rows)
+    out = R.conflicting_triples(df, "shipper", "hscode", "consignee")
+    got = list(map(tuple, out.collect()))
+    assert out.columns == ["shipper", "hscode", "consignee"] and len(got) == len(set(got)) and set(got) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")].replace("BroadcastExchange", "")  # nothing is shuffled once triples are laid out
+
+
 def test_counts_of_pairs_are_columns_of_a_row(spark, monkeypatch):
     rng = np.random.default_rng(11)
     some = lambda n: None if rng.integers(10) == 0 else f"v{rng.integers(n)}"
